@@ -11,23 +11,29 @@ from .binary import latin1
 KV = r'(\w+)=("(?:[^"\\]|\\.)*"|\S+)'
 
 
-def kv_map(line: Column) -> Column:
-    """key=value tokens as a map; quoted values are unescaped. The last duplicate wins."""
-    keys = F.regexp_extract_all(line, F.lit(KV), 1)
-    values = F.regexp_extract_all(line, F.lit(KV), 2)
-    plain = F.transform(
-        values,
-        lambda v: F.when(
-            F.startswith(v, F.lit('"')),
-            F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0)),
-        ).otherwise(v),
-    )
-    pairs = F.arrays_zip(keys.alias("k"), plain.alias("v"))
-    indexed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
-    last = F.filter(
-        indexed, lambda a: ~F.exists(indexed, lambda b: (b["k"] == a["k"]) & (b["i"] > a["i"]))
+def kv_keys(line: Column) -> Column:
+    """Keys of a key=value line, last token first."""
+    return F.reverse(F.regexp_extract_all(line, F.lit(KV), 1))
+
+
+def kv_values(line: Column) -> Column:
+    """Unquoted values in the order of ``kv_keys``."""
+    return F.transform(F.reverse(F.regexp_extract_all(line, F.lit(KV), 2)), unquote)
+
+
+def unquote(value: Column) -> Column:
+    """A quoted JSON string without its quotes; other values stay. Escapes go the slow way."""
+    escaped = F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(0))
+    return (
+        F.when(~F.startswith(value, F.lit('"')), value)
+        .when(F.contains(value, F.lit("\\")), escaped)
+        .otherwise(F.substring(value, F.lit(2), F.length(value) - 2))
     )
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+
+def kv_field(keys: Column, values: Column, field: str) -> Column:
+    """The value of the last token with this key, or null."""
+    return F.get(values, (F.array_position(keys, field) - 1).cast("int"))
 
 
 def kv_rest(line: Column) -> Column:

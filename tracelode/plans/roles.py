@@ -173,9 +173,10 @@ def firewall_text(spark: SparkSession, sf: str) -> DataFrame:
     c = conn(spark, sf)
     stamp = to_ts(F.col("ts_us"))
     shifted = F.expr("sentbyte + case when event_id % 83 = 0 then 5 else 0 end")
+    # Exploding keeps filters on the parsed text above the building of it.
     return c.withColumn("sentbyte", F.col("orig_bytes")).select(
         "line",
-        F.concat(
+        F.explode(F.array(F.concat(
             F.date_format(stamp, "'date='yyyy-MM-dd 'time='HH:mm:ss"),
             F.lit(' devname="edge \\"A\\" 1" srcip='), "orig_h",
             F.lit(" srcport="), F.col("orig_p").cast("string"),
@@ -190,7 +191,7 @@ def firewall_text(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(" dstintf="), F.when(F.col("k") < 60, "lan").otherwise("wan"),
             F.lit(" zeekstate="), "conn_state",
             F.lit(' simulation="true" evidence_origin="pcap-derived"'),
-        ).alias("value"),
+        ))).alias("value"),
     )
 
 
@@ -234,50 +235,48 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
         _text_hex(F.concat(F.lit("probe "), F.col("event_type")))
     )
     reply = F.when(is_dns, answer).otherwise(_text_hex(F.lit("OK")))
-    both = c.withColumn(
-        "side",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).cast("bigint").alias("i"), request.alias("body")),
-                F.struct(F.lit(1).cast("bigint").alias("i"), reply.alias("body")),
-            )
-        ),
-    ).select("*", F.col("side.i").alias("i"), F.col("side.body").alias("body"))
+    rows = c.withColumn("body0", request).withColumn("body1", reply)
 
     def addr(ip):
-        return F.concat(*[be_hex(F.split(ip, r"\.")[n].cast("bigint"), 1) for n in range(4)])
-
-    first = F.col("i") == 0
-    src, dst = (F.when(first, F.col(a)).otherwise(F.col(b)) for a, b in (("orig_h", "resp_h"), ("resp_h", "orig_h")))
-    sport, dport = (F.when(first, F.col(a)).otherwise(F.col(b)) for a, b in (("orig_p", "resp_p"), ("resp_p", "orig_p")))
-    size = F.length("body") / 2
-    segment = F.when(
-        is_dns, F.concat(be_hex(sport, 2), be_hex(dport, 2), be_hex(size + 8, 2), F.lit("0000"), F.col("body"))
-    ).otherwise(
-        F.concat(
-            be_hex(sport, 2), be_hex(dport, 2), be_hex(F.col("event_id"), 4), be_hex(F.col("i"), 4),
-            F.lit("50"), F.when(first, F.lit("02")).otherwise(F.lit("12")), F.lit("FFFF00000000"), F.col("body"),
+        return F.concat(*[be_hex(F.split(F.col(ip), r"\.")[n].cast("bigint"), 1) for n in range(4)])
+
+    for i, (sport, dport) in enumerate((("orig_p", "resp_p"), ("resp_p", "orig_p"))):
+        body = F.col(f"body{i}")
+        ports = F.concat(be_hex(F.col(sport), 2), be_hex(F.col(dport), 2))
+        udp = F.concat(ports, be_hex(F.length(body) / 2 + 8, 2), F.lit("0000"), body)
+        tcp = F.concat(
+            ports, be_hex(F.col("event_id"), 4), be_hex(F.lit(i), 4), F.lit("50"),
+            F.lit("12" if i else "02"), F.lit("FFFF00000000"), body,
         )
-    )
-    packet = F.concat(
-        F.lit("0200000000010200000000020800"),
-        F.lit("4500"), be_hex(F.length("segment") / 2 + 20, 2), F.lit("0000400040"),
-        F.when(is_dns, "11").otherwise("06"), F.lit("0000"), addr(F.col("src")), addr(F.col("dst")),
-        F.col("segment"), F.lit("0000"),
-    )
-    built = (
-        both.withColumn("segment", segment).withColumn("src", src).withColumn("dst", dst)
-        .withColumn("frame", F.unhex(packet))
-    )
-    return built.select(
-        (F.col("event_id") * 2 + 1 + F.col("i")).alias("packet"),
-        (F.col("ts_us") + F.col("i") * 1000).alias("ts_us"),
-        F.length("frame").alias("caplen"),
-        # A frame cut by the capture has a larger wire length.
-        (F.length("frame") + F.when(F.col("event_id") % 53 == 0, 10).otherwise(0)).alias("wirelen"),
-        "frame",
-        F.lit("derived").alias("file"),
-    )
+        rows = rows.withColumn(f"segment{i}", F.when(is_dns, udp).otherwise(tcp))
+    for i, (src, dst) in enumerate((("orig_h", "resp_h"), ("resp_h", "orig_h"))):
+        segment = F.col(f"segment{i}")
+        rows = rows.withColumn(
+            f"frame{i}",
+            F.unhex(
+                F.concat(
+                    F.lit("0200000000010200000000020800"),
+                    F.lit("4500"), be_hex(F.length(segment) / 2 + 20, 2), F.lit("0000400040"),
+                    F.when(is_dns, "11").otherwise("06"), F.lit("0000"), addr(src), addr(dst),
+                    segment, F.lit("0000"),
+                )
+            ),
+        )
+    # A frame cut by the capture has a larger wire length.
+    cut = F.when(F.col("event_id") % 53 == 0, 10).otherwise(0)
+    sides = [
+        F.struct(
+            (F.col("event_id") * 2 + 1 + i).alias("packet"),
+            (F.col("ts_us") + i * 1000).alias("ts_us"),
+            F.length(f"frame{i}").alias("caplen"),
+            (F.length(f"frame{i}") + cut).alias("wirelen"),
+            F.col(f"frame{i}").alias("frame"),
+            F.lit("derived").alias("file"),
+        )
+        for i in range(2)
+    ]
+    # Exploding last keeps filters on the decoded bytes above the building of them.
+    return rows.select(F.explode(F.array(*sides)).alias("f")).select("f.*")
 
 
 # The packets those frames decode to; text holds the payload's ISO-8859-1 view for TCP.

@@ -31,6 +31,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tracelode")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
