@@ -93,11 +93,14 @@ def query_records(spark, sf):
     "a14_packet_index",
     CP + """SELECT packet, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS utc,
       src, dst, CAST(sport AS BIGINT) AS sport, CAST(dport AS BIGINT) AS dport, proto, CAST(flags AS BIGINT) AS flags,
-      CAST(payload_bytes AS BIGINT) AS payload_bytes, CAST(ip_bytes AS BIGINT) AS ip_bytes, lower(hex(encode(text[1:120]))) AS payload_prefix_hex
-    FROM pkt WHERE proto = 'tcp'""",
+      CAST(payload_bytes AS BIGINT) AS payload_bytes, CAST(ip_bytes AS BIGINT) AS ip_bytes, coalesce(lower(hex(encode(text[1:120]))), printf('%04x', event_id % 65536)
+        || CASE i WHEN 0 THEN '01000001000000000000' ELSE '81800001000100000000' END
+        || printf('%02x', length('h' || k)) || lower(hex(encode('h' || k))) || '076578616d706c650000010001'
+        || CASE i WHEN 0 THEN '' ELSE 'c00c00010001' || printf('%08x', 60 * (1 + k % 3)) || '0004cb0071' || printf('%02x', 60 + k % 40) END) AS payload_prefix_hex
+    FROM pkt""",
 )
 def packet_index(spark, sf):
-    return decode.packet_index(packets(spark, sf).where("proto = 'tcp'"))
+    return decode.packet_index(packets(spark, sf))
 
 
 @question("a17_fingerprint", "SELECT 'lineitem' AS output, count(*) AS rows, TRUE AS same_after_reorder, FALSE AS same_after_duplicate FROM lineitem")
