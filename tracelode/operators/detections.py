@@ -26,7 +26,7 @@ def sequence(steps: Sequence[tuple[str, DataFrame]], within_us: int, key: str =
             key, F.col("first_us").alias("at"), F.lit(0).alias("tie"), F.struct("first_us", "last_us").alias("next")
         )
         both = ended.unionByName(started, allowMissingColumns=True)
-        seen = ordered.carry_last(both, [key], "at", {"before": F.col("done")}, ["tie"], chunk)
+        seen = ordered.carry_last(both, [key], "at", {"before": F.col("done")}, ["tie", "done"], chunk)
         hit = seen.where(
             F.col("next").isNotNull() & (F.col("next.first_us") - F.col("before.end_us") <= within_us)
         )

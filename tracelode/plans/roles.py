@@ -19,8 +19,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def conn(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}*.parquet")
+
+
+def conn(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    e = read(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     base = e.select(
         (F.col("event_id") + 1).alias("line"),
@@ -108,10 +113,10 @@ flow AS (
 """
 
 
-def dns(spark: SparkSession, sf: str) -> DataFrame:
+def dns(spark: SparkSession, sf: str, read=table) -> DataFrame:
     """One DNS record per UDP connection; a few carry another time or a foreign uid."""
     return (
-        conn(spark, sf)
+        conn(spark, sf, read)
         .where(F.col("event_type") == "view")
         .select(
             "line",

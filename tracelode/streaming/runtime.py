@@ -23,18 +23,26 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return everything it wrote.
+    """Run a stream over what is there now and return what it wrote.
 
-    ``complete`` output goes through ``foreachBatch``, because file sinks only append.
+    In ``complete`` mode every batch replaces the result; in ``append`` and ``update`` mode each
+    batch has its own folder, so a repeated batch changes nothing.
     """
+    from .detect import alert_sink
+
     spark = stream.sparkSession
     out, state = scratch(spark, name), scratch(spark, f"{name}-state")
-    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", out).start()
+    if mode == "complete":
+        def write(batch: DataFrame, _batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id=0")
     else:
-        query = writer.outputMode(mode).foreachBatch(
-            lambda batch, _id: batch.write.mode("overwrite").parquet(out)
-        ).start()
+        write = alert_sink(out)
+    query = (
+        stream.writeStream.option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .outputMode(mode)
+        .foreachBatch(write)
+        .start()
+    )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
