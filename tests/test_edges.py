@@ -251,7 +251,7 @@ def test_long_conversations_keep_their_pattern_apart(spark):
     for conv, tail in enumerate([24, 24, 17]):
         flags = [2, 18] + [16] * 20 + [tail]
         rows += [(f"h{conv}", 1, "s", 2, "tcp", 100 * conv + i, f) for i, f in enumerate(flags)]
-    df = spark.createDataFrame(rows, f"{CONV}, packet BIGINT, flags BIGINT")
+    df = spark.createDataFrame(rows, "src STRING, sport BIGINT, dst STRING, dport BIGINT, proto STRING, packet BIGINT, flags BIGINT")
     got = aggregates.flag_patterns(df, max_shown=3, chunk=5).collect()
     assert sorted(r.conversations for r in got) == [1, 2] and {r.pattern for r in got} == {"[2, 18, 16, ...]"}
     full = {r.pattern: r.conversations for r in aggregates.flag_patterns(df).collect()}

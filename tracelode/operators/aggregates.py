@@ -82,64 +82,77 @@ def capture_summary(frames: DataFrame, host: str) -> DataFrame:
     )
 
 
+def _pair(packets: DataFrame) -> tuple[Column, Column, Column]:
+    """Unordered endpoint pair of a packet, and whether the smaller end sent it."""
+    here = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port"))
+    there = F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
+    return F.least(here, there), F.greatest(here, there), here <= there
+
+
+OBSERVABLE = ("http", "tls", "dns")
+
+
 def conversations(packets: DataFrame, host: str | None = None) -> DataFrame:
-    """Conversations with directional byte and packet counts, in one aggregation.
+    """Conversations with directional byte and packet counts, in one hash aggregation.
 
     Packets are grouped by the unordered endpoint pair and summed per sender; who opened the
     conversation is decided on the aggregated row. With ``host`` the host is the opener;
-    otherwise the sender of the first SYN-without-ACK, or of the first packet.
+    otherwise the sender of the first SYN-without-ACK, or of the first packet. All aggregation
+    buffers are fixed-width, so Spark hashes instead of sorting and combines before the shuffle.
     """
-    here = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port"))
-    there = F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
     if host is not None:
         packets = packets.where((F.col("src") == host) | (F.col("dst") == host))
-    seen = net.observe_protocol(F.col("payload"), F.col("proto"), F.col("sport"), F.col("dport"))
+    end_a, end_b, from_a = _pair(packets)
     rows = packets.select(
-        F.least(here, there).alias("__a"),
-        F.greatest(here, there).alias("__b"),
+        end_a.alias("__a"),
+        end_b.alias("__b"),
         "proto",
-        (here <= there).alias("__from_a"),
-        here.alias("__here"),
+        from_a.alias("__from_a"),
         "packet", "ts_us", "payload_bytes", "ip_bytes",
         # Only flags derived from the payload travel, not the payload.
         net.starts_with(F.col("payload"), "POST ").alias("__post"),
-        F.nullif(seen, F.lit("not_established")).alias("__seen"),
+        net.observe_protocol(F.col("payload"), F.col("proto"), F.col("sport"), F.col("dport")).alias("__seen"),
         net.is_syn(F.col("flags")).alias("__syn"),
     )
-    a, b = F.col("__from_a"), ~F.col("__from_a")
+    packet = F.col("packet")
     aggs = [
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
         F.min("packet").alias("first_packet"),
         F.max("packet").alias("last_packet"),
-        F.min_by("__seen", F.when(F.col("__seen").isNotNull(), F.col("packet"))).alias("__seen"),
-        F.min_by("__here", F.when(F.col("__syn"), F.col("packet"))).alias("__syn_from"),
-        F.min_by("__here", "packet").alias("__first_from"),
+        *[F.min(F.when(F.col("__seen") == p, packet)).alias(f"__first_{p}") for p in OBSERVABLE],
     ]
-    for side, cond in (("a", a), ("b", b)):
+    for side, cond in (("a", F.col("__from_a")), ("b", ~F.col("__from_a"))):
         aggs += [
             F.sum(F.when(cond, F.col("payload_bytes")).otherwise(0)).alias(f"__payload_{side}"),
             F.sum(F.when(cond, F.col("ip_bytes")).otherwise(0)).alias(f"__ip_{side}"),
             F.count_if(cond).alias(f"__packets_{side}"),
             F.coalesce(F.bool_or(cond & F.col("__post")), F.lit(False)).alias(f"__post_{side}"),
+            F.min(F.when(cond, packet)).alias(f"__first_{side}"),
+            F.min(F.when(cond & F.col("__syn"), packet)).alias(f"__syn_{side}"),
         ]
     grouped = rows.groupBy("__a", "__b", "proto").agg(*aggs)
-    opener = (
-        F.coalesce("__syn_from", "__first_from")
-        if host is None
-        else F.when(F.col("__a.ip") == host, F.col("__a")).otherwise(F.col("__b"))
-    )
-    from_a = opener == F.col("__a")
+
+    def earlier(kind: str) -> Column:
+        """True when side a comes first, false when side b does, null when neither occurs."""
+        a, b = F.col(f"__{kind}_a"), F.col(f"__{kind}_b")
+        return F.when(a.isNotNull() & b.isNotNull(), a < b).when(a.isNotNull(), True).when(b.isNotNull(), False)
+
+    opened_by_a = F.coalesce(earlier("syn"), earlier("first")) if host is None else F.col("__a.ip") == host
+    named = grouped.withColumn("__open_a", opened_by_a)
 
     def pick(first: str, second: str) -> Column:
-        return F.when(from_a, F.col(first)).otherwise(F.col(second))
-
-    other = F.when(from_a, F.col("__b")).otherwise(F.col("__a"))
-    return grouped.select(
-        opener["ip"].alias("orig_h"),
-        opener["port"].alias("orig_p"),
-        other["ip"].alias("resp_h"),
-        other["port"].alias("resp_p"),
+        return F.when(F.col("__open_a"), F.col(first)).otherwise(F.col(second))
+
+    first_seen_packet = F.least(*[F.col(f"__first_{p}") for p in OBSERVABLE])
+    observed = F.lit(None).cast("string")
+    for p in OBSERVABLE:
+        observed = F.when(F.col(f"__first_{p}") == first_seen_packet, p).otherwise(observed)
+    return named.select(
+        pick("__a.ip", "__b.ip").alias("orig_h"),
+        pick("__a.port", "__b.port").alias("orig_p"),
+        pick("__b.ip", "__a.ip").alias("resp_h"),
+        pick("__b.port", "__a.port").alias("resp_p"),
         "proto", "first_us", "last_us", "first_packet", "last_packet",
         pick("__payload_a", "__payload_b").alias("out_payload_bytes"),
         pick("__payload_b", "__payload_a").alias("in_payload_bytes"),
@@ -148,7 +161,7 @@ def conversations(packets: DataFrame, host: str | None = None) -> DataFrame:
         pick("__packets_a", "__packets_b").alias("out_packets"),
         pick("__packets_b", "__packets_a").alias("in_packets"),
         pick("__post_a", "__post_b").alias("starts_post"),
-        F.coalesce("__seen", F.lit("not_established")).alias("observed_protocol"),
+        F.coalesce(observed, F.lit("not_established")).alias("observed_protocol"),
     )
 
 
@@ -303,18 +316,18 @@ def count_histogram(matched: DataFrame, key: str) -> DataFrame:
 
 
 def flag_patterns(packets: DataFrame, max_shown: int = 256, chunk: int = LINES) -> DataFrame:
-    """Histogram of the ordered TCP flags of conversations. Needs ``orient``.
+    """Histogram of the ordered TCP flags of conversations.
 
     Conversations of any length are counted by an order-sensitive fingerprint over
     (position, flags). The text shows at most the first ``max_shown`` flags and ends in ", ..."
     where there are more, so no conversation is gathered into one row.
     """
-    placed = ordered.running_totals(
-        packets.where(F.col("proto") == "tcp").select(*TUPLE, "packet", "flags"),
-        TUPLE, "packet", {"position": F.lit(1).cast("bigint")}, (), chunk,
-    )
+    end_a, end_b, _ = _pair(packets)
+    pair = ["__a", "__b"]
+    rows = packets.where(F.col("proto") == "tcp").select(end_a.alias("__a"), end_b.alias("__b"), "packet", "flags")
+    placed = ordered.running_totals(rows, pair, "packet", {"position": F.lit(1).cast("bigint")}, (), chunk)
     shown = F.when(F.col("position") <= max_shown, F.struct("position", "flags"))
-    per_conv = placed.groupBy(*TUPLE).agg(
+    per_conv = placed.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("packets"),
         F.sum(F.xxhash64("position", "flags").cast("decimal(38,0)")).alias("__key"),
         F.array_sort(F.collect_list(shown)).alias("__shown"),

@@ -81,7 +81,7 @@ def case_report(sources: Sources, host: str, work: bool = True) -> dict[str, Dat
         "capture": A.capture_summary(sources.frames, host),
         "peers": A.peers(conv, host),
         "contacts": A.contact_matrix(conv),
-        "flag_patterns": A.flag_patterns(oriented),
+        "flag_patterns": A.flag_patterns(packets),
         "handshakes": filters.handshake_state(oriented),
         "disagreements": joins.reconcile(named, own.conn),
         "dns_messages": messages,

@@ -200,7 +200,7 @@ def lines_per_order(spark, sf):
 
 @question("d16_flag_patterns", CP + "SELECT '[2, 18]' AS pattern, CAST(2 AS BIGINT) AS packets, count(*) AS conversations FROM pkt WHERE proto = 'tcp' AND i = 0")
 def flag_patterns(spark, sf):
-    return A.flag_patterns(filters.orient(packets(spark, sf)))
+    return A.flag_patterns(packets(spark, sf))
 
 
 @question("d17_payload_counts", CP + "SELECT text, count(*) AS n FROM pkt WHERE proto = 'tcp' GROUP BY text")

@@ -110,9 +110,7 @@ class _Spacing(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Only the times are kept; how many come at once is set by the stream's admission limit.
         times = np.sort(np.concatenate([chunk["ts_us"].to_numpy(np.int64) for chunk in rows]))
-        n, last, first, mean, m2 = 0, None, int(times[0]), 0.0, 0.0
-        if self.state.exists():
-            n, last, first, mean, m2 = self.state.get()
+        n, last, first, mean, m2 = self.state.get() or (0, None, int(times[0]), 0.0, 0.0)
         late = 0 if last is None else int(np.searchsorted(times, last))
         times = times[late:]
         gaps = np.diff(times if last is None else np.concatenate([[last], times])).astype(np.float64)
