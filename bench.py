@@ -20,7 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tracelode.operators import decode  # noqa: E402
 from tracelode.plans import catalog, q_sources, roles  # noqa: E402
-from tracelode.session import local_session  # noqa: E402
+from tracelode.session import cut_lineage, local_session  # noqa: E402
 from tracelode.sources import archive, logs, pcap  # noqa: E402
 from tracelode.streaming.runtime import scratch  # noqa: E402
 
@@ -57,12 +57,16 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     log, captures = conn_json(spark, sf), q_sources._captures(spark, sf)
+    index = cut_lineage(pcap.capture_index(spark, captures))
     packets = lambda: decode.decode(pcap.read_pcap(spark, captures))
     jobs = {
         "base_log_row_count": lambda: spark.read.text(log).agg(F.count(F.lit(1))),
         "base_log_parse_all": lambda: logs.read_jsonl(spark, log, "conn"),
         "base_read_one_line": lambda: logs.text_lines(spark, log).where("line = 1"),
         "base_capture_filter": lambda: decode.query_packets(packets(), "packet = 1", 10, 0),
+        "base_capture_packet_by_number": lambda: decode.query_packets(
+            decode.decode(pcap.read_pcap(spark, captures, index=index, packets=(1, 1))), "packet = 1", 10, 0
+        ),
         "base_sha256_capture": lambda: archive.file_inventory(spark, captures),
     }
     questions = catalog.questions()

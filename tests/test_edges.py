@@ -189,6 +189,8 @@ def test_empty_capture_and_folder(spark, tmp_path):
     index = pcap.capture_index(spark, str(tmp_path), 100)
     again = pcap.read_pcap(spark, str(tmp_path), index=index)
     assert again.count() == 5
+    some = pcap.read_pcap(spark, str(tmp_path), index=index, packets=(2, 4))
+    assert sorted(r.packet for r in some.collect()) == [2, 3, 4]
 
 
 # --- joins ---------------------------------------------------------------------------------------

@@ -113,17 +113,19 @@ def with_zone(df: DataFrame, ip: str, internal: Sequence[str] = net.PRIVATE, nam
 def zone_from_table(df: DataFrame, ip: str, cidrs: DataFrame) -> DataFrame:
     """Longest-prefix zone lookup in a table ``(net BIGINT, prefix INT, zone STRING)``.
 
-    The 33 possible prefix lengths make it an equi join on (prefix, network): no range join, and
-    addresses are looked up once each.
+    Only the prefix lengths that occur (33 at most) are tried, as an equi join on
+    (prefix, network). Addresses are looked up once each.
     """
+    lengths = sorted(row["prefix"] for row in cidrs.select("prefix").distinct().collect())
     ips = df.select(F.col(ip).alias("__ip")).where(F.col(ip).isNotNull()).distinct()
-    bits = ips.withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn(
-        "net",
-        net.ip_num(F.col("__ip")).bitwiseAND(
-            F.lit(0x100000000) - F.expr("shiftleft(1L, 32 - prefix)")
-        ),
-    )
-    hits = bits.join(cidrs, ["prefix", "net"]).groupBy("__ip").agg(F.max_by("zone", "prefix").alias("zone"))
+    tries = [
+        F.struct(F.lit(n).alias("prefix"), net.ip_num(F.col("__ip")).bitwiseAND(F.lit(2**32 - 2 ** (32 - n))).alias("net"))
+        for n in lengths
+    ]
+    if not tries:
+        return df.withColumn("zone", F.lit(None).cast("string"))
+    keys = ips.select("__ip", F.explode(F.array(*tries)).alias("t")).select("__ip", "t.*")
+    hits = keys.join(cidrs, ["prefix", "net"]).groupBy("__ip").agg(F.max_by("zone", "prefix").alias("zone"))
     return df.join(hits, df[ip] == hits["__ip"], "left").drop("__ip")
 
 

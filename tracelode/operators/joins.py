@@ -196,25 +196,32 @@ def reconcile(conv: DataFrame, conn: DataFrame, tol_us: int = PACKET_TOLERANCE)
 
 
 def join_cardinality(joined: DataFrame, conn: DataFrame) -> DataFrame:
-    """How many rows of each side took part in a join, and the range of time differences."""
+    """How many rows of each side took part in a join, and the range of time differences.
+
+    The join is read once: every row stands for its source line and, if matched, for its
+    connection line, and both are folded in the same aggregation.
+    """
     ok = F.col("verdict") == "matched"
     delta = F.col("delta_us") if "delta_us" in joined.columns else F.lit(None).cast("bigint")
-    # Duplicates are folded per source row first, so nothing needs a set of all line numbers.
-    per_line = joined.groupBy("line").agg(F.bool_or(ok).alias("hit"))
-    sources = per_line.agg(
-        F.count(F.lit(1)).alias("source_records"), F.count_if("hit").alias("matched_source_records")
+    sides = F.array(
+        F.struct(F.lit("source").alias("side"), F.col("line").alias("id")),
+        F.struct(F.lit("conn").alias("side"), F.when(ok, F.col("conn_line")).alias("id")),
+    )
+    rows = joined.select(ok.alias("ok"), F.when(ok, delta).alias("delta"), F.explode(sides).alias("s"))
+    folded = rows.where("s.id is not null").groupBy("s.side", "s.id").agg(
+        F.bool_or("ok").alias("ok"), F.min("delta").alias("low"), F.max("delta").alias("high")
     )
-    rights = joined.where(ok).select("conn_line").distinct().agg(F.count(F.lit(1)))
-    deltas = joined.where(ok).agg(F.min(delta).alias("lo"), F.max(delta).alias("hi"))
-    return sources.select(
-        "source_records",
-        "matched_source_records",
-        (F.col("source_records") - F.col("matched_source_records")).alias("unmatched_source_records"),
-        rights.scalar().alias("matched_conn_records"),
-        (conn.agg(F.count(F.lit(1))).scalar() - rights.scalar()).alias("conn_records_without_this_source"),
-        deltas.select("lo").scalar().alias("min_delta_us"),
-        deltas.select("hi").scalar().alias("max_delta_us"),
+    source = F.col("side") == "source"
+    totals = folded.agg(
+        F.count_if(source).alias("source_records"),
+        F.count_if(source & F.col("ok")).alias("matched_source_records"),
+        F.count_if(source & ~F.col("ok")).alias("unmatched_source_records"),
+        F.count_if(~source).alias("matched_conn_records"),
+        F.min("low").alias("min_delta_us"),
+        F.max("high").alias("max_delta_us"),
     )
+    without = conn.agg(F.count(F.lit(1))).scalar() - F.col("matched_conn_records")
+    return totals.withColumn("conn_records_without_this_source", without)
 
 
 def asof_asset(events: DataFrame, leases: DataFrame, ip: str = "ip", chunk: int = CHUNK) -> DataFrame:
@@ -258,7 +265,8 @@ def dns_to_conn(dns: DataFrame, conn: DataFrame, within_us: int, chunk: int = CH
         F.lit(None).cast("bigint").alias("dns_line"), F.col("line").alias("conn_line"),
     )
     both = asked.unionByName(opened).withColumn("tie", F.coalesce("conn_line", F.lit(-1)))
-    hit = F.when(F.col("side") == 0, F.struct(F.col("at").alias("at"), F.col("conn_line").alias("line")))
+    found = (F.col("side") == 0) & ordered.known(keys)
+    hit = F.when(found, F.struct(F.col("at").alias("at"), F.col("conn_line").alias("line")))
     seen = ordered.carry_next(both, keys, "at", {"next": hit}, ["tie"], chunk)
     gap = F.col("next.at") - F.col("at")
     inside = F.coalesce(gap <= within_us, F.lit(False))
@@ -367,7 +375,8 @@ def pair_by_id(requests: DataFrame, replies: DataFrame, keys: Sequence[str], wit
     both = requests.select(*keys, "ts_us", "packet", F.col("packet").alias("request")).unionByName(
         replies.select(*keys, "ts_us", "packet", none.alias("request"))
     )
-    hit = F.when(F.col("request").isNull(), F.struct(F.col("packet").alias("packet"), F.col("ts_us").alias("ts")))
+    reply = F.col("request").isNull() & ordered.known(keys)
+    hit = F.when(reply, F.struct(F.col("packet").alias("packet"), F.col("ts_us").alias("ts")))
     seen = ordered.carry_next(both, keys, "ts_us", {"reply": hit}, ["packet"], chunk)
     gap = F.col("reply.ts") - F.col("ts_us")
     ok = F.lit(True) if within_us is None else gap <= within_us

@@ -32,6 +32,14 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{key}" for key in keys])
 
 
+def known(keys: Sequence[str]) -> Column:
+    """True where no key is null: an unknown value is not equal to another unknown value."""
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.col(key).isNotNull()
+    return out
+
+
 def _chunked(df: DataFrame, pos: str, chunk: int) -> DataFrame:
     return df.withColumn(_C, floor_us(F.col(pos), chunk))
 
@@ -321,7 +329,7 @@ def nearest(
     slots = F.sequence(
         floor_us(F.col(right_ts) - tol_us, chunk), floor_us(F.col(right_ts) + tol_us, chunk), F.lit(chunk)
     )
-    r = right.select(
+    r = right.where(known(keys)).select(
         *keys, F.col(right_ts).alias("__t"), F.col(right_id).alias("__rid"), F.explode(slots).alias(_C)
     )
     among = Window.partitionBy(*keys, _C).orderBy("__t", F.desc("__rid"))
@@ -380,7 +388,7 @@ def asof(
 ) -> DataFrame:
     """For each left row, ``values`` of the last right row at or before it with the same keys."""
     keys, values = list(keys), list(values)
-    r = right.select(
+    r = right.where(known(keys)).select(
         *keys,
         F.col(right_ts).alias("__at"),
         F.lit(0).alias("__side"),

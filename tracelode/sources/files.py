@@ -29,6 +29,10 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+# Beyond this many, rows share tasks.
+MAX_TASKS = 100_000
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """One row per task as far as the row count allows; used when a row stands for much work."""
-    return df.repartition(max(1, rows))
+    return df.repartition(min(max(1, rows), MAX_TASKS))

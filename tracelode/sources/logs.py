@@ -11,13 +11,21 @@ from ..functions.clock import seconds_to_us
 from ..functions.text import kv_field, kv_keys, kv_rest, kv_values
 from ..operators.filters import five_tuple
 from ..schemas import FIREWALL_FIELDS, SCHEMAS
+from ..session import cut_lineage
+
+
+# One row per input split, about 60 bytes each: the bound under which they are broadcast.
+MAX_BROADCAST_SPLITS = 1_000_000
 
 
 def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``file, line, raw`` of text files, numbered from 1 within each file without a global sort.
 
-    A row's place inside its input split is known from the running id of its task. Counting rows
-    per split and adding up the counts of the splits before it gives the line number.
+    A row's place inside its input split is known from the running id of its task. One pass counts
+    the rows per split; adding up the splits before it gives the line number. The counts are
+    checkpointed, so later reads need a single pass and, as long as there are fewer than a
+    million splits, no shuffle of the text. Should the file system or the settings cut
+    the splits another way later, the read fails instead of giving wrong numbers.
     """
     scan = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -27,11 +35,14 @@ def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
     blocks = scan.groupBy("file", "__block").agg(F.min("__id").alias("__base"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__base") + 1).alias("__shift")
-    )
-    numbered = scan.join(starts, ["file", "__block"])
-    return numbered.select("file", (F.col("__id") + F.col("__shift")).alias("line"), "raw")
+    starts = cut_lineage(blocks.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    if starts.count() <= MAX_BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    at = F.col("__id") - F.col("__base")
+    placed = F.coalesce((at >= 0) & (at < F.col("__n")), F.lit(False))
+    moved = F.raise_error(F.concat(F.lit("input splits changed since lines were counted: "), F.col("file")))
+    line = F.when(placed, F.col("__before") + at + 1).otherwise(moved.cast("bigint"))
+    return scan.join(starts, ["file", "__block"], "left").select("file", line.alias("line"), "raw")
 
 
 def parse_json(lines: DataFrame, schema: str, required: Sequence[str] = ("ts",)) -> DataFrame:

@@ -142,9 +142,9 @@ def capture_index(spark: SparkSession, path: str | list[str], split_bytes: int =
 
     Columns: ``file, size, first, stop, records, first_packet``. Write it as Parquet to reuse it.
     """
-    files = cut_lineage(list_files(spark, path))
-    pieces = files.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes))))
-    splits = pieces.select("file", "size", F.col("start").cast("bigint").alias("start"), F.least(F.col("start") + split_bytes, F.col("size")).alias("stop"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
+    pieces = list_files(spark, path).withColumn("start", F.explode(starts))
+    splits = pieces.select("file", "size", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("stop"))
     found = cut_lineage(spread(splits, splits.count()).mapInArrow(_index_rows, _INDEXED))
 
     # A range is sound when it starts at the end of the last range that held a record.
@@ -202,11 +202,23 @@ def _frame_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_pcap(
-    spark: SparkSession, path: str | list[str], split_bytes: int = 64 << 20, index: DataFrame | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    split_bytes: int = 64 << 20,
+    index: DataFrame | None = None,
+    packets: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Numbered raw frames of captures of any size, one task per byte range."""
-    ranges = cut_lineage(capture_index(spark, path, split_bytes) if index is None else index)
-    return spread(ranges, ranges.count()).mapInArrow(_frame_rows, PACKET_RECORD)
+    """Numbered raw frames of captures of any size, one task per byte range.
+
+    ``packets`` keeps packet numbers ``first`` to ``last`` (inclusive, per file) and reads only the
+    byte ranges that hold them.
+    """
+    ranges = cut_lineage(capture_index(spark, path, split_bytes)) if index is None else index
+    if packets is not None:
+        first, last = packets
+        ranges = ranges.where((F.col("first_packet") <= last) & (F.col("first_packet") + F.col("records") > first))
+    frames = spread(ranges, ranges.count()).mapInArrow(_frame_rows, PACKET_RECORD)
+    return frames if packets is None else frames.where(F.col("packet").between(*packets))
 
 
 class _FilePart(InputPartition):
