@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 
 from tracelode.operators import joins, ordered, temporal
 
-CHUNKS = [7, 50, 100_000]
+CHUNKS = [11]
+
+
+@pytest.fixture(autouse=True, params=["all", "some", "none"])
+def splitting(request, monkeypatch):
+    """Every key split, only the busiest, or none: the results must not depend on it."""
+    rows = {"all": 0, "some": 60, "none": 10**9}[request.param]
+    monkeypatch.setattr(ordered, "HOT_ROWS", rows)
+    monkeypatch.setattr(ordered, "MAX_HOT_KEYS", 10_000)
+    return request.param
 
 
 def data(spark, seed, n=240):
@@ -149,8 +158,19 @@ def test_timeline_ranks_without_one_sorted_task(spark):
     assert {r.line: r["rank"] for r in got.collect()} == {r[0]: i + 1 for i, r in enumerate(order)}
 
 
-def test_ordered_plans_split_a_key(spark):
-    """The row-level windows are partitioned by key and chunk, never by key alone."""
+def test_too_many_hot_keys_split_all(spark, monkeypatch):
+    rows, df = data(spark, 2)
+    want = ordered.running_totals(df, ["k"], "ts_us", {"t": F.col("v")}, ["line"], 50).collect()
+    monkeypatch.setattr(ordered, "HOT_ROWS", 0)
+    monkeypatch.setattr(ordered, "MAX_HOT_KEYS", 1)
+    got = ordered.running_totals(df, ["k"], "ts_us", {"t": F.col("v")}, ["line"], 50).collect()
+    assert {(r.line, r.t) for r in got} == {(r.line, r.t) for r in want}
+
+
+def test_ordered_plans_split_a_key(spark, splitting):
+    """With hot keys the row-level windows are partitioned by key and chunk, never by key alone."""
+    if splitting == "none":
+        return
     _, df = data(spark, 10)
     for out in (
         ordered.running_totals(df, ["k"], "ts_us", {"t": F.col("v")}, ["line"]),

@@ -1,11 +1,14 @@
 """Ordered work within a key that stays spread out when one key holds most rows.
 
-A plain ``Window.partitionBy(key).orderBy(t)`` puts a whole key into one task. Here each
-key is cut into fixed-width chunks of the ordering number (time in µs, line number, packet
-number). Ordered work runs inside ``(key, chunk)``; only one summary row per chunk takes part
-in the second step over the key, so that step grows with the covered range, not with the rows.
-
-``chunk`` is the width. Choose it so that the busiest key has a few million rows per chunk.
+A plain ``Window.partitionBy(key).orderBy(t)`` puts a whole key into one task. Here a hot key
+(more than ``HOT_ROWS`` rows, found by a count that combines before its shuffle) is cut into
+fixed-width chunks of the ordering number (time in µs, line number, packet number). Ordered
+work runs inside ``(key, chunk)``; only one summary row per chunk takes part in the second step
+over the key, so that step grows with the covered range, not with the rows. Other keys are
+one chunk each and need no second step; without hot keys the plan is the plain one.
+
+``chunk`` is the width. Choose it so that the busiest key has a few million rows per chunk. Which keys
+are split changes the plan only, never the result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from pyspark.sql import functions as F
 from ..functions.clock import MINUTE, floor_us
 
 CHUNK = 5 * MINUTE
+# A key with more rows than this is split.
+HOT_ROWS = 5_000_000
+# The hot keys themselves are broadcast. Were there more than this, all keys are split instead.
+MAX_HOT_KEYS = 10_000
 _C = "__chunk"
 
 
@@ -40,8 +47,25 @@ def known(keys: Sequence[str]) -> Column:
     return out
 
 
-def _chunked(df: DataFrame, pos: str, chunk: int) -> DataFrame:
-    return df.withColumn(_C, floor_us(F.col(pos), chunk))
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> list | None:
+    """Keys above ``HOT_ROWS``; None when they are too many to list."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
+    found = counts.select(*keys).limit(MAX_HOT_KEYS + 1).collect()
+    return None if len(found) > MAX_HOT_KEYS else found
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], pos: str, chunk: int) -> tuple[DataFrame, list[str]]:
+    """Add the chunk column (null for a key that stays whole) and say what to partition by."""
+    hot = hot_keys(df, keys)
+    if hot is not None and not hot:
+        return df.withColumn(_C, F.lit(None).cast("bigint")), list(keys)
+    slot = floor_us(F.col(pos), chunk)
+    if hot is None or not keys:
+        return df.withColumn(_C, slot), [*keys, _C]
+    schema = df.select(*keys).schema
+    listed = df.sparkSession.createDataFrame(hot, schema).withColumn("__hot", F.lit(True))
+    marked = join_null_safe(df, F.broadcast(listed), keys)
+    return marked.withColumn(_C, F.when(F.col("__hot"), slot)).drop("__hot"), [*keys, _C]
 
 
 def carry_last(
@@ -58,35 +82,30 @@ def carry_last(
     ``values`` maps new column names to expressions over ``df``. Order is ``pos`` then ``tie``.
     """
     keys, tie, names = list(keys), list(tie), list(values)
-    src = _chunked(df, pos, chunk)
+    src, parts = _chunked(df, keys, pos, chunk)
     for name in names:
         src = src.withColumn(f"__v_{name}", values[name])
     inside = (
-        Window.partitionBy(*keys, _C)
+        Window.partitionBy(*parts)
         .orderBy(pos, *tie)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if include_current else -1)
     )
-    rows = src
-    for name in names:
-        rows = rows.withColumn(f"__l_{name}", F.last(f"__v_{name}", ignorenulls=True).over(inside))
-    order = F.struct(pos, *tie)
-    tails = src.groupBy(*keys, _C).agg(
-        *[
-            F.max_by(f"__v_{name}", F.when(F.col(f"__v_{name}").isNotNull(), order)).alias(f"__t_{name}")
-            for name in names
-        ]
-    )
-    before = Window.partitionBy(*keys).orderBy(_C).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(
-        *keys,
-        _C,
-        *[F.last(f"__t_{name}", ignorenulls=True).over(before).alias(f"__p_{name}") for name in names],
-    )
-    out = join_null_safe(rows, carried, [*keys, _C])
+    rows = src.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(inside).alias(f"__l_{n}") for n in names])
+    out, carried_names = rows, []
+    if parts != keys:
+        order = F.struct(pos, *tie)
+        tails = src.where(F.col(_C).isNotNull()).groupBy(*keys, _C).agg(
+            *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), order)).alias(f"__t_{n}") for n in names]
+        )
+        before = Window.partitionBy(*keys).orderBy(_C).rowsBetween(Window.unboundedPreceding, -1)
+        carried = tails.select(
+            *keys, _C, *[F.last(f"__t_{n}", ignorenulls=True).over(before).alias(f"__p_{n}") for n in names]
+        )
+        out, carried_names = join_null_safe(rows, carried, [*keys, _C]), [f"__p_{n}" for n in names]
     for name in names:
-        out = out.withColumn(name, F.coalesce(f"__l_{name}", f"__p_{name}"))
-    drop = [f"__{kind}_{name}" for name in names for kind in "vlp"]
-    return out.drop(_C, *drop)
+        sources = [f"__l_{name}"] + ([f"__p_{name}"] if carried_names else [])
+        out = out.withColumn(name, F.coalesce(*sources))
+    return out.drop(_C, *carried_names, *[f"__{kind}_{n}" for n in names for kind in "vl"])
 
 
 def carry_next(
@@ -119,27 +138,27 @@ def running_totals(
 ) -> DataFrame:
     """Running sums up to each row. ``with_peers`` counts all rows that share the position."""
     keys, tie, names = list(keys), list(tie), list(values)
-    src = _chunked(df, pos, chunk)
+    src, parts = _chunked(df, keys, pos, chunk)
     for name in names:
         src = src.withColumn(f"__v_{name}", values[name])
     if with_peers:
-        inside = Window.partitionBy(*keys, _C).orderBy(pos).rangeBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy(*parts).orderBy(pos).rangeBetween(Window.unboundedPreceding, 0)
     else:
-        inside = Window.partitionBy(*keys, _C).orderBy(pos, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = src.select(
-        "*", *[F.sum(f"__v_{name}").over(inside).alias(f"__l_{name}") for name in names]
-    )
-    sums = src.groupBy(*keys, _C).agg(*[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in names])
-    before = Window.partitionBy(*keys).orderBy(_C).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, _C, *[F.sum(f"__s_{name}").over(before).alias(f"__p_{name}") for name in names]
-    )
-    out = join_null_safe(rows, offsets, [*keys, _C])
+        inside = Window.partitionBy(*parts).orderBy(pos, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    rows = src.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__l_{n}") for n in names])
+    out, offset_names = rows, []
+    if parts != keys:
+        sums = src.where(F.col(_C).isNotNull()).groupBy(*keys, _C).agg(
+            *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names]
+        )
+        before = Window.partitionBy(*keys).orderBy(_C).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select(*keys, _C, *[F.sum(f"__s_{n}").over(before).alias(f"__p_{n}") for n in names])
+        out, offset_names = join_null_safe(rows, offsets, [*keys, _C]), [f"__p_{n}" for n in names]
     zero = F.lit(0)
     for name in names:
-        out = out.withColumn(name, F.coalesce(f"__l_{name}", zero) + F.coalesce(f"__p_{name}", zero))
-    drop = [f"__{kind}_{name}" for name in names for kind in "vlp"]
-    return out.drop(_C, *drop)
+        total = F.coalesce(f"__l_{name}", zero)
+        out = out.withColumn(name, total + F.coalesce(f"__p_{name}", zero) if offset_names else total)
+    return out.drop(_C, *offset_names, *[f"__{kind}_{n}" for n in names for kind in "vl"])
 
 
 def trailing_totals(
@@ -196,13 +215,10 @@ def islands(
     """
     keys = list(keys)
     sums = dict(sums or {})
-    rows = df.select(
-        *keys,
-        F.col(pos).alias("__p"),
-        floor_us(F.col(pos), chunk).alias(_C),
-        *[expr.alias(name) for name, expr in sums.items()],
+    rows, cut = _chunked(
+        df.select(*keys, F.col(pos).alias("__p"), *[expr.alias(name) for name, expr in sums.items()]), keys, "__p", chunk
     )
-    w = Window.partitionBy(*keys, _C).orderBy("__p")
+    w = Window.partitionBy(*cut).orderBy("__p")
     flagged = rows.withColumn(
         "__b", F.coalesce((F.col("__p") - F.lag("__p").over(w) >= limit).cast("int"), F.lit(0))
     )
@@ -215,9 +231,12 @@ def islands(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(name).alias(name) for name in sums],
     )
-    whole = Window.partitionBy(*keys, _C)
-    edges = parts.withColumn("__edge", (F.col("__i") == 0) | (F.col("__i") == F.max("__i").over(whole)))
     columns = [*keys, "start", "end", "n", *sums]
+    if cut == keys:
+        return parts.select(*columns)
+    whole = Window.partitionBy(*keys, _C)
+    on_edge = (F.col("__i") == 0) | (F.col("__i") == F.max("__i").over(whole))
+    edges = parts.withColumn("__edge", F.col(_C).isNotNull() & on_edge)
     by_key = Window.partitionBy(*keys).orderBy(_C, "__i")
     joined = (
         edges.where("__edge")
@@ -261,13 +280,11 @@ def interval_stats(
     with the parallel variance formula, so nothing is subtracted that could cancel.
     """
     keys = list(keys)
-    rows = df.where(F.col(ts).isNotNull()).select(
-        *keys, F.col(ts).alias("__t"), floor_us(F.col(ts), chunk).alias(_C)
-    )
-    w = Window.partitionBy(*keys, _C).orderBy("__t")
+    rows, cut = _chunked(df.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("__t")), keys, "__t", chunk)
+    w = Window.partitionBy(*cut).orderBy("__t")
     parts = (
         rows.withColumn("__d", F.col("__t") - F.lag("__t").over(w))
-        .groupBy(*keys, _C)
+        .groupBy(*cut)
         .agg(
             F.count(F.lit(1)).alias("__n"),
             F.min("__t").alias("__first"),
@@ -277,6 +294,8 @@ def interval_stats(
             F.var_pop("__d").alias("__v"),
         )
     )
+    if cut == keys:
+        parts = parts.withColumn(_C, F.lit(None).cast("bigint"))
     by_key = Window.partitionBy(*keys)
     linked = parts.withColumn(
         "__x", F.col("__first") - F.lag("__last").over(by_key.orderBy(_C))

@@ -47,11 +47,13 @@ def open_case(spark: SparkSession, paths: dict[str, str], split_bytes: int = 64
 def case_report(sources: Sources, host: str, work: bool = True) -> dict[str, DataFrame]:
     """Every table of the investigation of ``host``.
 
-    With ``work`` the host's packets and conversations are written once to the checkpoint folder
-    and all tables read them from there; a lost executor then costs no new pass over the capture.
+    With ``work`` the host's log records, packets and conversations are written once to the checkpoint
+    folder and all tables read them from there: one pass over each log and the capture, and a
+    lost executor costs no new one.
     """
     keep = cut_lineage if work else (lambda df: df)
-    own = sources.of_host(host)
+    cut = sources.of_host(host)
+    own = Sources(cut.frames, **{name: keep(df) for name, df in cut.logs().items()})
     packets = keep(filters.for_host(decode.decode(sources.frames), host, "src", "dst"))
     conv = keep(A.conversation_table(A.conversations(packets, host), own.conn))
     oriented = filters.orient(packets, host)
