@@ -17,17 +17,21 @@ from pyspark.sql import functions as F
 
 from . import learned, textgrams
 
-BITS = 18
+BITS = 20
 PER_CLASS = 2500
-STEPS, RATE, DECAY, MIN_DOCS, PRIOR = 200, 0.3, 1e-4, 3, -6.0
+STEPS, RATE, DECAY, SLOW, PRIOR = 200, 0.5, 0.3, 25.0, -6.0
+#: A feature is used if its share among toxic documents is so many standard errors above that among clean ones.
+SIGNIFICANCE = 4.0
+PREFIXES, GRAM = (3, 4, 6), 5
 _ENDS = np.zeros(256, np.int64)
 _ENDS[[ord(c) for c in ".!?|\n\r"]] = 1
 
 
-def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, textgrams.Words]:
-    """Feature of each word, each sentence's first word, each text's first sentence (both with the end), and the words.
+def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, textgrams.Words]:
+    """``(feature, sentence, first_word, first_sentence, words)`` of the texts.
 
-    A sentence ends with one of ``. ! ? |`` or a line break; only those with a word count.
+    A sentence ends with one of ``. ! ? |`` or a line break; only those with a word count. Features of a sentence are
+    its words, their first bytes (PREFIXES of them) and all runs of GRAM bytes within words, hashed.
     """
     w = textgrams.words(texts, textgrams.LETTERS)
     row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
@@ -36,7 +40,19 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, text
     new[1:] = (ends[1:] != ends[:-1]) | (row[1:] != row[:-1])
     first_word = np.flatnonzero(new)
     first_sentence = np.searchsorted(row[first_word], np.arange(len(w.first)))
-    return (w.hash >> np.uint64(64 - BITS)).astype(np.int64), np.append(first_word, len(w.start)), first_sentence, w
+    of_word = np.cumsum(new) - 1
+    length = w.end - w.start
+    feature, sentence = [w.hash], [of_word]
+    for k in PREFIXES:
+        longer = np.flatnonzero(length > k)
+        feature.append(w.span(w.start[longer], w.start[longer] + k) ^ np.uint64(k))
+        sentence.append(of_word[longer])
+    many = np.maximum(length - GRAM + 1, 0)
+    at = np.arange(many.sum()) + np.repeat(w.start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) if len(many) else w.start
+    feature.append(w.span(at, at + GRAM) ^ np.uint64(99))
+    sentence.append(np.repeat(of_word, many))
+    hashed = (np.concatenate(feature) >> np.uint64(64 - BITS)).astype(np.int64)
+    return hashed, np.concatenate(sentence), np.append(first_word, len(w.start)), first_sentence, w
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -50,9 +66,9 @@ def probability(logit: np.ndarray, first_sentence: np.ndarray) -> tuple[np.ndarr
 
 
 def fit(texts: list[str], labels: np.ndarray) -> bytes:
-    """Word weights (the last is the sentence bias) that maximise the likelihood of the document labels.
+    """Feature weights (the last is the sentence bias) that maximise the likelihood of the document labels.
 
-    Words of fewer than MIN_DOCS documents have weight 0. Without both classes every weight is 0 and the
+    Features that do not stand out among the toxic documents have weight 0. Without both classes every weight is 0 and the
     bias says which class there was (toxic only without any clean document).
     """
     size = 1 << BITS
@@ -61,28 +77,35 @@ def fit(texts: list[str], labels: np.ndarray) -> bytes:
     if len(labels) and (labels == 1).all():
         weight[size] = 30.0
     if len(set(labels.tolist())) == 2:
-        words, first_word, first_sentence = [], [0], [0]
-        for _, part in textgrams.slices(pa.array(texts, pa.large_string())):
-            f, fw, fs, _w = sentences(part)
-            first_sentence += (fs[1:] + len(first_word) - 1).tolist()
-            first_word += (fw[1:] + first_word[-1]).tolist()
-            words.append(f)
-        words, first_word, first_sentence = np.concatenate(words), np.array(first_word), np.array(first_sentence)
-        row = np.repeat(np.arange(len(labels)), np.diff(first_word[first_sentence]))
-        in_docs = np.bincount(np.unique(row << BITS | words) & (size - 1), minlength=size)
-        known = in_docs[words] >= MIN_DOCS
-        sentence = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))[known]
-        used, words = np.unique(words[known], return_inverse=True)
-        toxic = labels == 1
+        toxic, parts, counts = labels == 1, [], np.zeros((2, size))
+        for at, part in textgrams.slices(pa.array(texts, pa.large_string())):
+            f, sentence, _, first, _ = sentences(part)
+            row = np.searchsorted(first, sentence, side="right") - 1
+            pairs = np.unique(row << BITS | f)
+            for c in (0, 1):
+                counts[c] += np.bincount(pairs[toxic[at + (pairs >> BITS)] == c] & (size - 1), minlength=size)
+            parts.append((f, sentence, first))
+        n0, n1 = (~toxic).sum(), toxic.sum()
+        share = counts.sum(0) / (n0 + n1)
+        z = (counts[1] / n1 - counts[0] / n0) / np.sqrt(np.maximum(share * (1 - share) * (1 / n0 + 1 / n1), 1e-12))
+        chosen = z > SIGNIFICANCE
+        words, sentence, first_sentence = [], [], [0]
+        for f, s, first in parts:
+            known = chosen[f]
+            words.append(f[known])
+            sentence.append(s[known] + first_sentence[-1])
+            first_sentence += (first[1:] + first_sentence[-1]).tolist()
+        used, words = np.unique(np.concatenate(words), return_inverse=True)
+        sentence, first_sentence = np.concatenate(sentence), np.array(first_sentence)
         owner = np.repeat(np.arange(len(labels)), np.diff(first_sentence))
-        n, w, b = len(first_word) - 1, np.zeros(len(used)), PRIOR
-        square_w, square_b = np.full(len(used), 1e-8), 1e-8
+        n, w, b = int(first_sentence[-1]), np.zeros(len(used)), PRIOR
+        square_w, square_b = np.full(len(used), SLOW), 1e-8
         for _ in range(STEPS):
             p, doc = probability(np.bincount(sentence, w[words], n) + b, first_sentence)
             # d(-log likelihood) / d(logit): p for a clean document, -p (1 - P) / P for a toxic one
             pull = np.where(toxic, -(1 - doc) / np.maximum(doc, 1e-9), 1.0)
             g = p * pull[owner]
-            gw, gb = np.bincount(words, g[sentence], len(used)) + DECAY * len(labels) * w, g.sum()
+            gw, gb = np.bincount(words, g[sentence], len(used)) + DECAY * w, g.sum()
             square_w += gw**2
             square_b += gb**2
             w -= RATE * gw / np.sqrt(square_w)
@@ -98,6 +121,15 @@ def _weights(model: bytes) -> tuple[np.ndarray, float]:
     return weight[:-1], weight[-1]
 
 
+def rated(weight: np.ndarray, bias: float, texts: pa.Array):
+    """Probabilities of the sentences and texts, each sentence's first word, each text's first sentence, and the words."""
+    f, sentence, first_word, first_sentence, w = sentences(texts)
+    value = weight[f]
+    hit = np.flatnonzero(value)
+    p, doc = probability(np.bincount(sentence[hit], value[hit], len(first_word) - 1) + bias, first_sentence)
+    return p, doc, first_word, first_sentence, w
+
+
 def scorer(model: bytes):
     """A function from texts to ``score, n_sentences, worst_sentence, worst_score``, for use in a task."""
 
@@ -105,8 +137,7 @@ def scorer(model: bytes):
         weight, bias = _weights(model)
 
         def score(texts: pa.Array) -> dict[str, np.ndarray]:
-            f, first_word, first_sentence, _ = sentences(texts)
-            p, doc = probability(_sums(weight[f], first_word) + bias, first_sentence)
+            p, doc, _, first_sentence, _ = rated(weight, bias, texts)
             many = np.diff(first_sentence)
             worst = np.full(len(many), -1, np.int64)
             row = np.repeat(np.arange(len(many)), many)
@@ -147,8 +178,7 @@ def offending(docs: DataFrame, model: bytes, least: float = 0.5) -> DataFrame:
         weight, bias = _weights(shared.value)
         for batch in batches:
             for at, part in textgrams.slices(batch.column(1)):
-                f, first_word, first_sentence, w = sentences(part)
-                p, _ = probability(_sums(weight[f], first_word) + bias, first_sentence)
+                p, _, first_word, first_sentence, w = rated(weight, bias, part)
                 hit = np.flatnonzero(p >= least)
                 row = np.searchsorted(first_sentence, hit, side="right") - 1
                 begin, end = w.start[first_word[hit]], w.end[first_word[hit + 1] - 1]

@@ -60,6 +60,12 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # index of each text's first word, with the end
     hash: np.ndarray
+    sums: np.ndarray  # running sum of byte * P ** position
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans; equal bytes have equal hashes wherever they stand."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[start]) * _power(len(self.raw))[1][start])
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each text's runs of k words, and the index of each text's first one, with the end.
@@ -95,12 +101,12 @@ def words(column: pa.Array, table: np.ndarray = SPACED) -> Words:
     after = np.concatenate([inside[1:], [False]]) if len(raw) else inside
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    up, down = _power(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(value * up[: len(raw)], out=sums[1:])
-        hashes = mix((sums[end] - sums[start]) * down[start])
-    return Words(raw, bounds, start, end, np.searchsorted(start, bounds), hashes)
+        np.cumsum(value * _power(len(raw))[0][: len(raw)], out=sums[1:])
+    out = Words(raw, bounds, start, end, np.searchsorted(start, bounds), start, sums)
+    out.hash = out.span(start, end)
+    return out
 
 
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
