@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_sharding, op5_toxicity, op6_quality, op8_mixing, op10_decontaminate
+from . import op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op8_mixing, op10_decontaminate
 from .common import table
 
 Question = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op3_sharding_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return op3_sharding.shard(table(spark, sf, "documents"))
 
 
+def op4_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
+    return op4_embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op5_toxicity_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return op5_toxicity.score(docs, op5_toxicity.train(docs, table(spark, sf, "labels")))
@@ -36,7 +40,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def questions() -> dict[str, Question]:
     found = [
-        op3_sharding_bytes, op5_toxicity_scores, op6_quality_scores, op8_mixing_words, op10_benchmark_leaks,
+        op3_sharding_bytes, op4_embedding_links, op5_toxicity_scores, op6_quality_scores, op8_mixing_words, op10_benchmark_leaks,
     ]
     return {fn.__name__: fn for fn in found}
 
