@@ -24,6 +24,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of hashes and ids (under 50 MB) that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (hashes and ids, kept as a table) marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_id(text: Column) -> Column:
     """16 bytes that stand for an exact text; null for a null text."""
     return F.unhex(F.md5(text))

@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, kept, text_id
+from .common import LOWER, UPPER, WORD, kept, small, text_id
 
 SHINGLE = 5
-#: Rows of hashes and ids (under 50 MB) that may be broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def norm_words(text: Column) -> Column:
@@ -53,12 +51,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 
     ``text_key`` is the hash of the whole text. Items of fewer than five words have no shingle and match
     nothing, nor do null and empty texts; repeated items are reported each. Item sketches are broadcast
-    while their counted rows stay below BROADCAST_ROWS; beyond that the join shuffles hashes.
+    while their counted rows stay within a bound; beyond that the join shuffles hashes.
     """
     # equal items are searched once
     items = benchmark.select("item_id", "text", text_id(F.col("text")).alias("item_no"))
     shingles, sketches = signatures(items.groupBy("item_no").agg(F.first("text").alias("text"), F.first("item_id").alias("item_id")), threshold)
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     named = docs.select("text", text_id(F.col("text")).alias("text_key"))
     met = shingle_rows(named, "text_key").join(small(sketches), "shingle")
     met = met.where(F.col("n_all") >= F.lit(threshold) * F.col("n") - 1e-9)

@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op8_mixing, op10_decontaminate
-from .common import table
+from ..streaming.runtime import scratch
+from . import op2_licenses, op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op7_token_counts, op8_mixing, op9_jaccard, op10_decontaminate
+from .common import kept, table, text_id
 
 Question = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_license_units(spark: SparkSession, sf: str) -> DataFrame:
+    return op2_licenses.scan(table(spark, sf, "documents"))
+
+
 def op3_sharding_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return op3_sharding.shard(table(spark, sf, "documents"))
 
@@ -30,20 +36,43 @@ def op6_quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return op6_quality.score(docs, op6_quality.train(docs, table(spark, sf, "labels")))
 
 
+def op7_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after three batches: every document; exact copies (all but the smallest doc_id) deleted; documents in other
+    languages than English recounted with the multilingual vocabulary. Each batch is committed twice."""
+    docs = table(spark, sf, "documents")
+    rollup = op7_token_counts.Rollup(spark, scratch(spark, "token-rollup"))
+    counted = op7_token_counts.count_tokens(docs, op7_token_counts.VOCABULARY, "byte_bpe_50k")
+    keyed = docs.select("doc_id", text_id(F.col("text")).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = kept(keyed.join(first, "key").where("doc_id > first").select("doc_id"), "copies")
+    other = docs.join(copies, "doc_id", "left_anti").where("lang <> 'en'")
+    recounted = op7_token_counts.count_tokens(other, op7_token_counts.MULTILINGUAL, "byte_bpe_multi_50k")
+    for _ in range(2):
+        rollup.commit("1-all", inserts=counted)
+        rollup.commit("2-copies", deletes=copies)
+        rollup.commit("3-multilingual", inserts=recounted, deletes=other.select("doc_id"))
+    return rollup.totals()
+
+
 def op8_mixing_words(spark: SparkSession, sf: str) -> DataFrame:
     return op8_mixing.mix(table(spark, sf, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_jaccard_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return op9_jaccard.jaccard_classes(table(spark, sf, "documents"))
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return op10_decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 def questions() -> dict[str, Question]:
     found = [
-        op3_sharding_bytes, op4_embedding_links, op5_toxicity_scores, op6_quality_scores, op8_mixing_words, op10_benchmark_leaks,
+        op2_license_units, op3_sharding_bytes, op4_embedding_links, op5_toxicity_scores, op6_quality_scores, op7_token_rollup, op8_mixing_words,
+        op9_jaccard_classes, op10_benchmark_leaks,
     ]
     return {fn.__name__: fn for fn in found}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op2_license_units": op2_licenses.oracle_sql()}
