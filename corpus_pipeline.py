@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import op3_sharding, op6_quality, op8_mixing, op10_decontaminate
+from tracelode.llm import op3_sharding, op6_quality, op8_mixing, op9_jaccard, op10_decontaminate
 from tracelode.llm.common import kept, table
 
 
@@ -13,6 +13,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op6_quality.keep_good(docs, op6_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that the Jaccard join links."""
+    return op9_jaccard.one_per_class(docs)
+
+
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     return op10_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -30,6 +35,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", leaks),
     ("mixing sources to target weights", mixing),
     ("sharding", sharding),

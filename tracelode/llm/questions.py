@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming.runtime import scratch
-from . import op2_licenses, op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op7_token_counts, op8_mixing, op9_jaccard, op10_decontaminate
+from . import op1_lines, op2_licenses, op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op7_token_counts, op8_mixing, op9_jaccard, op10_decontaminate
 from .common import kept, table, text_id
 
 Question = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return op1_lines.line_counts(table(spark, sf, "documents"))
+
+
 def op2_license_units(spark: SparkSession, sf: str) -> DataFrame:
     return op2_licenses.scan(table(spark, sf, "documents"))
 
@@ -68,7 +72,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def questions() -> dict[str, Question]:
     found = [
-        op2_license_units, op3_sharding_bytes, op4_embedding_links, op5_toxicity_scores, op6_quality_scores, op7_token_rollup, op8_mixing_words,
+        op1_line_counts, op2_license_units, op3_sharding_bytes, op4_embedding_links, op5_toxicity_scores, op6_quality_scores, op7_token_rollup, op8_mixing_words,
         op9_jaccard_classes, op10_benchmark_leaks,
     ]
     return {fn.__name__: fn for fn in found}
