@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..streaming.runtime import scratch
 from . import op1_lines, op2_licenses, op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op7_token_counts, op8_mixing, op9_jaccard, op10_decontaminate
 from .common import kept, table, text_id
+from .oracles import oracles  # noqa: F401
 
 Question = Callable[[SparkSession, str], DataFrame]
 
@@ -76,7 +77,3 @@ def questions() -> dict[str, Question]:
         op9_jaccard_classes, op10_benchmark_leaks,
     ]
     return {fn.__name__: fn for fn in found}
-
-
-def oracles() -> dict[str, str]:
-    return {"op2_license_units": op2_licenses.oracle_sql()}
