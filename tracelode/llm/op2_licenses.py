@@ -123,15 +123,13 @@ def scan_texts(texts: DataFrame, threshold: float = THRESHOLD, licences: dict[st
         F.explode(F.concat(F.array(unit("text", F.lit(0), F.col("t"))), many("paragraph", "\n *\n"), many("line", "\n"))).alias("s"),
     ).select("text_key", "s.*")
     words = units.select("text_key", "unit", "unit_no", words_of(F.col("u")).alias("w"))
-    # words bound distinct bigrams from above; repeats are taken off when the coefficient is computed
-    words = words.withColumn("size", F.size("w")).where(F.col("size") >= 2)
+    # every distinct word but one starts a bigram of its own, so few words are left before bigrams are made
+    words = words.withColumn("parts", F.array_distinct("w")).where((F.size("w") >= 2) & (F.size("parts") - 1 <= F.lit(most)))
+    own = words.select("text_key", "unit", "unit_no", "parts", bigrams(F.col("w")).alias("own")).where(F.size("own") <= F.lit(most))
     anchored = known.select("license", "template", "n", F.explode("anchors").alias("word"))
-    met = words.select("*", F.explode("w").alias("word")).join(F.broadcast(anchored), "word")
-    met = met.where((F.col("size") - 1) >= F.lit(low) * F.col("n") - 1e-9)
-    pairs = met.groupBy("text_key", "unit", "unit_no", "license", "template").agg(F.first("w").alias("w"))
-    pairs = pairs.withColumn("own", bigrams(F.col("w"))).where(F.size("own") <= F.lit(most))
-    pairs = pairs.join(F.broadcast(known.select("license", "template", "grams", "n")), ["license", "template"])
-    pairs = pairs.where(F.size("own").between(F.lit(low) * F.col("n") - 1e-9, F.lit(high) * F.col("n") + 1e-9))
+    met = own.select("*", F.explode("parts").alias("word")).drop("parts").join(F.broadcast(anchored), "word")
+    met = met.where(F.size("own").between(F.lit(low) * F.col("n") - 1e-9, F.lit(high) * F.col("n") + 1e-9))
+    pairs = met.join(F.broadcast(known.select("license", "template", "grams")), ["license", "template"])
     shared = F.size(F.array_intersect("own", "grams"))
     pairs = pairs.withColumn("dice", F.lit(2.0) * shared / (F.size("own") + F.col("n"))).where(F.col("dice") >= threshold)
     best = F.min(F.struct((-F.col("dice")).alias("d"), F.col("license")))
