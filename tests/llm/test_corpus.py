@@ -131,7 +131,7 @@ def test_licences(spark, empty):
     df = corpus.crowded(corpus.frame(spark, rows + [rows[1]]))
     got = corpus.bag(op2_licenses.scan(df).select("doc_id", "unit", "unit_no", "license").collect())
     assert got == corpus.bag([
-        (1, "line", 1, "MIT"), (2, "text", 0, "MIT"), (2, "text", 0, "MIT"), (3, "paragraph", 1, "CC-BY-NC-4.0"), (3, "line", 2, "CC-BY-NC-4.0"),
+        (1, "line", 1, "MIT"), (2, "text", 0, "MIT"), (2, "text", 0, "MIT"), (3, "text", 0, "CC-BY-NC-4.0"), (3, "paragraph", 1, "CC-BY-NC-4.0"), (3, "line", 2, "CC-BY-NC-4.0"),
         (None, "text", 0, "Apache-2.0"), (7, "text", 0, "MIT"),
     ])
     assert op2_licenses.scan(empty).count() == 0
