@@ -82,10 +82,12 @@ def test_dns_errors_are_rows(spark):
     loop = head + b"\xc0\x0c" + b"\0\1\0\1"
     aaaa = reply[:-16] + b"\xc0\x0c" + struct.pack("!HHIH", 28, 1, 5, 3) + b"\1\2\xff"
     extra = struct.pack("!HHHHHH", 1, 0, 0, 0, 0, 1)
-    got = dns_rows(spark, query, reply, loop, query + b"!", query[:20], aaaa, extra, b"\0\1")
+    edns = query[:11] + b"\1" + query[12:] + b"\0" + struct.pack("!HHIH", 41, 1232, 0, 0)
+    got = dns_rows(spark, query, reply, loop, query + b"!", query[:20], aaaa, extra, edns, b"\0\1")
     assert [r.error for r in got] == [
-        None, None, "name pointer loop", "bytes left over", "message ends early", None, "authority or additional records", "message ends early"
+        None, None, "name pointer loop", "bytes left over", "message ends early", None, "message ends early", None, "message ends early"
     ]
+    assert got[7].questions == got[0].questions and (got[7].authority, got[7].additional) == (0, 1)
     assert got[1].answers[0]["address"] == ev.OUTSIDE and got[5].answers[0]["address"] == "0102ff"
 
 
@@ -247,17 +249,38 @@ def test_http_over_two_packets_is_incomplete(spark):
     assert parts.where("header_bytes is not null").count() == 1
 
 
-def test_long_conversations_keep_their_pattern_apart(spark):
-    """Patterns longer than what is shown are still told apart and all are counted."""
+def test_long_conversations_keep_their_whole_pattern(spark):
     rows = []
     for conv, tail in enumerate([24, 24, 17]):
-        flags = [2, 18] + [16] * 20 + [tail]
-        rows += [(f"h{conv}", 1, "s", 2, "tcp", 100 * conv + i, f) for i, f in enumerate(flags)]
+        flags = [2, 18] + [16] * 1200 + [tail]
+        rows += [(f"h{conv}", 1, "s", 2, "tcp", 10_000 * conv + i, f) for i, f in enumerate(flags)]
     df = spark.createDataFrame(rows, "src STRING, sport BIGINT, dst STRING, dport BIGINT, proto STRING, packet BIGINT, flags BIGINT")
-    got = aggregates.flag_patterns(df, max_shown=3, chunk=5).collect()
-    assert sorted(r.conversations for r in got) == [1, 2] and {r.pattern for r in got} == {"[2, 18, 16, ...]"}
-    full = {r.pattern: r.conversations for r in aggregates.flag_patterns(df).collect()}
-    assert sorted(full.values()) == [1, 2] and len(full) == 2
+    for chunk in (5, 10**6):
+        got = {r.pattern: (r.conversations, r.packets) for r in aggregates.flag_patterns(df, chunk=chunk).collect()}
+        assert got == {"[2, 18, 16x1200, 24]": (2, 1203), "[2, 18, 16x1200, 17]": (1, 1203)}
+
+
+def test_key_value_of_any_length(spark):
+    long = "x" * 1_000_000
+    lines = spark.createDataFrame([(1, f'a="{long}" b=2'), (2, 'a="' + r'\"' * 20_000 + '" b=3')], "line BIGINT, raw STRING")
+    got = logs.parse_kv(lines, ["a", "b"]).orderBy("line").collect()
+    assert got[0].a == long and got[0].b == "2" and got[1].a == '"' * 20_000 and got[1].b == "3" and not got[0].error and not got[1].error
+
+
+def test_fingerprint_sees_a_moved_null(spark):
+    a = spark.createDataFrame([(1, None, "x")], "k INT, p STRING, q STRING")
+    b = spark.createDataFrame([(1, "x", None)], "k INT, p STRING, q STRING")
+    assert integrity.fingerprint(a).first().content_sum != integrity.fingerprint(b).first().content_sum
+    assert joins.compare_copies(a, b, ["k"], ["p", "q"]).first().status == "differs"
+    assert joins.compare_copies(a, a, ["k"], ["p", "q"]).count() == 0
+
+
+def test_repeated_and_odd_headers(spark):
+    raw = b"POST /a HTTP/1.0\r\nCookie: a=1\r\nCookie: b=2\r\ncontent-length:2\r\nnot a header\r\n\r\nok"
+    df = spark.createDataFrame([(1, 1, "s", "d", 1, 2, "tcp", raw)], "packet INT, ts_us INT, src STRING, dst STRING, sport INT, dport INT, proto STRING, payload BINARY")
+    r = decode.http_messages(df).first()
+    assert r.headers == {"Cookie": "b=2", "content-length": "2"} and [h.value for h in r.header_list] == ["a=1", "b=2", "2"]
+    assert r.content_length == 2 and r.length_agrees
 
 
 def test_zone_table_prefers_the_longest_prefix(spark):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .binary import latin1
 
-# A value is a bare word or a quoted JSON string.
-KV = r'(\w+)=("(?:[^"\\]|\\.)*"|\S+)'
+# A value is a bare word or a quoted JSON string. The possessive repeats keep the matcher from recursing, so
+# a value may have any length.
+KV = r'(\w+)=("(?:[^"\\]++|\\.)*+"|\S+)'
 
 
 def kv_keys(line: Column) -> Column:
@@ -44,7 +45,8 @@ def kv_rest(line: Column) -> Column:
 def http_parts(payload: Column) -> dict[str, Column]:
     """Request/response parts of one payload. Lengths are in bytes.
 
-    ``header_bytes`` includes the blank line; it is null when there is none.
+    ``header_bytes`` includes the blank line; it is null when there is none. ``header_list`` has every header line in
+    order; in the map ``headers`` the last of several equal names counts. A line without a colon is no header.
     """
     text = latin1(payload)
     cut = F.locate("\r\n\r\n", text)
@@ -52,16 +54,19 @@ def http_parts(payload: Column) -> dict[str, Column]:
     head = F.when(found, F.substring(text, F.lit(1), cut - 1))
     lines = F.split(head, "\r\n")
     pairs = F.transform(
-        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
+        F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda v: F.contains(v, F.lit(":"))),
         lambda v: F.struct(
-            F.substring_index(v, ": ", 1).alias("key"),
-            F.substring(v, F.locate(": ", v) + 2, F.length(v)).alias("value"),
+            F.substring_index(v, ":", 1).alias("key"),
+            F.btrim(F.substring(v, F.locate(":", v) + 1, F.length(v)), F.lit(" \t")).alias("value"),
         ),
     )
+    names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["key"] == n), -1)["value"])
     body = F.when(found, F.substring(text, cut + 4, F.length(text)))
     return {
         "request_line": F.get(lines, F.lit(0)),
-        "headers": F.when(found, F.map_from_entries(pairs)),
+        "headers": F.when(found, F.map_from_arrays(names, last)),
+        "header_list": F.when(found, pairs),
         "payload_bytes": F.length(payload).cast("bigint"),
         "header_bytes": F.when(found, (cut + 3).cast("bigint")),
         "body_bytes": F.when(found, (F.length(payload) - cut - 3).cast("bigint")),
@@ -69,6 +74,11 @@ def http_parts(payload: Column) -> dict[str, Column]:
     }
 
 
+def header(headers: Column, name: str) -> Column:
+    """The last header of this name in a ``header_list``, in any case; null if there is none."""
+    return F.get(F.reverse(F.filter(headers, lambda h: F.lower(h["key"]) == name.lower())), F.lit(0))["value"]
+
+
 def entropy_bits(text: Column) -> Column:
     """Shannon entropy per character. Row-local, so no shuffle."""
     chars = F.split(text, "")

@@ -285,16 +285,13 @@ def byte_units(df: DataFrame, units: Mapping[str, Column]) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values of several columns as (field, value); array columns are exploded."""
-    out = None
+    """Distinct values of several columns as (field, value) from one scan; array columns are exploded."""
+    kinds = dict(df.dtypes)
+    named = []
     for name in columns:
-        is_array = dict(df.dtypes)[name].startswith("array")
-        value = F.explode(name) if is_array else F.col(name)
-        part = df.select(value.alias("v")).where("v is not null").distinct().select(
-            F.lit(name).alias("field"), F.col("v").cast("string").alias("value")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+        values = F.col(name) if kinds[name].startswith("array") else F.array(name)
+        named.append(F.transform(F.coalesce(values.cast("array<string>"), F.array()), lambda v, n=name: F.struct(F.lit(n).alias("field"), v.alias("value"))))
+    return df.select(F.explode(F.concat(*named)).alias("x")).select("x.*").where("value is not null").distinct()
 
 
 def states(conn: DataFrame, keys: Sequence[str] = ("resp_p",)) -> DataFrame:
@@ -315,33 +312,29 @@ def count_histogram(matched: DataFrame, key: str) -> DataFrame:
     return per_key.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-def flag_patterns(packets: DataFrame, max_shown: int = 256, chunk: int = LINES) -> DataFrame:
-    """Histogram of the ordered TCP flags of conversations.
+def flag_patterns(packets: DataFrame, chunk: int = LINES) -> DataFrame:
+    """Histogram of the ordered TCP flags of conversations, in full.
 
-    Conversations of any length are counted by an order-sensitive fingerprint over
-    (position, flags). The text shows at most the first ``max_shown`` flags and ends in ", ..."
-    where there are more, so no conversation is gathered into one row.
+    From four equal flags in a row on a run is written once, as ``24x296``, so a pattern grows with
+    the changes of a conversation and not with its packets.
     """
     end_a, end_b, _ = _pair(packets)
     pair = ["__a", "__b"]
     rows = packets.where(F.col("proto") == "tcp").select(end_a.alias("__a"), end_b.alias("__b"), "packet", "flags")
     placed = ordered.running_totals(rows, pair, "packet", {"position": F.lit(1).cast("bigint")}, (), chunk)
-    shown = F.when(F.col("position") <= max_shown, F.struct("position", "flags"))
-    per_conv = placed.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.sum(F.xxhash64("position", "flags").cast("decimal(38,0)")).alias("__key"),
-        F.array_sort(F.collect_list(shown)).alias("__shown"),
+    same = ordered.islands(placed, [*pair, "flags"], "position", 2, chunk=chunk)
+    per_conv = same.groupBy(*pair).agg(
+        F.sum("n").alias("packets"), F.array_sort(F.collect_list(F.struct("start", "flags", "n"))).alias("__runs")
     )
-    flags = F.array_join(F.transform("__shown", lambda s: s["flags"].cast("string")), ", ")
-    more = F.when(F.col("packets") > max_shown, ", ...").otherwise("")
-    return (
-        per_conv.groupBy("__key", "packets")
-        .agg(
-            F.first(F.concat(F.lit("["), flags, more, F.lit("]"))).alias("pattern"),
-            F.count(F.lit(1)).alias("conversations"),
-        )
-        .drop("__key")
+    flags = lambda r: r["flags"].cast("string")
+    shown = F.transform(
+        "__runs",
+        lambda r: F.when(r["n"] > 3, F.concat(flags(r), F.lit("x"), r["n"].cast("string"))).otherwise(
+            F.array_join(F.array_repeat(flags(r), r["n"].cast("int")), ", ")
+        ),
     )
+    text = F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
+    return per_conv.select("packets", text.alias("pattern")).groupBy("packets", "pattern").agg(F.count(F.lit(1)).alias("conversations"))
 
 
 def payload_counts(packets: DataFrame) -> DataFrame:

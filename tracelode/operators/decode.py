@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions.binary import hex_prefix, ipv4_at, latin1, u8, u16, u32
 from ..functions.clock import iso_utc
-from ..functions.text import http_parts
+from ..functions.text import header, http_parts
 
 IPV4 = 0x0800
 ETHERNET_BYTES = 14
@@ -187,12 +187,13 @@ _QUESTION = pa.struct([("name", pa.string()), ("qtype", pa.int64()), ("qclass",
 _ANSWER = pa.struct([("name", pa.string()), ("type", pa.int64()), ("ttl", pa.int64()), ("address", pa.string())])
 _DNS_FIELDS = {
     "tid": pa.int64(), "response": pa.bool_(), "rcode": pa.int64(),
-    "questions": pa.list_(_QUESTION), "answers": pa.list_(_ANSWER), "error": pa.string(),
+    "questions": pa.list_(_QUESTION), "answers": pa.list_(_ANSWER), "authority": pa.int64(), "additional": pa.int64(),
+    "error": pa.string(),
 }
 DNS_COLUMNS = (
     "tid BIGINT, response BOOLEAN, rcode BIGINT, "
     "questions ARRAY<STRUCT<name: STRING, qtype: BIGINT, qclass: BIGINT>>, "
-    "answers ARRAY<STRUCT<name: STRING, type: BIGINT, ttl: BIGINT, address: STRING>>, error STRING"
+    "answers ARRAY<STRUCT<name: STRING, type: BIGINT, ttl: BIGINT, address: STRING>>, authority BIGINT, additional BIGINT, error STRING"
 )
 
 
@@ -236,19 +237,22 @@ def _parse_dns(data: bytes) -> dict:
     r = _Reader(bytes(data))
     tid, bits, asked, given, authority, extra = (r.number(2) for _ in range(6))
     questions = [{"name": r.name(), "qtype": r.number(2), "qclass": r.number(2)} for _ in range(asked)]
-    answers = []
-    for _ in range(given):
+
+    def record() -> dict:
         name, kind, _cls, ttl, size = r.name(), r.number(2), r.number(2), r.number(4), r.number(2)
         value = r.take(size)
         text = ".".join(map(str, value)) if kind == 1 and size == 4 else value.hex()
-        answers.append({"name": name, "type": kind, "ttl": ttl, "address": text})
-    if authority or extra:
-        raise ValueError("authority or additional records")
+        return {"name": name, "type": kind, "ttl": ttl, "address": text}
+
+    answers = [record() for _ in range(given)]
+    # other sections are read and counted; modern queries carry one additional record
+    for _ in range(authority + extra):
+        record()
     if r.at != len(r.data):
         raise ValueError("bytes left over")
     return {
         "tid": tid, "response": bits >= 0x8000, "rcode": bits % 16,
-        "questions": questions, "answers": answers, "error": None,
+        "questions": questions, "answers": answers, "authority": authority, "additional": extra, "error": None,
     }
 
 
@@ -306,7 +310,7 @@ def http_messages(packets: DataFrame) -> DataFrame:
     )
     parts = http_parts(F.col("payload"))
     named = requests.select("packet", "ts_us", "src", "dst", "sport", "dport", *[v.alias(k) for k, v in parts.items()])
-    declared = F.try_element_at(F.col("headers"), F.lit("Content-Length")).try_cast("bigint")
+    declared = header(F.col("header_list"), "Content-Length").try_cast("bigint")
     return named.select(
         "*",
         declared.alias("content_length"),

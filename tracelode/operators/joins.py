@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..schemas import TUPLE
 from . import ordered
+from .integrity import row_print
 from .ordered import CHUNK
 
 # Inclusive tolerances in microseconds.
@@ -300,7 +301,7 @@ def compare_copies(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequ
     Differing values include different numbers of copies.
     """
     keys = list(keys)
-    print_ = F.xxhash64(*values).cast("decimal(38,0)")
+    print_ = row_print(list(values))
     sides = a.select(*keys, print_.alias("__f"), F.lit("a").alias("__s")).unionByName(
         b.select(*keys, print_.alias("__f"), F.lit("b").alias("__s"))
     )
@@ -308,8 +309,8 @@ def compare_copies(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequ
     counted = sides.groupBy(*keys).agg(
         F.count_if(in_a).alias("in_a"),
         F.count_if(in_b).alias("in_b"),
-        F.sum(F.when(in_a, F.col("__f"))).alias("__fa"),
-        F.sum(F.when(in_b, F.col("__f"))).alias("__fb"),
+        F.struct(*[F.sum(F.when(in_a, F.col(f"__f.{w}"))) for w in "xy"]).alias("__fa"),
+        F.struct(*[F.sum(F.when(in_b, F.col(f"__f.{w}"))) for w in "xy"]).alias("__fb"),
     )
     verdict = (
         F.when(F.col("in_b") == 0, "missing_in_b")
