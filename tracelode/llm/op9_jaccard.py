@@ -5,7 +5,8 @@ a leader (they share MinHash pairs, and the Jaccard of each with its leader is c
 say then answers for their sets: an overlap of x and y lies within the differences of x and y from their leaders
 of the overlap of the leaders, so most other pairs are accepted or left out unread. Candidate pairs
 come from an index of the sets' rarest shingles, whose lists are cut into blocks by size; a block pair is skipped
-when positions and sizes cannot reach the threshold or when all its sets are connected already.
+when positions and sizes cannot reach the threshold or when all its sets are connected already. How many of their rarest
+shingles two sets share bounds their overlap, so most pairs end there.
 """
 
 from __future__ import annotations
@@ -84,16 +85,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(frequent: tuple[np.ndarray, np.ndarray]):
-    """Prefix of each set in the order of rarity: text_id, n, shingle, at (position)."""
+    """Prefix of each set in the order of rarity: text_id, many, n, shingle, at (position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, count = frequent
         for batch in batches:
-            ids = batch.column(0)
+            ids, several = batch.column(0), batch.column(1)
             seen: set[bytes] = set()
             out: list[tuple[int, int, np.ndarray]] = []
             plain = ids.to_pylist()
-            for row, s in _sets(batch.column(1)):
+            for row, s in _sets(batch.column(2)):
                 if not len(s) or plain[row] in seen:
                     continue
                 seen.add(plain[row])
@@ -110,11 +111,11 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray]):
                 rows = np.repeat(np.array([r for r, _, _ in part]), many)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(rows)), pa.array(np.repeat(np.array([n for _, n, _ in part]), many)),
+                        ids.take(pa.array(rows)), several.take(pa.array(rows)), pa.array(np.repeat(np.array([n for _, n, _ in part]), many)),
                         pa.array(np.concatenate([s for _, _, s in part]).view(np.int64)),
                         pa.array(np.concatenate([np.arange(k) for k in many])),
                     ],
-                    ["text_id", "n", "shingle", "at"],
+                    ["text_id", "many", "n", "shingle", "at"],
                 )
 
     return run
@@ -184,17 +185,23 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     value, count = top["s"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(value)
     frequent = docs.sparkSession.sparkContext.broadcast((value[order], count[order]))
-    postings = bodies.mapInArrow(lambda b: _postings(frequent.value)(b), "text_id binary, n long, shingle long, at long").distinct()
-    postings = kept(postings, "jaccard-postings")
-    shared = postings.groupBy("shingle").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("shingle")
+    # a text that stands in several rows gives its postings once
+    several = kept(signatures.groupBy("text_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND text_id IS NOT NULL").select("text_id", F.lit(True).alias("many")), "jaccard-several")
+    marked = bodies.join(small(several), "text_id", "left").select("text_id", F.coalesce("many", F.lit(False)).alias("many"), "text")
+    postings = kept(
+        marked.mapInArrow(lambda b: _postings(frequent.value)(b), "text_id binary, many boolean, n long, shingle long, at long"), "jaccard-postings"
+    )
+    postings = postings.where("NOT many").unionByName(postings.where("many").distinct()).drop("many")
+    shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     lists = postings.join(shared, "shingle").join(state.select("text_id", "root"), "text_id")
     lists = kept(lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))), "jaccard-lists")
     block = lists.groupBy("shingle", "band").agg(
-        F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("at").alias("at"), F.min("n").alias("n0"), F.max("n").alias("n1")
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("at").alias("at"), F.max("at").alias("upto"), F.min("n").alias("n0"), F.max("n").alias("n1")
     )
     as_ = lambda df, side, *cols: df.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in cols])
-    x, y = (as_(block, side, "band", "r0", "r1", "at", "n0", "n1") for side in "xy")
-    reach = F.least(F.col("n1_x") - F.col("at_x"), F.col("n1_y") - F.col("at_y"))
+    x, y = (as_(block, side, "band", "r0", "r1", "at", "upto", "n0", "n1") for side in "xy")
+    # common shingles before this one, and what follows it
+    reach = F.least("upto_x", "upto_y") + F.least(F.col("n1_x") - F.col("at_x"), F.col("n1_y") - F.col("at_y"))
     skip = (reach * (100 + PERCENT) < PERCENT * (F.col("n0_x") + F.col("n0_y"))) | (
         (F.col("r0_x") == F.col("r1_x")) & (F.col("r0_y") == F.col("r1_y")) & (F.col("r0_x") == F.col("r0_y"))
     )
@@ -203,8 +210,14 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = opened.join(left, ["shingle", "band_x"]).join(right, ["shingle", "band_y"])
     met = met.where("root_x <> root_y AND (band_x < band_y OR text_id_x < text_id_y)")
     met = met.where(f"100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y)")
-    met = met.where(F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y")))
-    pairs = met.select(F.least("text_id_x", "text_id_y").alias("a"), F.greatest("text_id_x", "text_id_y").alias("b")).distinct()
+    most = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    met = met.where(most * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y")))
+    # of the set whose prefix ends first, every common shingle is counted or lies behind the prefix
+    behind = F.ceil(F.lit(PERCENT) * F.greatest("n_x", "n_y") / 100) - 1
+    pairs = met.groupBy(F.least("text_id_x", "text_id_y").alias("a"), F.greatest("text_id_x", "text_id_y").alias("b")).agg(
+        F.count(F.lit(1)).alias("met"), F.first(behind).alias("behind"), F.first(F.col("n_x") + F.col("n_y")).alias("both")
+    )
+    pairs = pairs.where((F.col("met") + F.col("behind")) * (100 + PERCENT) >= PERCENT * F.col("both")).select("a", "b")
     side = lambda s: state.select(*[F.col(c).alias(f"{c}_{s}") for c in ("text_id", "n", "leader", "n_leader", "same_leader")]).withColumnRenamed(f"text_id_{s}", s)
     pairs = kept(pairs.join(side("a"), "a").join(side("b"), "b"), "jaccard-pairs")
 
