@@ -37,12 +37,17 @@ def needed(n: np.ndarray) -> np.ndarray:
     return -(-n * PERCENT // 100)
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct shingles of each text."""
     for at, part in textgrams.slices(column):
         h, first = textgrams.words(part).shingles(SHINGLE)
         for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            yield at + i, np.unique(h[a:b])
+            yield at + i, _distinct(h[a:b])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +60,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def frequent() -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(run), return_counts=True)
         value, count = value[count >= LOCAL].view(np.int64), count[count >= LOCAL]
-        pairs = pa.array([[{"s": int(s), "c": int(c)} for s, c in zip(value, count, strict=True)]], pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())])))
+        pairs = pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.StructArray.from_arrays([pa.array(value), pa.array(count)], ["s", "c"]))
         empty = [pa.array([None], kind) for kind in (no_id, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())]
         return pa.RecordBatch.from_arrays([*empty, pairs], names)
 
@@ -64,20 +69,24 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             no_id = batch.column(0).type
             n, keys = np.zeros(batch.num_rows, np.int64), np.zeros((3, batch.num_rows), np.int64)
             ids = batch.column(1).to_pylist()
-            for row, s in _sets(batch.column(2)):
-                n[row] = len(s)
-                if not len(s):
+            for at, part in textgrams.slices(batch.column(2)):
+                h, first = textgrams.words(part).shingles(SHINGLE)
+                full = np.flatnonzero(np.diff(first))
+                if not len(full):
                     continue
-                low = [textgrams.mix(s * salt).min() for salt in _SALTS]
+                low = [np.minimum.reduceat(textgrams.mix(h * salt), first[full]) for salt in _SALTS]
                 for k in range(3):
-                    keys[k, row] = textgrams.mix(low[2 * k] * np.uint64(3) + low[2 * k + 1]).view(np.int64)
-                if ids[row] not in known:
-                    known.add(ids[row])
-                    run.append(s)
-                    total += len(s)
-                    if total > RUN:
-                        yield frequent()
-                        run, known, total = [], set(), 0
+                    keys[k, at + full] = textgrams.mix(low[2 * k] * np.uint64(3) + low[2 * k + 1]).view(np.int64)
+                for row in full:
+                    s = _distinct(h[first[row] : first[row + 1]])
+                    n[at + row] = len(s)
+                    if ids[at + row] not in known:
+                        known.add(ids[at + row])
+                        run.append(s)
+                        total += len(s)
+                        if total > RUN:
+                            yield frequent()
+                            run, known, total = [], set(), 0
             columns = [batch.column(0), batch.column(1), pa.array(n), *(pa.array(k) for k in keys)]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())])))], names)
         if run:
