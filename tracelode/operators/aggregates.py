@@ -287,11 +287,13 @@ def byte_units(df: DataFrame, units: Mapping[str, Column]) -> DataFrame:
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of several columns as (field, value) from one scan; array columns are exploded."""
     kinds = dict(df.dtypes)
-    named = []
-    for name in columns:
+
+    def named(name: str) -> Column:
         values = F.col(name) if kinds[name].startswith("array") else F.array(name)
-        named.append(F.transform(F.coalesce(values.cast("array<string>"), F.array()), lambda v, n=name: F.struct(F.lit(n).alias("field"), v.alias("value"))))
-    return df.select(F.explode(F.concat(*named)).alias("x")).select("x.*").where("value is not null").distinct()
+        given = F.coalesce(values.cast("array<string>"), F.array())
+        return F.transform(given, lambda v: F.struct(F.lit(name).alias("field"), v.alias("value")))
+
+    return df.select(F.explode(F.concat(*map(named, columns))).alias("x")).select("x.*").where("value is not null").distinct()
 
 
 def states(conn: DataFrame, keys: Sequence[str] = ("resp_p",)) -> DataFrame:

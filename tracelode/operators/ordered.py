@@ -28,6 +28,11 @@ MAX_HOT_KEYS = 10_000
 _C = "__chunk"
 
 
+def locator(df: DataFrame, line: str = "line") -> list[str]:
+    """What names a record: its line (or packet) together with its file where there is one."""
+    return ["file", line] if "file" in df.columns and line != "file" else [line]
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join in which null keys match each other; the right keys are dropped."""
     renamed = right

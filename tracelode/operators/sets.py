@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import ip_num
 from .filters import normalize
+from .ordered import locator
 
 
 def union_events(sources: Mapping[str, DataFrame]) -> DataFrame:
@@ -50,7 +51,7 @@ def run_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def by_line(df: DataFrame) -> DataFrame:
     """Raw record order; for the last step before a sink."""
-    return df.orderBy("line")
+    return df.orderBy(*locator(df))
 
 
 def by_ip(df: DataFrame, ip: str) -> DataFrame:
@@ -63,8 +64,15 @@ def by_time(df: DataFrame, ts: str = "ts_us", tie: str = "line") -> DataFrame:
     return df.orderBy(ts, tie)
 
 
-def page_after(df: DataFrame, after: int, size: int, line: str = "line") -> DataFrame:
-    """The next ``size`` rows after a line: key-set paging, which skips and repeats nothing."""
+def page_after(df: DataFrame, after: int | tuple[str, int], size: int, line: str = "line") -> DataFrame:
+    """The next ``size`` rows after a line: key-set paging, which skips and repeats nothing.
+
+    Over several files ``after`` is the pair (file, line) of the last row shown.
+    """
+    if isinstance(after, tuple):
+        file, at = after
+        later = (F.col("file") > file) | ((F.col("file") == file) & (F.col(line) > at))
+        return df.where(later).orderBy("file", line).limit(size)
     return df.where(F.col(line) > after).orderBy(line).limit(size)
 
 

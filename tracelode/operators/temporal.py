@@ -70,7 +70,8 @@ def phase_gaps(phases: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranges(df: DataFrame, keys: Sequence[str], line: str = "line", chunk: int = LINES) -> DataFrame:
-    """Consecutive line (or packet) numbers as first-last ranges."""
+    """Consecutive line (or packet) numbers as first-last ranges, within each file where there is a ``file``."""
+    keys = [*keys, *[c for c in ordered.locator(df, line)[:-1] if c not in keys]]
     return ordered.islands(df, keys, line, 2, chunk=chunk).select(
         *keys,
         F.col("start").alias("first_line"),

@@ -108,14 +108,28 @@ def follow_json(spark, sf):
             )
         )
     ).write.text(path)
-    return drain(logs.follow_jsonl(spark, path, "conn"), "followed").select("uid", "ts_us", "orig_h", "orig_bytes")
+    return drain(logs.follow_jsonl(spark, path, "conn")[0], "followed").select("uid", "ts_us", "orig_h", "orig_bytes")
 
 
 @question("i1_follow_firewall", C + roles.FIREWALL + "SELECT parentuid, orig_h, resp_h, sentbyte, app FROM fw")
 def follow_firewall(spark, sf):
     path = scratch(spark, "landing")
     roles.firewall_text(spark, sf).select("value").write.text(path)
-    return drain(logs.follow_firewall(spark, path), "followed").select("parentuid", "orig_h", "resp_h", "sentbyte", "app")
+    return drain(logs.follow_firewall(spark, path)[0], "followed").select("parentuid", "orig_h", "resp_h", "sentbyte", "app")
+
+
+@question("i1_errors", """SELECT CASE WHEN doc_id % 2 = 0 THEN replace(left(text, 20), chr(10), ' ') || '#' || doc_id ELSE '{"uid":"' || doc_id || '"}' END AS raw,
+  CASE WHEN doc_id % 2 = 0 THEN 'malformed JSON' ELSE 'required field missing' END AS error FROM documents WHERE text IS NOT NULL""")
+def follow_errors(spark, sf):
+    """Lines that are no record go to a stream of their own: prose, and objects without a time, next to good records."""
+    path = scratch(spark, "landing")
+    docs = roles.table(spark, sf, "documents").where("text IS NOT NULL")
+    prose = F.concat(F.left("text", F.lit(20)), F.lit("#"), F.col("doc_id").cast("string"))
+    bare = F.to_json(F.struct(F.col("doc_id").cast("string").alias("uid")))
+    odd = docs.select(F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(prose, "\n", " ")).otherwise(bare).alias("value"))
+    good = roles.conn(spark, sf).select(F.to_json(F.struct((F.col("ts_us") / 1e6).alias("ts"), "uid")).alias("value"))
+    odd.unionByName(good).write.text(path)
+    return drain(logs.follow_jsonl(spark, path, "conn")[1], "unparsed").select("raw", "error")
 
 
 @question("i2_watermark", C + "SELECT line, ts_us FROM conn")

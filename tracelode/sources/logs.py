@@ -161,12 +161,21 @@ def follow_text(spark: SparkSession, directory: str, files_per_trigger: int = 10
     )
 
 
-def follow_jsonl(spark: SparkSession, directory: str, source: str, files_per_trigger: int = 100) -> DataFrame:
-    """Stream of canonical records. Line numbers belong to batch reads; ``file`` and ``raw`` locate rows here."""
+def follow_jsonl(spark: SparkSession, directory: str, source: str, files_per_trigger: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Two streams: canonical records, and the lines that are none (file, raw, error).
+
+    Line numbers belong to batch reads; ``file`` and ``raw`` locate rows here.
+    """
     parsed = parse_json(follow_text(spark, directory, files_per_trigger), SCHEMAS[source])
-    return canonical(parsed.where(F.col("error").isNull()).drop("error"), source)
+    good, errors = _split_stream(parsed)
+    return canonical(good, source), errors
+
+
+def follow_firewall(spark: SparkSession, directory: str, files_per_trigger: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Two streams: firewall records, and the lines that are none (file, raw, error)."""
+    good, errors = _split_stream(parse_kv(follow_text(spark, directory, files_per_trigger), FIREWALL_FIELDS))
+    return firewall_columns(good), errors
 
 
-def follow_firewall(spark: SparkSession, directory: str, files_per_trigger: int = 100) -> DataFrame:
-    parsed = parse_kv(follow_text(spark, directory, files_per_trigger), FIREWALL_FIELDS)
-    return firewall_columns(parsed.where(F.col("error").isNull()).drop("error"))
+def _split_stream(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return parsed.where(F.col("error").isNull()).drop("error"), parsed.where(F.col("error").isNotNull()).select("file", "raw", "error")

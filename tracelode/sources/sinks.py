@@ -24,19 +24,16 @@ def write_metrics(df: DataFrame, path: str) -> None:
     ).text(path)
 
 
-def write_events(events: DataFrame, path: str, files_per_day: int = 1) -> None:
+def write_events(events: DataFrame, path: str) -> None:
     """Normalised events as Parquet by day and source.
 
-    Rows of one day and source are spread over ``files_per_day`` tasks by a hash of the record id,
-    so one busy source does not meet in one task; inside a file they are sorted by host and time
-    for row-group pruning.
+    The rows are rebalanced by day and source: Spark splits what is larger than its advisory partition size, so a
+    busy day of one source is written by many tasks and a quiet one by one. Inside a file rows are sorted by host
+    and time for row-group pruning.
     """
-    salted = events.withColumn("event_date", F.to_date(to_ts(F.col("event_us")))).withColumn(
-        "__salt", F.pmod(F.xxhash64("source_record_id"), F.lit(files_per_day))
-    )
+    dated = events.withColumn("event_date", F.to_date(to_ts(F.col("event_us"))))
     (
-        salted.repartition("event_date", "source", "__salt")
-        .drop("__salt")
+        dated.hint("rebalance", "event_date", "source")
         .sortWithinPartitions("event_date", "source", "source_ip", "event_us")
         .write.mode(NEVER_OVERWRITE)
         .partitionBy("event_date", "source")
