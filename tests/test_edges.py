@@ -267,6 +267,29 @@ def test_key_value_of_any_length(spark):
     assert got[0].a == long and got[0].b == "2" and got[1].a == '"' * 20_000 and got[1].b == "3" and not got[0].error and not got[1].error
 
 
+def test_records_of_several_files_stay_apart(spark):
+    ends = "orig_h STRING, orig_p BIGINT, resp_h STRING, resp_p BIGINT, proto STRING"
+    conn = spark.createDataFrame(
+        [(f, n, 1000 * i, u, "a", i, "b", 53, "udp") for i, (f, n, u) in enumerate([("x", 1, "A"), ("x", 2, "B"), ("y", 1, "C"), ("y", 2, "D"), ("y", 3, "D")])],
+        f"file STRING, line BIGINT, ts_us BIGINT, uid STRING, {ends}",
+    )
+    dns = conn.where("uid in ('A', 'D') and line < 3")
+    joined = joins.join_dns_conn(dns, conn)
+    assert {(r.file, r.line, r.conn_file, r.conn_line, r.verdict) for r in joined.collect()} == {
+        ("x", 1, "x", 1, "matched"), ("y", 2, "y", 2, "ambiguous")
+    }
+    assert [r.uid for r in joins.with_source(conn, joined).collect()] == ["A"]
+    near = joins.join_ids_conn(conn.drop("uid"), conn, 10)
+    total = joins.join_cardinality(near, conn).first()
+    assert (total.source_records, total.matched_source_records, total.matched_conn_records) == (5, 5, 5)
+    assert total.conn_records_without_this_source == 0
+    assert {(r.file, r.first_line, r.last_line, r.lines) for r in temporal.ranges(conn, []).collect()} == {("x", 1, 2, 2), ("y", 1, 3, 3)}
+    page = sets.page_after(conn, ("x", 1), 2)
+    assert [(r.file, r.line) for r in page.collect()] == [("x", 2), ("y", 1)]
+    first = temporal.locators(conn, ["resp_h"]).first()
+    assert (first.first_file, first.first_line, first.last_file, first.last_line) == ("x", 1, "y", 3)
+
+
 def test_fingerprint_sees_a_moved_null(spark):
     a = spark.createDataFrame([(1, None, "x")], "k INT, p STRING, q STRING")
     b = spark.createDataFrame([(1, "x", None)], "k INT, p STRING, q STRING")

@@ -47,28 +47,41 @@ def _same_tuple(prefix: str) -> Column:
     return same
 
 
+def _conn_locator(conn: DataFrame) -> list[str]:
+    """What names the connection in a joined row: conn_line, and conn_file where connections have a file."""
+    return [f"conn_{c}" for c in ordered.locator(conn)]
+
+
 def _conn_by_uid(conn: DataFrame, extra: Sequence[str]) -> DataFrame:
-    return conn.select(
-        "uid",
-        F.col("line").alias("conn_line"),
-        F.col("ts_us").alias("conn_ts_us"),
-        *[F.col(c).alias(f"conn_{c}") for c in [*TUPLE, *extra]],
-    )
+    """One row per uid: the first connection with it, and how many there are."""
+    held = F.struct(*ordered.locator(conn), "ts_us", *TUPLE, *extra)
+    one = conn.where("uid is not null").groupBy("uid").agg(F.min(held).alias("c"), F.count(F.lit(1)).alias("conn_copies"))
+    return one.select("uid", "conn_copies", *[F.col(f"c.{n}").alias(f"conn_{n}") for n in [*ordered.locator(conn), "ts_us", *TUPLE, *extra]])
+
+
+def _record(df: DataFrame) -> Column:
+    """The locator as one value that ``nearest`` can carry."""
+    names = ordered.locator(df)
+    return (F.struct(*names) if len(names) > 1 else F.col("line")).alias("line")
 
 
 def join_dns_conn(dns: DataFrame, conn: DataFrame) -> DataFrame:
-    """DNS record to its connection: same uid, same tuple, same time."""
+    """DNS record to its connection: same uid, same tuple, same time.
+
+    A uid that several connections have is ``ambiguous`` and names the first of them.
+    """
     joined = lookup(dns, _conn_by_uid(conn, []), ["uid"])
     verdict = (
         F.when(F.col("conn_line").isNull(), "no_conn")
+        .when(F.col("conn_copies") > 1, "ambiguous")
         .when(~_same_tuple("conn_"), "tuple_differs")
         .when(F.col("ts_us") != F.col("conn_ts_us"), "time_differs")
         .otherwise("matched")
     )
     return joined.select(
-        "line",
+        *ordered.locator(dns),
         "uid",
-        "conn_line",
+        *_conn_locator(conn),
         (F.col("ts_us") - F.col("conn_ts_us")).alias("delta_us"),
         verdict.alias("verdict"),
     )
@@ -78,12 +91,12 @@ def join_flow_conn(
     flow: DataFrame, conn: DataFrame, tol_us: int = RECORD_TOLERANCE, chunk: int = CHUNK
 ) -> DataFrame:
     """Flow record to its connection: same tuple, time within tolerance, same bytes and packets."""
-    left = flow.select("line", "ts_us", *TUPLE, "bytes", "packets")
+    left = flow.select(*ordered.locator(flow), "ts_us", *TUPLE, "bytes", "packets")
     right = conn.select(
-        "line", "ts_us", *TUPLE, F.col("orig_bytes").alias("bytes"), F.col("orig_pkts").alias("packets")
+        _record(conn), "ts_us", *TUPLE, F.col("orig_bytes").alias("bytes"), F.col("orig_pkts").alias("packets")
     )
     found = ordered.nearest(left, right, [*TUPLE, "bytes", "packets"], tol_us, chunk=chunk)
-    return _nearest_verdict(found)
+    return _nearest_verdict(found, conn)
 
 
 def join_ids_conn(
@@ -91,15 +104,17 @@ def join_ids_conn(
 ) -> DataFrame:
     """Alert to its connection: same tuple, time within tolerance. Many alerts may share one."""
     found = ordered.nearest(
-        ids.select("line", "ts_us", *TUPLE), conn.select("line", "ts_us", *TUPLE), TUPLE, tol_us, chunk=chunk
+        ids.select(*ordered.locator(ids), "ts_us", *TUPLE), conn.select(_record(conn), "ts_us", *TUPLE), TUPLE, tol_us, chunk=chunk
     )
-    return _nearest_verdict(found)
+    return _nearest_verdict(found, conn)
 
 
-def _nearest_verdict(found: DataFrame) -> DataFrame:
+def _nearest_verdict(found: DataFrame, conn: DataFrame) -> DataFrame:
+    names = ordered.locator(conn)
+    hit = [F.col(f"match_id.{n}").alias(f"conn_{n}") for n in names] if len(names) > 1 else [F.col("match_id").alias("conn_line")]
     return found.select(
-        "line",
-        F.col("match_id").alias("conn_line"),
+        *ordered.locator(found),
+        *hit,
         "delta_us",
         "ambiguous",
         F.when(F.col("match_id").isNull(), "unmatched").otherwise("matched").alias("verdict"),
@@ -116,6 +131,7 @@ def join_fw_conn(fw: DataFrame, conn: DataFrame) -> DataFrame:
     )
     verdict = (
         F.when(F.col("conn_line").isNull(), "no_conn")
+        .when(F.col("conn_copies") > 1, "ambiguous")
         .when(~_same_tuple("conn_"), "tuple_differs")
         .when(
             (F.col("sentbyte") != F.col("conn_orig_bytes")) | (F.col("rcvdbyte") != F.col("conn_resp_bytes")),
@@ -124,8 +140,8 @@ def join_fw_conn(fw: DataFrame, conn: DataFrame) -> DataFrame:
         .otherwise("matched")
     )
     return joined.select(
-        "line",
-        "conn_line",
+        *ordered.locator(fw),
+        *_conn_locator(conn),
         verdict.alias("verdict"),
         clock.printed_equals(F.col("date"), F.col("time"), F.col("conn_ts_us")).alias("printed_time_matches"),
     )
@@ -157,15 +173,21 @@ def unmatched(joined: DataFrame) -> DataFrame:
     return joined.where(F.col("verdict") != "matched")
 
 
+def _hits(conn: DataFrame, joined: DataFrame) -> tuple[DataFrame, list[str]]:
+    names = [n for n in ordered.locator(conn) if f"conn_{n}" in joined.columns]
+    hit = joined.where(F.col("verdict") == "matched").select(*[F.col(f"conn_{n}").alias(n) for n in names])
+    return hit, names
+
+
 def with_source(conn: DataFrame, joined: DataFrame) -> DataFrame:
     """Connections that have evidence in the joined source."""
-    hit = joined.where(F.col("verdict") == "matched").select(F.col("conn_line").alias("line"))
-    return conn.join(hit, "line", "left_semi")
+    hit, names = _hits(conn, joined)
+    return conn.join(hit, names, "left_semi")
 
 
 def without_source(conn: DataFrame, joined: DataFrame) -> DataFrame:
-    hit = joined.where(F.col("verdict") == "matched").select(F.col("conn_line").alias("line"))
-    return conn.join(hit, "line", "left_anti")
+    hit, names = _hits(conn, joined)
+    return conn.join(hit, names, "left_anti")
 
 
 COUNTERS = ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes")
@@ -204,9 +226,11 @@ def join_cardinality(joined: DataFrame, conn: DataFrame) -> DataFrame:
     """
     ok = F.col("verdict") == "matched"
     delta = F.col("delta_us") if "delta_us" in joined.columns else F.lit(None).cast("bigint")
+    named = lambda file, line: F.struct((F.col(file) if file in joined.columns else F.lit(None).cast("string")).alias("file"), F.col(line).alias("line"))
+    own, theirs = named("file", "line"), named("conn_file", "conn_line")
     sides = F.array(
-        F.struct(F.lit("source").alias("side"), F.col("line").alias("id")),
-        F.struct(F.lit("conn").alias("side"), F.when(ok, F.col("conn_line")).alias("id")),
+        F.struct(F.lit("source").alias("side"), own.alias("id")),
+        F.struct(F.lit("conn").alias("side"), F.when(ok, theirs).alias("id")),
     )
     rows = joined.select(ok.alias("ok"), F.when(ok, delta).alias("delta"), F.explode(sides).alias("s"))
     folded = rows.where("s.id is not null").groupBy("s.side", "s.id").agg(
@@ -396,6 +420,6 @@ def nearest_match(left: DataFrame, right: DataFrame, keys: Sequence[str], tol_us
 def correlate(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_us: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """General correlation of two record sets: rows with a verdict, and a summary."""
     rows = _nearest_verdict(
-        ordered.nearest(a.select("line", "ts_us", *keys), b.select("line", "ts_us", *keys), keys, tol_us, chunk=chunk)
+        ordered.nearest(a.select(*ordered.locator(a), "ts_us", *keys), b.select(_record(b), "ts_us", *keys), keys, tol_us, chunk=chunk), b
     )
     return rows, join_cardinality(rows, b)

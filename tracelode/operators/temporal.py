@@ -39,14 +39,17 @@ def beacons(
 def locators(
     df: DataFrame, keys: Sequence[str], line: str = "line", ts: str = "ts_us", uid: str = "uid"
 ) -> DataFrame:
-    """First and last record of each group."""
-    return df.groupBy(*keys).agg(
-        F.min(line).alias("first_line"),
-        F.max(line).alias("last_line"),
-        F.min(ts).alias("first_us"),
-        F.max(ts).alias("last_us"),
-        F.min_by(uid, line).alias("first_uid"),
-        F.max_by(uid, line).alias("last_uid"),
+    """First and last record of each group; with a ``file``, in the order of files and with their names."""
+    names = ordered.locator(df, line)
+    at = F.struct(*[F.col(n) for n in names])
+    found = df.groupBy(*keys).agg(
+        F.min(at).alias("__first"), F.max(at).alias("__last"), F.min(ts).alias("first_us"), F.max(ts).alias("last_us"),
+        F.min_by(uid, at).alias("first_uid"), F.max_by(uid, at).alias("last_uid"),
+    )
+    files = [F.col(f"__{end}.file").alias(f"{end}_file") for end in ("first", "last")] if len(names) > 1 else []
+    return found.select(
+        *keys, *files, F.col(f"__first.{line}").alias("first_line"), F.col(f"__last.{line}").alias("last_line"),
+        "first_us", "last_us", "first_uid", "last_uid",
     )
 
 
