@@ -290,6 +290,21 @@ def test_records_of_several_files_stay_apart(spark):
     assert (first.first_file, first.first_line, first.last_file, first.last_line) == ("x", 1, "y", 3)
 
 
+def test_no_local_scratch_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracelode.session import shared_folder
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: named))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))
+        assert shared_folder(session(master, "hdfs:///shared")) == "hdfs:///shared"
+
+
 def test_fingerprint_sees_a_moved_null(spark):
     a = spark.createDataFrame([(1, None, "x")], "k INT, p STRING, q STRING")
     b = spark.createDataFrame([(1, "x", None)], "k INT, p STRING, q STRING")
