@@ -25,10 +25,12 @@ from .components import components
 SHINGLE = 3
 PERCENT = 90
 HASHES = 6
+#: Rounds of leaders; each asks only for sets that are not connected to their leader yet.
+ROUNDS = 3
 #: A shingle is reported as frequent if so many distinct texts of one task's run of texts hold it.
-LOCAL, RUN = 4, 1 << 21
+LOCAL, RUN = 2, 1 << 21
 #: How many frequent shingles the rarity order knows (8 bytes and a count each); it is no filter, only an order.
-FREQUENT = 200_000
+FREQUENT = 1_000_000
 _SALTS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)]
 
 
@@ -170,16 +172,24 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = sets.select("text_id", "n")
     bodies = texts.select("text_id", "text")
 
-    # 1. every set against the leader of each of its three MinHash pairs
-    stars = []
-    for k in ("k1", "k2", "k3"):
-        leader = sets.groupBy(k).agg(F.min(F.struct("text_id", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        near = sets.join(leader, k).select(F.col("lead.text_id").alias("a"), F.col("lead.n").alias("na"), F.col("text_id").alias("b"), F.col("n").alias("nb"))
-        stars.append(near.where("a <> b AND 100 * least(na, nb) >= 90 * greatest(na, nb)"))
-    star = kept(stars[0].unionByName(stars[1]).unionByName(stars[2]).distinct(), "jaccard-stars")
-    known = overlaps(bodies, star.select("a", "b")).join(star, ["a", "b"])
-    good = kept(known.where(links(F.col("same"), F.col("na"), F.col("nb"))), "jaccard-star-links")
-    roots = kept(components(good.select("a", "b")), "jaccard-roots")
+    # 1. every set against the leader of each of its three MinHash pairs, with other leaders each round
+    good, roots = None, None
+    for turn in range(ROUNDS):
+        stars = []
+        for k in ("k1", "k2", "k3"):
+            chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "text_id").alias("h"), "text_id", "n")).alias("lead")
+            leader = sets.groupBy(k).agg(chosen, F.count(F.lit(1)).alias("size")).where("size > 1")
+            near = sets.join(leader, k).select(F.col("lead.text_id").alias("a"), F.col("lead.n").alias("na"), F.col("text_id").alias("b"), F.col("n").alias("nb"))
+            stars.append(near.where(f"a <> b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"))
+        star = stars[0].unionByName(stars[1]).unionByName(stars[2]).distinct()
+        if roots is not None:
+            at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+            star = star.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
+        star = kept(star, "jaccard-stars")
+        known = overlaps(bodies, star.select("a", "b")).join(star, ["a", "b"])
+        found = known.where(links(F.col("same"), F.col("na"), F.col("nb"))).select("a", "na", "b", "nb", "same")
+        good = kept(found if good is None else good.unionByName(found), "jaccard-star-links")
+        roots = kept(components(good.select("a", "b")), "jaccard-roots")
     # the leader of a set: the linked one with the largest overlap; a set without any leads itself
     lead = good.groupBy(F.col("b").alias("text_id")).agg(F.max(F.struct("same", F.col("a").alias("leader"), F.col("na").alias("n_leader"))).alias("l"))
     state = sized.join(lead, "text_id", "left").join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left").select(
