@@ -22,8 +22,8 @@ from . import textgrams
 from .common import kept, small, text_id
 from .components import components
 
-SHINGLE = 3
-PERCENT = 90
+#: Words of a shingle and least Jaccard in percent of the registered query; the functions take others.
+SHINGLE, PERCENT = 3, 90
 HASHES = 6
 #: Rounds of leaders; each asks only for sets that are not connected to their leader yet.
 ROUNDS = 3
@@ -34,9 +34,9 @@ FREQUENT = 1_000_000
 _SALTS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)]
 
 
-def needed(n: np.ndarray) -> np.ndarray:
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap with any set that links, for a set of size n."""
-    return -(-n * PERCENT // 100)
+    return -(-n * percent // 100)
 
 
 def _distinct(h: np.ndarray) -> np.ndarray:
@@ -44,15 +44,15 @@ def _distinct(h: np.ndarray) -> np.ndarray:
     return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct shingles of each text."""
     for at, part in textgrams.slices(column):
-        h, first = textgrams.words(part).shingles(SHINGLE)
+        h, first = textgrams.words(part).shingles(shingle)
         for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
             yield at + i, _distinct(h[a:b])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text_id", "n", "k1", "k2", "k3", "frequent"]
     run: list[np.ndarray] = []
     known: set[bytes] = set()
@@ -72,7 +72,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, keys = np.zeros(batch.num_rows, np.int64), np.zeros((3, batch.num_rows), np.int64)
             ids = batch.column(1).to_pylist()
             for at, part in textgrams.slices(batch.column(2)):
-                h, first = textgrams.words(part).shingles(SHINGLE)
+                h, first = textgrams.words(part).shingles(shingle)
                 full = np.flatnonzero(np.diff(first))
                 if not len(full):
                     continue
@@ -95,7 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield frequent()
 
 
-def _postings(frequent: tuple[np.ndarray, np.ndarray]):
+def _postings(frequent: tuple[np.ndarray, np.ndarray], shingle: int, percent: int):
     """Prefix of each set in the order of rarity: text_id, many, n, shingle, at (position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +105,11 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray]):
             seen: set[bytes] = set()
             out: list[tuple[int, int, np.ndarray]] = []
             plain = ids.to_pylist()
-            for row, s in _sets(batch.column(2)):
+            for row, s in _sets(batch.column(2), shingle):
                 if not len(s) or plain[row] in seen:
                     continue
                 seen.add(plain[row])
-                m = len(s) - int(needed(np.int64(len(s)))) + 1
+                m = len(s) - int(needed(np.int64(len(s)), percent)) + 1
                 rank = np.zeros(len(s), np.int64)
                 if len(value):
                     near = np.minimum(np.searchsorted(value, s), len(value) - 1)
@@ -132,18 +132,18 @@ def _postings(frequent: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlaps(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         same = np.zeros(batch.num_rows, np.int64)
         # neighbouring rows often have the same left text
-        for (row, a), (_, b) in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True):
+        for (row, a), (_, b) in zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True):
             same[row] = len(np.intersect1d(a, b, assume_unique=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], ["a", "b", "same"])
 
 
-def overlaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def overlaps(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``a, b, same``: exact sizes of the intersections of the texts' sets, for distinct pairs of text ids.
 
     Only texts that stand in a pair are moved.
@@ -152,18 +152,18 @@ def overlaps(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     few = kept(texts.join(small(wanted), "text_id", "left_semi").dropDuplicates(["text_id"]), "jaccard-texts")
     left, right = few.select(F.col("text_id").alias("a"), F.col("text").alias("ta")), few.select(F.col("text_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return kept(both.mapInArrow(_overlaps, "a binary, b binary, same long"), "jaccard-overlaps")
+    return kept(both.mapInArrow(lambda b: _overlaps(b, shingle), "a binary, b binary, same long"), "jaccard-overlaps")
 
 
-def links(same: Column, n: Column, m: Column) -> Column:
-    return F.lit(100) * same >= F.lit(PERCENT) * (n + m - same)
+def links(same: Column, n: Column, m: Column, percent: int = PERCENT) -> Column:
+    return F.lit(100) * same >= F.lit(percent) * (n + m - same)
 
 
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``(signatures, roots)``: text_id and set size of every document, and ``node, root`` of linked text ids."""
     texts = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = texts.mapInArrow(_signatures, f"doc_id {kind}, text_id binary, n long, k1 long, k2 long, k3 long, frequent array<struct<s:long,c:long>>")
+    made = texts.mapInArrow(lambda b: _signatures(b, shingle), f"doc_id {kind}, text_id binary, n long, k1 long, k2 long, k3 long, frequent array<struct<s:long,c:long>>")
     made = kept(made, "jaccard-signatures")
     signatures = made.where("n IS NOT NULL").drop("frequent")
     sets = kept(
@@ -180,14 +180,14 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "text_id").alias("h"), "text_id", "n")).alias("lead")
             leader = sets.groupBy(k).agg(chosen, F.count(F.lit(1)).alias("size")).where("size > 1")
             near = sets.join(leader, k).select(F.col("lead.text_id").alias("a"), F.col("lead.n").alias("na"), F.col("text_id").alias("b"), F.col("n").alias("nb"))
-            stars.append(near.where(f"a <> b AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"))
+            stars.append(near.where(f"a <> b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)"))
         star = stars[0].unionByName(stars[1]).unionByName(stars[2]).distinct()
         if roots is not None:
             at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
             star = star.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
         star = kept(star, "jaccard-stars")
-        known = overlaps(bodies, star.select("a", "b")).join(star, ["a", "b"])
-        found = known.where(links(F.col("same"), F.col("na"), F.col("nb"))).select("a", "na", "b", "nb", "same")
+        known = overlaps(bodies, star.select("a", "b"), shingle).join(star, ["a", "b"])
+        found = known.where(links(F.col("same"), F.col("na"), F.col("nb"), percent)).select("a", "na", "b", "nb", "same")
         good = kept(found if good is None else good.unionByName(found), "jaccard-star-links")
         roots = kept(components(good.select("a", "b")), "jaccard-roots")
     # the leader of a set: the linked one with the largest overlap; a set without any leads itself
@@ -208,12 +208,12 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = kept(signatures.groupBy("text_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND text_id IS NOT NULL").select("text_id", F.lit(True).alias("many")), "jaccard-several")
     marked = bodies.join(small(several), "text_id", "left").select("text_id", F.coalesce("many", F.lit(False)).alias("many"), "text")
     postings = kept(
-        marked.mapInArrow(lambda b: _postings(frequent.value)(b), "text_id binary, many boolean, n long, shingle long, at long"), "jaccard-postings"
+        marked.mapInArrow(lambda b: _postings(frequent.value, shingle, percent)(b), "text_id binary, many boolean, n long, shingle long, at long"), "jaccard-postings"
     )
     postings = postings.where("NOT many").unionByName(postings.where("many").distinct()).drop("many")
     shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     lists = postings.join(shared, "shingle").join(state.select("text_id", "root"), "text_id")
-    lists = kept(lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))), "jaccard-lists")
+    lists = kept(lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))), "jaccard-lists")
     block = lists.groupBy("shingle", "band").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("at").alias("at"), F.max("at").alias("upto"), F.min("n").alias("n0"), F.max("n").alias("n1")
     )
@@ -221,50 +221,50 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x, y = (as_(block, side, "band", "r0", "r1", "at", "upto", "n0", "n1") for side in "xy")
     # common shingles before this one, and what follows it
     reach = F.least("upto_x", "upto_y") + F.least(F.col("n1_x") - F.col("at_x"), F.col("n1_y") - F.col("at_y"))
-    skip = (reach * (100 + PERCENT) < PERCENT * (F.col("n0_x") + F.col("n0_y"))) | (
+    skip = (reach * (100 + percent) < percent * (F.col("n0_x") + F.col("n0_y"))) | (
         (F.col("r0_x") == F.col("r1_x")) & (F.col("r0_y") == F.col("r1_y")) & (F.col("r0_x") == F.col("r0_y"))
     )
     opened = x.join(y, "shingle").where("band_y BETWEEN band_x AND band_x + 1").where(~skip).select("shingle", "band_x", "band_y")
     left, right = (as_(lists, side, "text_id", "n", "at", "root", "band") for side in "xy")
     met = opened.join(left, ["shingle", "band_x"]).join(right, ["shingle", "band_y"])
     met = met.where("root_x <> root_y AND (band_x < band_y OR text_id_x < text_id_y)")
-    met = met.where(f"100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y)")
+    met = met.where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
     most = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    met = met.where(most * (100 + PERCENT) >= PERCENT * (F.col("n_x") + F.col("n_y")))
+    met = met.where(most * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y")))
     # of the set whose prefix ends first, every common shingle is counted or lies behind the prefix
-    behind = F.ceil(F.lit(PERCENT) * F.greatest("n_x", "n_y") / 100) - 1
+    behind = F.ceil(F.lit(percent) * F.greatest("n_x", "n_y") / 100) - 1
     pairs = met.groupBy(F.least("text_id_x", "text_id_y").alias("a"), F.greatest("text_id_x", "text_id_y").alias("b")).agg(
         F.count(F.lit(1)).alias("met"), F.first(behind).alias("behind"), F.first(F.col("n_x") + F.col("n_y")).alias("both")
     )
-    pairs = pairs.where((F.col("met") + F.col("behind")) * (100 + PERCENT) >= PERCENT * F.col("both")).select("a", "b")
+    pairs = pairs.where((F.col("met") + F.col("behind")) * (100 + percent) >= percent * F.col("both")).select("a", "b")
     side = lambda s: state.select(*[F.col(c).alias(f"{c}_{s}") for c in ("text_id", "n", "leader", "n_leader", "same_leader")]).withColumnRenamed(f"text_id_{s}", s)
     pairs = kept(pairs.join(side("a"), "a").join(side("b"), "b"), "jaccard-pairs")
 
     # 3. leaders answer for their sets
     u, v = F.least("leader_a", "leader_b").alias("u"), F.greatest("leader_a", "leader_b").alias("v")
     asked = pairs.where("leader_a <> leader_b").select(u, v).distinct()
-    answers = overlaps(bodies, asked.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("same").alias("core"))
+    answers = overlaps(bodies, asked.select(F.col("u").alias("a"), F.col("v").alias("b")), shingle).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("same").alias("core"))
     told = pairs.withColumns({"u": u, "v": v}).join(answers, ["u", "v"], "left")
     told = told.withColumn("core", F.when(F.col("u") == F.col("v"), F.col("n_leader_a")).otherwise(F.col("core")))
     more = F.col("n_a") - F.col("same_leader_a") + F.col("n_b") - F.col("same_leader_b")
     less = F.col("n_leader_a") - F.col("same_leader_a") + F.col("n_leader_b") - F.col("same_leader_b")
     told = kept(told.withColumn("most", F.least(F.col("core") + more, "n_a", "n_b")).withColumn("least", F.col("core") - less), "jaccard-told")
-    sure = links(F.col("least"), F.col("n_a"), F.col("n_b"))
-    open_ = told.where(~sure & links(F.col("most"), F.col("n_a"), F.col("n_b")))
-    read = overlaps(bodies, open_.select("a", "b").distinct()).join(open_.select("a", "b", "n_a", "n_b"), ["a", "b"])
-    found = told.where(sure).select("a", "b").unionByName(read.where(links(F.col("same"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    sure = links(F.col("least"), F.col("n_a"), F.col("n_b"), percent)
+    open_ = told.where(~sure & links(F.col("most"), F.col("n_a"), F.col("n_b"), percent))
+    read = overlaps(bodies, open_.select("a", "b").distinct(), shingle).join(open_.select("a", "b", "n_a", "n_b"), ["a", "b"])
+    found = told.where(sure).select("a", "b").unionByName(read.where(links(F.col("same"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
     # sets connected so far are one node for what is left
     return signatures, components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
+def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Texts without words (null too) have no shingles and link with nothing; equal texts with words always link. A null
     doc_id takes part but names no component (null where a class has no id); repeated rows are rows like others; only doc_id and
     text are read; no rows give no rows.
     """
-    signatures, roots = linked_sets(docs)
+    signatures, roots = linked_sets(docs, shingle, percent)
     rows = signatures.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
     rows = kept(rows.select("doc_id", "n", F.coalesce("root", "text_id").alias("root")), "jaccard-rows")
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -272,12 +272,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_per_class(docs: DataFrame) -> DataFrame:
+def one_per_class(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with one row of each class: the smallest doc_id and text hash (nulls last); all columns.
 
     Documents without words are no copies of each other and stay.
     """
-    signatures, roots = linked_sets(docs)
+    signatures, roots = linked_sets(docs, shingle, percent)
     rows = signatures.where("n > 0").join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
     rows = rows.select("doc_id", "text_id", F.coalesce("root", "text_id").alias("root"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")).alias("f"))
