@@ -3,10 +3,14 @@
 Units are the whole text, its paragraphs and its lines. A template is a candidate for a unit only if the unit's
 size lets it reach the threshold and if the unit has one of the template's anchors: with so many of n bigrams
 needed, one of any n - needed + 1 must be there, so as many rarest bigrams' first words are looked for.
+``scan_passages`` takes any run of words as a unit, so notices over several paragraphs and inside a line are found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,3 +185,91 @@ p AS (
 SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, license, dice FROM p WHERE dice >= {threshold}
 QUALIFY row_number() OVER (PARTITION BY r, unit, unit_no ORDER BY dice DESC, license) = 1
 """
+
+
+_DISCLAIMER = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: The templates with the BSD texts to their end; the query and its SQL keep TEMPLATES.
+WHOLE = TEMPLATES | {name: [*TEMPLATES[name], TEMPLATES[name][0] + _DISCLAIMER] for name in ("BSD-2-Clause", "BSD-3-Clause")}
+
+
+def _windows(grams: list[str], at: list[int], wanted: frozenset[str], threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """start, end (of bigrams), shared, own: the tight windows of a text that reach the threshold with a template.
+
+    ``at`` are the positions of the template's bigrams. A window is tight if its first bigram does not return in it and its
+    last one is new in it; any other window holds a tight one with the same shared bigrams and no more of its own.
+    """
+    n = len(wanted)
+    most, needed = (2 - threshold) / threshold * n + 1e-9, threshold / (2 - threshold) * n - 1e-9
+    for start in at:
+        own, shared = {grams[start]}, 1
+        if shared >= needed and 2 >= threshold * (1 + n):
+            yield start, start, 1, 1
+        for end in range(start + 1, len(grams)):
+            g = grams[end]
+            if g in own:
+                if g == grams[start]:
+                    break
+                continue
+            own.add(g)
+            if len(own) > most:
+                break
+            if g in wanted:
+                shared += 1
+                if shared >= needed and 2 * shared >= threshold * (len(own) + n) - 1e-9:
+                    yield start, end, shared, len(own)
+                if shared == n:
+                    break
+
+
+def passages(text: str, known: list[tuple[str, frozenset[str]]], threshold: float) -> list[tuple[int, int, int, int, str, float]]:
+    """first_word, last_word, first_line, last_line, license, dice of the passages of a normalised text, in its order."""
+    words, lines = [], []
+    for no, line in enumerate(text.split("\n")):
+        found = line.split()
+        words += found
+        lines += [no] * len(found)
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    have, good = set(grams), []
+    for name, wanted in known:
+        if len(have & wanted) >= threshold / (2 - threshold) * len(wanted) - 1e-9:
+            at = [i for i, g in enumerate(grams) if g in wanted]
+            for a, b, shared, own in _windows(grams, at, wanted, threshold):
+                good.append((own + len(wanted) - 4 * shared, name, a, b, 2.0 * shared / (own + len(wanted))))
+    out: list[tuple[int, int, int, int, str, float]] = []
+    taken = bytearray(len(words))
+    for _, name, a, b, dice in sorted(good):
+        if not any(taken[a : b + 2]):
+            taken[a : b + 2] = b"\1" * (b + 2 - a)
+            out.append((a, b + 1, lines[a], lines[b + 1], name, dice))
+    return sorted(out)
+
+
+def scan_passages(docs: DataFrame, threshold: float = THRESHOLD, licences: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row per passage that matches a licence: doc_id, first_word, last_word, first_line, last_line, license, dice.
+
+    A passage is any run of words, over line and paragraph breaks and inside a line; words (of the normalised text) and lines count
+    from 0. Of windows that overlap, the one with the most shared bigrams less those that only one side has stays, then the smaller
+    name and place. Nulls and repeated rows as in ``scan``.
+    """
+    rows = templates(docs.sparkSession, licences or WHOLE, threshold).select("license", "grams", "anchors").collect()
+    known = sorted(((r.license, frozenset(r.grams)) for r in rows), key=lambda k: (k[0], sorted(k[1])))
+    anchors = F.lit(sorted({w for r in rows for w in r.anchors}))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, p) for i, t in enumerate(batch.column(1)) for p in passages(t.as_py(), known, threshold)]
+            ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+            values = [pa.array([p[k] for _, p in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([ids, *values], ["doc_id", "first_word", "last_word", "first_line", "last_line", "license", "dice"])
+
+    texts = docs.select("doc_id", normal(F.col("text")).alias("t")).where(F.arrays_overlap(words_of(F.col("t")), anchors))
+    return texts.mapInArrow(run, f"doc_id {kind}, first_word int, last_word int, first_line int, last_line int, license string, dice double")
