@@ -46,3 +46,20 @@ def test_jaccard_arguments(spark, shingle, percent):
     want = [(i, len(sets[i]), g) for i, g in enumerate(corpus.classes(len(rows), pairs))]
     df = corpus.frame(spark, rows)
     assert corpus.bag(op9_jaccard.jaccard_classes(df, shingle, percent).collect()) == corpus.bag(want)
+
+
+def test_all_links(spark):
+    """The join form has the links inside a component too, and a number of links per row."""
+    df = corpus.frame(spark)
+    rows = df.collect()
+    sets = [corpus.shingles(r.text, 3) for r in rows]
+    near = lambda i, j: sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])
+    want = [(r.doc_id, sum(bool(near(i, j)) for j in range(len(rows)) if i != j)) for i, r in enumerate(rows)]
+    assert corpus.bag(op9_jaccard.link_counts(df).collect()) == corpus.bag(want)
+    of_text = {r.text: bytes(r.id) for r in df.selectExpr("text", "unhex(md5(text)) AS id").distinct().collect() if r.id is not None}
+    pairs = {(min(a, b), max(a, b)) for i, x in enumerate(rows) for j, y in enumerate(rows[:i]) if near(i, j) and x.text != y.text for a, b in [(of_text[x.text], of_text[y.text])]}
+    signatures, found = op9_jaccard.linked_pairs(df)
+    got = [(bytes(r.a), bytes(r.b)) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) > 20
+    assert signatures.count() == len(rows)
+    assert op9_jaccard.link_counts(corpus.frame(spark, [])).count() == 0

@@ -161,6 +161,34 @@ def links(same: Column, n: Column, m: Column, percent: int = PERCENT) -> Column:
 
 def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``(signatures, roots)``: text_id and set size of every document, and ``node, root`` of linked text ids."""
+    signatures, found, roots = _linked(docs, shingle, percent, False)
+    # sets connected so far are one node for what is left
+    return signatures, components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def linked_pairs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """``(signatures, pairs)``: doc_id, text_id and set size n of every document, and every linked pair ``a < b`` of different texts.
+
+    The whole join: pairs inside a component are computed too, so the pairs grow with the square of a group of near copies. Equal texts
+    are one text_id and no pair.
+    """
+    signatures, found, _ = _linked(docs, shingle, percent, True)
+    return signatures.select("doc_id", "text_id", "n"), found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id and n_links, the number of other rows it links with; rows with equal words link too."""
+    signatures, pairs = linked_pairs(docs, shingle, percent)
+    rows = kept(signatures, "jaccard-members")
+    copies = rows.where("n > 0").groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = kept(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "jaccard-both")
+    others = both.join(copies, F.col("b") == F.col("text_id")).groupBy("a").agg(F.sum("copies").alias("others"))
+    own = copies.join(others, F.col("a") == F.col("text_id"), "left").select("text_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(own, "text_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(signatures, found, roots)``: links of the index and components of the leaders' links; ``every``: found has all links, also those inside a component."""
     texts = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = texts.mapInArrow(lambda b: _signatures(b, shingle), f"doc_id {kind}, text_id binary, n long, k1 long, k2 long, k3 long, frequent array<struct<s:long,c:long>>")
@@ -212,7 +240,8 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     )
     postings = postings.where("NOT many").unionByName(postings.where("many").distinct()).drop("many")
     shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
-    lists = postings.join(shared, "shingle").join(state.select("text_id", "root"), "text_id")
+    # for all links every set is a component of its own
+    lists = postings.join(shared, "shingle").join(state.select("text_id", F.col("text_id" if every else "root").alias("root")), "text_id")
     lists = kept(lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))), "jaccard-lists")
     block = lists.groupBy("shingle", "band").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("at").alias("at"), F.max("at").alias("upto"), F.min("n").alias("n0"), F.max("n").alias("n1")
@@ -253,8 +282,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     open_ = told.where(~sure & links(F.col("most"), F.col("n_a"), F.col("n_b"), percent))
     read = overlaps(bodies, open_.select("a", "b").distinct(), shingle).join(open_.select("a", "b", "n_a", "n_b"), ["a", "b"])
     found = told.where(sure).select("a", "b").unionByName(read.where(links(F.col("same"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
-    # sets connected so far are one node for what is left
-    return signatures, components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return signatures, found, roots
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
