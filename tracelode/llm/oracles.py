@@ -84,9 +84,42 @@ m AS (
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, o AS n_found FROM m WHERE 10 * o >= 8 * n
 """
 
+CONVERSATION_TRIE = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+    md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS m
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+o AS (SELECT conv_id, list({m: m, n: len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))} ORDER BY turn NULLS FIRST, m) AS turns FROM t GROUP BY conv_id),
+f AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS root, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(regexp_extract_all(CAST(conv_id AS VARCHAR), '.'),
+      lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 4 AS h
+  FROM o
+),
+c AS (
+  SELECT f.conv_id, list_concat(coalesce(o.turns[1:f.h], []), f.turns[f.h + 1:]) AS turns FROM f LEFT JOIN o ON o.conv_id = f.root
+),
+x AS (SELECT conv_id, turns, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth FROM c),
+p AS (SELECT conv_id, n, depth, list_transform(turns[1:depth], lambda e: e.m) AS path, coalesce(turns[depth].n, 0) AS words FROM x),
+g AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM p GROUP BY path, depth
+),
+k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (path, depth)),
+up AS (SELECT path[1:d] AS path, d AS depth, n_children, (n_convs - 1) * words AS own FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v)),
+s AS (SELECT path, depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM up GROUP BY path, depth)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN s USING (path, depth) LEFT JOIN g u ON v.depth > 0 AND u.depth = v.depth - 1 AND u.path = v.path[1:v.depth - 1]
+"""
+
 
 def oracles() -> dict[str, str]:
     return {
         "op2_license_units": op2_licenses.oracle_sql(), "op4_embedding_links": EMBEDDING_LINKS, "op8_mixing_words": MIXING_WORDS,
         "op9_jaccard_classes": JACCARD_CLASSES, "op10_benchmark_leaks": BENCHMARK_LEAKS,
+        "op11_conversation_trie": CONVERSATION_TRIE,
     }
