@@ -116,10 +116,33 @@ SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
 FROM v JOIN s USING (path, depth) LEFT JOIN g u ON v.depth > 0 AND u.depth = v.depth - 1 AND u.path = v.path[1:v.depth - 1]
 """
 
+LEXICAL_SEARCH = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+i AS (
+  SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+),
+it AS (SELECT k, item_id, unnest(list_distinct(w)) AS t FROM i),
+a AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM it) GROUP BY r, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, a),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(w) * n) // l AS m FROM d, a WHERE len(w) > 0),
+s AS (
+  SELECT k, item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM it JOIN w USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY k, item_id, r
+),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
 
 def oracles() -> dict[str, str]:
     return {
         "op2_license_units": op2_licenses.oracle_sql(), "op4_embedding_links": EMBEDDING_LINKS, "op8_mixing_words": MIXING_WORDS,
         "op9_jaccard_classes": JACCARD_CLASSES, "op10_benchmark_leaks": BENCHMARK_LEAKS,
-        "op11_conversation_trie": CONVERSATION_TRIE,
+        "op11_conversation_trie": CONVERSATION_TRIE, "op13_lexical_ranks": LEXICAL_SEARCH,
     }

@@ -19,7 +19,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _byte_table(keep: bytes | None) -> np.ndarray:
+def byte_table(keep: bytes | None) -> np.ndarray:
     """Value of each byte inside a word, with A-Z as a-z; 0 where the byte separates words."""
     out = np.arange(1, 257, dtype=np.uint16)
     out[65:91] = out[97:123]
@@ -31,8 +31,8 @@ def _byte_table(keep: bytes | None) -> np.ndarray:
 
 
 #: Words between white space, and words of letters, digits and bytes of other scripts only.
-SPACED = _byte_table(None)
-LETTERS = _byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'")
+SPACED = byte_table(None)
+LETTERS = byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
