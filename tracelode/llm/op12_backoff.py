@@ -28,7 +28,7 @@ from .textgrams import SPACED, mix, slices, words
 
 ORDER = 3
 #: Pseudo-counts of the shorter context, for n-grams of two and more tokens.
-MU = (4.0, 1.0)
+MU = (1000.0, 30.0)
 BLOCK_TOKENS = 1 << 20
 #: Distinct n-grams that one range of the hash space is meant to hold.
 RANGE_GRAMS = 1 << 22

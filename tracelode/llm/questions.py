@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming.runtime import scratch
-from . import op1_lines, op2_licenses, op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op7_token_counts, op8_mixing, op9_jaccard, op10_decontaminate, op11_conversations, op13_lexical
+from . import op1_lines, op2_licenses, op3_sharding, op4_embeddings, op5_toxicity, op6_quality, op7_token_counts, op8_mixing, op9_jaccard, op10_decontaminate, op11_conversations, op12_backoff, op13_lexical
 from .common import kept, table, text_id
 from .oracles import oracles  # noqa: F401
 
@@ -75,6 +75,10 @@ def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
     return op11_conversations.forked_trie(table(spark, sf, "conversations")).drop("turn_id")
 
 
+def op12_backoff_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return op12_backoff.score(table(spark, sf, "documents"))
+
+
 def op13_lexical_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return op13_lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -82,6 +86,6 @@ def op13_lexical_ranks(spark: SparkSession, sf: str) -> DataFrame:
 def questions() -> dict[str, Question]:
     found = [
         op1_line_counts, op2_license_units, op3_sharding_bytes, op4_embedding_links, op5_toxicity_scores, op6_quality_scores, op7_token_rollup, op8_mixing_words,
-        op9_jaccard_classes, op10_benchmark_leaks, op11_conversation_trie, op13_lexical_ranks,
+        op9_jaccard_classes, op10_benchmark_leaks, op11_conversation_trie, op12_backoff_scores, op13_lexical_ranks,
     ]
     return {fn.__name__: fn for fn in found}
