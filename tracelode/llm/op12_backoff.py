@@ -26,9 +26,9 @@ from .common import kept
 from .learned import remainder
 from .textgrams import SPACED, mix, slices, words
 
-ORDER = 3
+ORDER = 2
 #: Pseudo-counts of the shorter context, for n-grams of two and more tokens.
-MU = (1000.0, 30.0)
+MU = (500.0, 30.0)
 BLOCK_TOKENS = 1 << 20
 #: Distinct n-grams that one range of the hash space is meant to hold.
 RANGE_GRAMS = 1 << 22
@@ -79,11 +79,13 @@ def encode(docs: DataFrame, mod: int, fold: int, order: int, block_tokens: int)
         def flush() -> pa.RecordBatch:
             nonlocal blocks, open_tokens, held
             names, numbers, folds, trains, parts, leads = map(list, zip(*held, strict=True))
-            known, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            known, ids, often = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            by = np.argsort(-often, kind="stable")  # small numbers for frequent tokens
+            known, ids = known[by], np.argsort(by)[ids]
             lists = [pa.array([v], pa.list_(t)) for v, t in ((names, names_type), (numbers, pa.int64()), (folds, pa.bool_()), (trains, pa.bool_()))]
-            packed = [np.array([len(p) for p in parts], np.int32), np.array(leads, np.int32), ids.astype(np.int32), known]
+            packed = [pack(a) for a in (np.array([len(p) for p in parts], np.int32), np.array(leads, np.int32), ids.astype(np.int32), known)]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([base + blocks]), pa.array([int(len(ids) - sum(leads))]), *lists, *(pa.array([p.tobytes()], pa.binary()) for p in packed)],
+                [pa.array([base + blocks]), pa.array([int(len(ids) - sum(leads))]), *lists, *(pa.array([p], pa.binary()) for p in packed)],
                 ["block", "tokens", "doc", "row", "held", "train", "size", "lead", "ids", "known"],
             )
             blocks, open_tokens, held = blocks + 1, 0, []
@@ -117,6 +119,29 @@ def encode(docs: DataFrame, mod: int, fold: int, order: int, block_tokens: int)
     return kept(plain.mapInArrow(run, schema), "lm-blocks")
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed; ``unpack`` with the same type gives them back."""
+    raw = np.ascontiguousarray(values)
+    planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True) if len(raw) else b""
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, kind)
+    n, width = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(packed[8:], n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(packed: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unpack(packed, kind), dtype=kind)
+
+
 @dataclass
 class Block:
     size: np.ndarray  # tokens of each piece, context included
@@ -127,7 +152,7 @@ class Block:
 
     @classmethod
     def of(cls, size: bytes, lead: bytes, ids: bytes, known: bytes, train) -> Block:
-        return cls(np.frombuffer(size, np.int32).astype(np.int64), np.frombuffer(lead, np.int32).astype(np.int64), np.frombuffer(ids, np.int32).astype(np.int64), np.frombuffer(known, np.uint64), np.asarray(train, bool))
+        return cls(*(unpack(b, np.int32).astype(np.int64) for b in (size, lead, ids)), unpack(known, np.uint64), np.asarray(train, bool))
 
     def __post_init__(self):
         self.first = np.cumsum(self.size) - self.size
@@ -176,29 +201,29 @@ def counts(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(some), block)), pa.array(np.full(len(some), n)), pa.array(some),
-                            pa.array([u[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()),
-                            pa.array([count[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in some], pa.binary()),
+                            pa.array([pack_sorted(u[cut[i] : cut[i + 1]]) for i in some], pa.binary()),
+                            pa.array([pack(count[cut[i] : cut[i + 1]].astype(np.int32)) for i in some], pa.binary()),
                         ],
                         ["block", "n", "range", "grams", "count"],
                     )
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         n, part = int(rows["n"].iloc[0]), int(rows["range"].iloc[0])
-        grams = np.concatenate([np.frombuffer(g, np.uint64) for g in rows["grams"]])
-        own = np.concatenate([np.frombuffer(c, np.int32) for c in rows["count"]]).astype(np.int64)
-        u, inverse = np.unique(grams, return_inverse=True)
+        grams = [unpack_sorted(g, np.uint64) for g in rows["grams"]]
+        own = np.concatenate([unpack(c, np.int32) for c in rows["count"]]).astype(np.int64)
+        u, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(inverse, weights=own, minlength=len(u)).astype(np.int64)
         out, at = [], 0
-        for block, g in zip(rows["block"], rows["grams"], strict=True):
-            upto = at + len(g) // 8
+        for block, g in zip(rows["block"], grams, strict=True):
+            upto = at + len(g)
             whole = total[inverse[at:upto]]
             place = np.flatnonzero(whole != own[at:upto])
             if len(place):
-                out.append((block, n, part, place.astype(np.int32).tobytes(), whole[place].tobytes()))
+                out.append((block, n, part, pack_sorted(place.astype(np.int32)), pack(whole[place])))
             at = upto
         if n == 1:
             token = total[u != START]
-            out.append((-1, n, part, b"", np.array([token.sum(), (token > 0).sum()]).tobytes()))
+            out.append((-1, n, part, b"", pack(np.array([token.sum(), (token > 0).sum()]))))
         return pd.DataFrame(out, columns=["block", "n", "range", "place", "total"])
 
     sent = blocks.select("block", "train", "size", "lead", "ids", "known").mapInArrow(send, "block long, n long, range long, grams binary, count binary")
@@ -219,7 +244,7 @@ def automaton(block: Block, grams: list, n_train: int, n_distinct: int, mu: tupl
     """The part of the model that the block's texts reach. State 0 is the empty context; arcs from it take every token of the
     block, known or not."""
     order, w = len(grams), len(block.known)
-    start, end = (np.searchsorted(block.known, t) for t in (START, END))
+    start, end = (int(np.argmax(block.known == t)) if (block.known == t).any() else -1 for t in (START, END))
     key, weight, target, fail, fail_weight = [], [], [], [np.zeros(1, np.int64)], [np.zeros(1)]
     below, p_below, made = np.zeros(1, np.int64), None, 1
     for n, (u, ends, count, index) in enumerate(grams, 1):
@@ -288,7 +313,7 @@ def score(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = ORDER, mu:
     tokens = blocks.agg(F.sum("tokens")).collect()[0][0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, tokens * order / RANGE_GRAMS)))))
     totals = counts(blocks, order, bits)
-    sums = [np.frombuffer(r.total, np.int64) for r in totals.where("block = -1").select("total").collect()]
+    sums = [unpack(r.total, np.int64) for r in totals.where("block = -1").select("total").collect()]
     n_train, n_distinct = (int(x) for x in (np.sum(sums, axis=0) if sums else (0, 0)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -301,7 +326,7 @@ def score(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = ORDER, mu:
         grams = list(block.grams(order))
         cuts = [_ranges(u, bits) for u, *_ in grams]
         for n, part, place, total in zip(changes["n"], changes["range"], changes["place"], changes["total"], strict=True):
-            grams[n - 1][2][cuts[n - 1][part] + np.frombuffer(place, np.int32)] = np.frombuffer(total, np.int64)
+            grams[n - 1][2][cuts[n - 1][part] + unpack_sorted(place, np.int32)] = unpack(total, np.int64)
         unigrams = grams[0][2][grams[0][3]]
         pieces = [np.bincount(block.piece[block.scored], weights=w[block.scored], minlength=len(block.size)) for w in (
             np.ones(len(unigrams)), unigrams > 0, np.log10((unigrams + 1) / (n_train + n_distinct + 1)),
