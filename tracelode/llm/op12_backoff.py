@@ -35,6 +35,8 @@ RANGE_GRAMS = 1 << 22
 #: Tokens of a text that are scored as one strand; the next strand starts from the same state.
 STRAND = 2048
 PIECE_BYTES = 1 << 20
+#: N-grams of two and more tokens are told apart by 56 bits of hash, tokens by 64.
+NAMED = np.uint64(0xFFFFFFFFFFFFFF00)
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _SEPARATOR = SPACED == 0
 
@@ -172,7 +174,7 @@ class Block:
                 if n > 1:
                     h = mix(np.concatenate([h[:1], h[:-1]]) * np.uint64(0x5851F42D4C957F2D) + token + np.uint64(n))
                 ends = np.flatnonzero(self.at >= n - 1)
-                u, where, inverse = np.unique(h[ends], return_index=True, return_inverse=True)
+                u, where, inverse = np.unique(h[ends] & NAMED if n > 1 else h[ends], return_index=True, return_inverse=True)
                 count = np.bincount(inverse, weights=self.counted[ends], minlength=len(u)).astype(np.int64)
                 index = np.full(len(h), -1)
                 index[ends] = inverse
