@@ -48,14 +48,14 @@ def shingles(text, k):
 def test_near_duplicate_stage(steps):
     before, after = steps[1]
     rows = sorted(before.collect(), key=lambda r: r.doc_id)
-    sets, parent = [shingles(r.text, 3) for r in rows], list(range(len(rows)))
+    sets, parent = [shingles(r.text, 5) for r in rows], list(range(len(rows)))
 
     def find(i):
         return i if parent[i] == i else find(parent[i])
 
     for i in range(len(rows)):
         for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     assert ids(after) == Counter(r.doc_id for i, r in enumerate(rows) if find(i) == i)

@@ -161,8 +161,8 @@ class Block:
         self.piece = np.repeat(np.arange(len(self.size)), self.size)
         self.at = np.arange(len(self.ids)) - self.first[self.piece]
         self.scored = self.at >= self.lead[self.piece]
-        # the start of a training text counts as a context, though not as a token
-        begins = self.known[self.ids] == START
+        # the start of a training text counts as a context, once, though not as a token
+        begins = (self.known[self.ids] == START) & (self.lead[self.piece] == 1)
         self.counted = (self.scored | begins) & self.train[self.piece]
 
     def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
