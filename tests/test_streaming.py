@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracelode.operators import aggregates, detections, ordered, temporal
+from tracelode.operators import aggregates, detections, joins, ordered, temporal
 from tracelode.plans import roles
-from tracelode.streaming import detect
-from tracelode.streaming.runtime import drain, scratch
+from tracelode.streaming import buffers, detect
+from tracelode.streaming.runtime import drain, replay, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,40 +41,103 @@ def latest(updates, keys, by):
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("r")).select(*keys, "r.*")
 
 
-def test_interval_state_over_batches(spark, conn):
-    keys = ["orig_h", "resp_p"]
-    got = latest(drain(detect.interval_state(arriving(spark, conn), keys), "spacing", "update"), keys, "n")
+def finished(stream, name, mode):
+    """What a stream wrote, and what its last micro-batch says of its state."""
+    out, state = scratch(stream.sparkSession, name), scratch(stream.sparkSession, f"{name}-state")
+    query = (
+        stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode(mode)
+        .foreachBatch(detect.alert_sink(out)).start()
+    )
+    query.awaitTermination()
+    done = stream.sparkSession.read.schema(stream.schema).parquet(out).select(*stream.columns)
+    return done, [p["stateOperators"] for p in query.recentProgress]
+
+
+def marked(spark, df, delay, ts="ts_us", **how):
+    return replay(df, ts, **how).withWatermark("event_time", delay)
+
+
+def check_spacing(rows, conn, keys):
     want = {tuple(r[k] for k in keys): r for r in ordered.interval_stats(conn, keys).collect()}
-    rows = got.collect()
     assert len(rows) == len(want)
     for r in rows:
-        w = want[(r.orig_h, r.resp_p)]
+        w = want[tuple(r[k] for k in keys)]
         assert (r.n, r.first_us, r.last_us, r.intervals) == (w.n, w.first_us, w.last_us, w.intervals)
         if w.mean_us is not None:
             assert r.mean_us == pytest.approx(w.mean_us) and r.sd_us == pytest.approx(w.sd_us, abs=1.0)
 
 
-def test_late_rows_are_counted_not_mixed_in(spark, conn):
-    swapped = conn.withColumn("arrival", -F.col("ts_us"))
-    out = drain(detect.interval_state(arriving(spark, swapped, 2, "arrival"), ["orig_h"]), "late", "update")
-    assert out.agg(F.sum("late")).first()[0] > 0
+def test_interval_state_newest_first(spark, conn):
+    """Files in reverse order of time give what the batch operator gives, before and after the keys close."""
+    keys = ["orig_h", "resp_p"]
+    rows, progress = finished(buffers.interval_state(marked(spark, conn, "60 days"), keys), "spacing", "update")
+    check_spacing(rows.where("closed").collect(), conn, keys)
+    check_spacing(latest(rows.where("not closed"), keys, "n").collect(), conn, keys)
+    assert max(o[0]["numRowsTotal"] for o in progress) > 0 and progress[-1][0]["numRowsTotal"] == 0
+
 
+def test_interval_state_settles_and_expires(spark, conn):
+    """In order of time, with a short delay: rows settle while the stream runs, and silent keys are forgotten and begin anew."""
+    keys = ["orig_h"]
+    live = detect.with_event_time(arriving(spark, conn, 6), "1 hour")
+    updates, _ = finished(buffers.interval_state(live, keys, 10**15), "spacing", "update")
+    check_spacing(latest(updates, keys, "n").collect(), conn, keys)
+    live = detect.with_event_time(arriving(spark, conn, 6), "1 hour")
+    short, _ = finished(buffers.interval_state(live, ["resp_h"], 86_400_000_000), "spacing", "update")
+    whole = {r.resp_h: r.n for r in ordered.interval_stats(conn, ["resp_h"]).collect()}
+    shut = short.where("closed").collect()
+    assert sum(r.n for r in shut) <= conn.count() and any(r.n < whole[r.resp_h] for r in shut)
 
-def test_sequence_state_over_batches(spark, conn):
+
+def test_rows_behind_the_watermark_never_mix_in(spark, conn):
+    rows, progress = finished(buffers.interval_state(marked(spark, conn, "1 day"), ["orig_h"]), "late", "update")
+    dropped = sum(o[0]["numRowsDroppedByWatermark"] for o in progress)
+    assert dropped > 0 and rows.where("closed").agg(F.sum("n")).first()[0] == conn.count() - dropped
+
+
+@pytest.mark.parametrize("backwards", [True, False])
+def test_sequence_state(spark, conn, backwards):
     host = conn.withColumnRenamed("orig_h", "host")
     steps = ["a_us", "b_us", "c_us"]
-    parts = []
-    for i, port in enumerate((53, 443, 22)):
-        one = host.where(F.col("resp_p") == port).select("host", F.col("ts_us").alias("first_us"), (F.col("ts_us") + 1000).alias("last_us"))
-        parts.append(one)
-    both = None
-    for i, df in enumerate(parts):
-        tagged = df.withColumn("step", F.lit(i))
-        both = tagged if both is None else both.unionByName(tagged)
+    parts = [
+        host.where(F.col("resp_p") == port).select("host", F.col("ts_us").alias("first_us"), (F.col("ts_us") + 1000).alias("last_us"))
+        for port in (53, 443, 22)
+    ]
+    both = parts[0].withColumn("step", F.lit(0))
+    for i in (1, 2):
+        both = both.unionByName(parts[i].withColumn("step", F.lit(i)))
     within = 86_400_000_000
-    got = drain(detect.sequence_state(arriving(spark, both, 4, "first_us"), steps, within), "chain")
+    if backwards:
+        stream, delay = replay(both, "first_us"), "60 days"
+    else:
+        end = spark.range(1).select(F.lit(None).cast("string").alias("host"), F.lit(4 * 10**15).alias("first_us"), F.lit(4 * 10**15).alias("last_us"), F.lit(0).alias("step"))
+        stream, delay = arriving(spark, both.unionByName(end), 4, "first_us"), "1 hour"
+    got, progress = finished(buffers.sequence_state(stream, steps, within, delay=delay), "chain", "append")
     want = detections.sequence(list(zip(steps, parts)), within)
     assert want.count() > 0 and same(want, got)
+    assert progress[-1][0]["numRowsTotal"] <= (0 if backwards else 8)
+
+
+def test_next_connection(spark, conn):
+    """Each answer once, with its next connection or without; ties and repeated answers included."""
+    dns = roles.dns(spark, SF)
+    twice = dns.unionByName(dns.select(*[(F.col(c) + 1_000_000).alias(c) if c in ("line", "ts_us") else F.col(c) for c in dns.columns]))
+    at_once = conn.limit(40).select((F.col("line") + 5_000_000).alias("line"), "ts_us", "orig_h", F.col("resp_h").alias("answer"))
+    asked = twice.select("line", "ts_us", "orig_h", "answer").unionByName(at_once)
+    unknown = spark.createDataFrame([(9_000_001, 1_705_000_000_000_000, None, "1.2.3.4"), (9_000_002, 1_705_000_000_000_000, "10.20.0.1", None)], asked.schema)
+    asked, within = asked.unionByName(unknown), 604_800_000_000
+    got, progress = finished(
+        buffers.next_connection(marked(spark, asked, "60 days"), marked(spark, conn, "60 days"), within), "next", "append"
+    )
+    want = joins.dns_to_conn(asked, conn, within).select(*got.columns)
+    assert want.where("conn_line is not null").count() > 0 and same(want, got)
+    assert progress[-1][0]["numRowsTotal"] == 0
+
+
+def test_exact_fan_out_in_append_mode(spark, conn):
+    got, progress = finished(detect.fan_out_exact(marked(spark, conn, "60 days"), "1 day", "12 hours", 2), "fan", "append")
+    assert got.count() > 0 and same(detect.fan_out_sliding(conn, "1 day", "12 hours", 2), got)
+    assert max(o["numRowsTotal"] for o in progress[-2]) > 0
 
 
 def test_outbound_alerts(spark, conn):

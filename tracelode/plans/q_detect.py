@@ -8,9 +8,11 @@ from ..operators import governance as K
 from ..operators import temporal as T
 from ..functions.clock import DAY, floor_us
 from ..sources import logs
+from ..streaming import buffers as B
 from ..streaming import detect as S
-from ..streaming.runtime import drain, scratch
+from ..streaming.runtime import drain, replay, scratch
 from . import roles
+from .q_joins import NEXT_CONNECTION
 from .q_temporal import GAPS
 from .registry import question
 
@@ -69,12 +71,10 @@ def phase_sequence(spark, sf):
 
 @question("i10_sequence_state", SEQ)
 def sequence_state(spark, sf):
-    """The same chains found by a stream of episodes."""
-    path = scratch(spark, "episodes")
-    for i, df in enumerate(episodes(spark, sf)):
-        df.withColumn("step", F.lit(i)).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return drain(S.sequence_state(stream, STEPS, TWO_DAYS), "sequence")
+    """The same chains found by a stream of episodes that come newest first."""
+    every = [df.withColumn("step", F.lit(i)) for i, df in enumerate(episodes(spark, sf))]
+    table = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+    return drain(B.sequence_state(replay(table, "first_us"), STEPS, TWO_DAYS, delay="60 days"), "sequence")
 
 
 @question(
@@ -91,6 +91,11 @@ def fail_then_success(spark, sf):
 # --- streams -------------------------------------------------------------------------------------
 
 
+def backwards(spark, sf, read=roles.conn, delay="60 days"):
+    """A source that arrives newest first, over several batches, with a mark of time at its end."""
+    return replay(read(spark, sf)).withWatermark("event_time", delay)
+
+
 def live(spark, sf, delay="1 day"):
     return S.with_event_time(roles.conn(spark, sf, roles.stream), delay)
 
@@ -118,15 +123,17 @@ def follow_firewall(spark, sf):
     return drain(logs.follow_firewall(spark, path)[0], "followed").select("parentuid", "orig_h", "resp_h", "sentbyte", "app")
 
 
-@question("i1_errors", """SELECT CASE WHEN doc_id % 2 = 0 THEN replace(left(text, 20), chr(10), ' ') || '#' || doc_id ELSE '{"uid":"' || doc_id || '"}' END AS raw,
+@question("i1_errors", """SELECT CASE WHEN doc_id % 2 = 0 THEN translate(text, chr(10) || chr(13), '  ') || '#' || doc_id
+    ELSE '{"uid":"' || doc_id || '","note":"' || regexp_replace(text, '[^a-zA-Z ]', '', 'g') || '"}' END AS raw,
   CASE WHEN doc_id % 2 = 0 THEN 'malformed JSON' ELSE 'required field missing' END AS error FROM documents WHERE text IS NOT NULL""")
 def follow_errors(spark, sf):
-    """Lines that are no record go to a stream of their own: prose, and objects without a time, next to good records."""
+    """Lines that are no record go to a stream of their own: whole prose, and objects without a time, next to good records."""
     path = scratch(spark, "landing")
     docs = roles.table(spark, sf, "documents").where("text IS NOT NULL")
-    prose = F.concat(F.left("text", F.lit(20)), F.lit("#"), F.col("doc_id").cast("string"))
-    bare = F.to_json(F.struct(F.col("doc_id").cast("string").alias("uid")))
-    odd = docs.select(F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(prose, "\n", " ")).otherwise(bare).alias("value"))
+    uid = F.col("doc_id").cast("string")
+    prose = F.concat(F.translate("text", "\n\r", "  "), F.lit("#"), uid)
+    bare = F.to_json(F.struct(uid.alias("uid"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("note")))
+    odd = docs.select(F.when(F.col("doc_id") % 2 == 0, prose).otherwise(bare).alias("value"))
     good = roles.conn(spark, sf).select(F.to_json(F.struct((F.col("ts_us") / 1e6).alias("ts"), "uid")).alias("value"))
     odd.unionByName(good).write.text(path)
     return drain(logs.follow_jsonl(spark, path, "conn")[1], "unparsed").select("raw", "error")
@@ -149,23 +156,45 @@ def outbound_alerts(spark, sf):
     return drain(S.outbound_alerts(live(spark, sf), "15 minutes", 10_000), "outbound", "complete")
 
 
-@question(
-    "i5_sliding_fan_out",
-    C + """, w AS (SELECT orig_h, resp_h, ts_us - ts_us % 43200000000 - s * 43200000000 AS window_us FROM conn, (SELECT unnest([0, 1]) AS s)
+@question("i4_outbound_closed", C + """SELECT orig_h, ts_us - ts_us % 900000000 AS window_us, CAST(sum(orig_bytes) AS BIGINT) AS bytes, count(*) AS conversations
+  FROM conn GROUP BY ALL HAVING sum(orig_bytes) > 10000""")
+def outbound_closed(spark, sf):
+    """Each window once, when the watermark has passed it; its state is gone then."""
+    return drain(S.outbound_alerts(backwards(spark, sf), "15 minutes", 10_000), "outbound")
+
+
+SESSIONS = C + """, g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w >= 1800000000 THEN 1 ELSE 0 END AS b
+      FROM conn WINDOW w AS (PARTITION BY orig_h ORDER BY ts_us, line)),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY orig_h ORDER BY ts_us, line) AS sid FROM g)
+    SELECT orig_h, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, CAST(sum(orig_bytes) AS BIGINT) AS bytes FROM s GROUP BY orig_h, sid"""
+
+SLIDING = C + """, w AS (SELECT orig_h, resp_h, ts_us - ts_us % 43200000000 - s * 43200000000 AS window_us FROM conn, (SELECT unnest([0, 1]) AS s)
       WHERE resp_p IN (22, 445, 3389) AND k < 60)
-    SELECT orig_h, window_us, count(DISTINCT resp_h) AS peers FROM w GROUP BY ALL HAVING count(DISTINCT resp_h) >= 2""",
-)
+    SELECT orig_h, window_us, count(DISTINCT resp_h) AS peers FROM w GROUP BY ALL HAVING count(DISTINCT resp_h) >= 2"""
+
+
+@question("i5_fan_out_stream", SLIDING)
+def fan_out_stream(spark, sf):
+    return drain(S.fan_out_exact(backwards(spark, sf), "1 day", "12 hours", 2), "fan-out")
+
+
+@question("i6_sessions_closed", SESSIONS)
+def sessions_closed(spark, sf):
+    return drain(S.sessions(backwards(spark, sf), "30 minutes"), "sessions-closed")
+
+
+@question("i8_next_connection", NEXT_CONNECTION)
+def next_connection(spark, sf):
+    """Every answer with its next connection, both streams newest first."""
+    return drain(B.next_connection(backwards(spark, sf, roles.dns), backwards(spark, sf), 604_800_000_000), "next")
+
+
+@question("i5_sliding_fan_out", SLIDING)
 def sliding_fan_out(spark, sf):
     return S.fan_out_sliding(roles.conn(spark, sf), "1 day", "12 hours", 2)
 
 
-@question(
-    "i6_sessions",
-    C + """, g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w >= 1800000000 THEN 1 ELSE 0 END AS b
-      FROM conn WINDOW w AS (PARTITION BY orig_h ORDER BY ts_us, line)),
-    s AS (SELECT *, sum(b) OVER (PARTITION BY orig_h ORDER BY ts_us, line) AS sid FROM g)
-    SELECT orig_h, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, CAST(sum(orig_bytes) AS BIGINT) AS bytes FROM s GROUP BY orig_h, sid""",
-)
+@question("i6_sessions", SESSIONS)
 def sessions(spark, sf):
     return drain(S.sessions(live(spark, sf), "30 minutes"), "sessions", "complete")
 
@@ -187,11 +216,11 @@ def dns_then_conn(spark, sf):
 @question("i9_interval_state", C + GAPS + """SELECT orig_h, resp_p, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, count(gap) AS intervals,
   CAST(round(avg(gap)) AS BIGINT) AS mean_us, CAST(round(stddev_pop(gap) / 1000) AS BIGINT) AS sd_ms FROM d GROUP BY orig_h, resp_p""")
 def interval_state(spark, sf):
-    updates = drain(S.interval_state(roles.conn(spark, sf, roles.stream), ["orig_h", "resp_p"]), "spacing", "update")
-    row = F.max_by(F.struct(*[c for c in updates.columns if c not in ("orig_h", "resp_p")]), "n")
-    return updates.groupBy("orig_h", "resp_p").agg(row.alias("r")).select(
-        "orig_h", "resp_p", "r.n", "r.first_us", "r.last_us", "r.intervals",
-        F.round("r.mean_us").cast("bigint").alias("mean_us"), F.round(F.col("r.sd_us") / 1000).cast("bigint").alias("sd_ms"),
+    """The last word on each key, of records that come newest first."""
+    updates = drain(B.interval_state(backwards(spark, sf), ["orig_h", "resp_p"]), "spacing", "update")
+    return updates.where("closed").select(
+        "orig_h", "resp_p", "n", "first_us", "last_us", "intervals",
+        F.round("mean_us").cast("bigint").alias("mean_us"), F.round(F.col("sd_us") / 1000).cast("bigint").alias("sd_ms"),
     )
 
 

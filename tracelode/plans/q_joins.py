@@ -171,14 +171,14 @@ def asset_at_time(spark, sf):
     return J.asof_asset(events, leases(spark, sf)).select("line", "ip", "device")
 
 
-@question(
-    "c11_dns_then_conn",
-    CD + """, m AS (SELECT d.line, d.orig_h, d.answer AS address, d.ts_us, c.line AS conn_line, c.ts_us - d.ts_us AS gap_us,
-      row_number() OVER (PARTITION BY d.line ORDER BY c.ts_us, c.line) AS rn
-      FROM dns d LEFT JOIN conn c ON d.orig_h = c.orig_h AND d.answer = c.resp_h
-        AND c.ts_us >= d.ts_us AND c.ts_us - d.ts_us <= 604800000000)
-    SELECT line, orig_h, address, conn_line, gap_us FROM m WHERE rn = 1""",
-)
+NEXT_CONNECTION = CD + """, m AS (SELECT d.line, d.orig_h, d.answer AS address, d.ts_us, c.line AS conn_line, c.ts_us - d.ts_us AS gap_us,
+  row_number() OVER (PARTITION BY d.line ORDER BY c.ts_us, c.line) AS rn
+  FROM dns d LEFT JOIN conn c ON d.orig_h = c.orig_h AND d.answer = c.resp_h
+    AND c.ts_us >= d.ts_us AND c.ts_us - d.ts_us <= 604800000000)
+SELECT line, orig_h, address, conn_line, gap_us FROM m WHERE rn = 1"""
+
+
+@question("c11_dns_then_conn", NEXT_CONNECTION)
 def dns_then_conn(spark, sf):
     return J.dns_to_conn(roles.dns(spark, sf), roles.conn(spark, sf), 604_800_000_000)
 

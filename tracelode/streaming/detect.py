@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.clock import to_ts
 from ..functions.net import PRIVATE, zone
 from ..operators.aggregates import REMOTE_PORTS
-from .runtime import use_rocksdb
 
 
 def with_event_time(df: DataFrame, delay: str, ts: str = "ts_us", name: str = "event_time") -> DataFrame:
@@ -40,7 +36,8 @@ def fan_out_alerts(
     internal: Sequence[str] = PRIVATE,
     rsd: float = 0.01,
 ) -> DataFrame:
-    """Distinct internal peers on remote services in a sliding window (approximate count)."""
+    """Distinct internal peers on remote services in a sliding window: approximate, with little state, so hosts near the limit
+    may be missed or added. ``fan_out_exact`` is exact."""
     remote = df.where(F.col("resp_p").isin(*ports) & (zone(F.col("resp_h"), internal) == "internal"))
     return (
         remote.groupBy("orig_h", F.window("event_time", width, slide).alias("w"))
@@ -50,6 +47,24 @@ def fan_out_alerts(
     )
 
 
+def fan_out_exact(
+    df: DataFrame, width: str, slide: str, min_peers: int, ports: Sequence[int] = REMOTE_PORTS, internal: Sequence[str] = PRIVATE
+) -> DataFrame:
+    """Distinct internal peers on remote services in a sliding window, each window once, when the watermark has passed it.
+
+    Two stateful steps in append mode: the distinct pairs of host and peer in each window, then their number per host. State has
+    a row for each pair and open window. Rows without both addresses only carry time on.
+    """
+    remote = F.col("resp_p").isin(*ports) & (zone(F.col("resp_h"), internal) == "internal")
+    pairs = (
+        df.where(remote | (F.col("orig_h").isNull() & F.col("resp_h").isNull()))
+        .groupBy("orig_h", "resp_h", F.window("event_time", width, slide).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    peers = pairs.groupBy("orig_h", "w").agg(F.count("resp_h").alias("peers"))
+    return peers.where(F.col("peers") >= min_peers).select("orig_h", F.unix_micros("w.start").alias("window_us"), "peers")
+
+
 def fan_out_sliding(
     df: DataFrame, width: str, slide: str, min_peers: int, ports: Sequence[int] = REMOTE_PORTS, internal: Sequence[str] = PRIVATE
 ) -> DataFrame:
@@ -98,117 +113,6 @@ def dns_then_conn(dns: DataFrame, conn: DataFrame, within: str, outer: bool = Fa
     )
 
 
-class _Spacing(StatefulProcessor):
-    """Running count, mean and squared deviation of the gaps of one key."""
-
-    def __init__(self, keys: Sequence[str]):
-        self.keys = list(keys)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("spacing", "n BIGINT, last BIGINT, first BIGINT, mean DOUBLE, m2 DOUBLE")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Only the times are kept; how many come at once is set by the stream's admission limit.
-        times = np.sort(np.concatenate([chunk["ts_us"].to_numpy(np.int64) for chunk in rows]))
-        n, last, first, mean, m2 = self.state.get() or (0, None, int(times[0]), 0.0, 0.0)
-        late = 0 if last is None else int(np.searchsorted(times, last))
-        times = times[late:]
-        gaps = np.diff(times if last is None else np.concatenate([[last], times])).astype(np.float64)
-        if len(gaps):
-            done = n - 1 if n else 0
-            total = done + len(gaps)
-            batch_mean, batch_m2 = float(gaps.mean()), float(((gaps - gaps.mean()) ** 2).sum())
-            shift = batch_mean - mean
-            m2 += batch_m2 + shift * shift * done * len(gaps) / total
-            mean += shift * len(gaps) / total
-        if len(times):
-            n, last = n + len(times), int(times[-1])
-            self.state.update((n, last, first, mean, m2))
-        sd = (m2 / (n - 1)) ** 0.5 if n > 1 else None
-        values = {**dict(zip(self.keys, key)), "n": n, "first_us": first, "last_us": last, "intervals": n - 1}
-        yield pd.DataFrame([{**values, "mean_us": mean if n > 1 else None, "sd_us": sd, "late": late}])
-
-    def close(self) -> None:
-        pass
-
-
-def interval_state(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Online interval statistics per key, one row per key and batch in update mode.
-
-    Rows older than the last one of their key are counted in ``late`` and left out, because
-    a gap cannot be undone; ``split_late`` keeps them for the late table.
-    """
-    use_rocksdb(df.sparkSession)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
-        ", n BIGINT, first_us BIGINT, last_us BIGINT, intervals BIGINT, mean_us DOUBLE, sd_us DOUBLE, late BIGINT"
-    )
-    return (
-        df.select(*keys, "ts_us")
-        .groupBy(*keys)
-        .transformWithStateInPandas(
-            statefulProcessor=_Spacing(keys), outputStructType=schema, outputMode="Update", timeMode="None"
-        )
-    )
-
-
-class _Chain(StatefulProcessor):
-    """How far a host has come in an ordered list of steps."""
-
-    def __init__(self, steps: Sequence[str], within_us: int, key: str):
-        self.steps, self.within, self.key = list(steps), within_us, key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # One row per step: the latest chain that ended, and chains whose end is still ahead.
-        self.state = handle.getMapState("chains", "step INT", "ends ARRAY<BIGINT>, starts ARRAY<STRING>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        episodes = pd.concat(list(rows)).sort_values(["first_us", "last_us", "step"])
-        chains = {i: [] for i in range(len(self.steps))}
-        for i in chains:
-            if self.state.containsKey((i,)):
-                ends, starts = self.state.getValue((i,))
-                chains[i] = list(zip(ends, (tuple(map(int, s.split(","))) for s in starts)))
-        out = []
-        for step, first, last in episodes[["step", "first_us", "last_us"]].itertuples(index=False):
-            step, first, last = int(step), int(first), int(last)
-            if step == 0:
-                chains[0].append((last, (first,)))
-                continue
-            ended = [c for c in chains[step - 1] if c[0] < first]
-            ahead = [c for c in chains[step - 1] if c[0] >= first]
-            best = max(ended, default=None)
-            # Episodes come by start, so an earlier end than the best one is of no more use.
-            chains[step - 1] = ahead + ([best] if best else [])
-            if best and first - best[0] <= self.within:
-                path = (*best[1], first)
-                if step == len(self.steps) - 1:
-                    out.append({self.key: key[0], **dict(zip(self.steps, path)), "end_us": last})
-                else:
-                    chains[step].append((last, path))
-        for i, found in chains.items():
-            if found:
-                self.state.updateValue((i,), ([c[0] for c in found], [",".join(map(str, c[1])) for c in found]))
-        yield pd.DataFrame(out, columns=[self.key, *self.steps, "end_us"])
-
-    def close(self) -> None:
-        pass
-
-
-def sequence_state(episodes: DataFrame, steps: Sequence[str], within_us: int, key: str = "host") -> DataFrame:
-    """Online form of ``detections.sequence``: episodes ``(key, step, first_us, last_us)`` in start order."""
-    use_rocksdb(episodes.sparkSession)
-    kind = dict(episodes.dtypes)[key]
-    schema = f"{key} {kind}, " + ", ".join(f"{s} BIGINT" for s in steps) + ", end_us BIGINT"
-    return (
-        episodes.select(key, "step", "first_us", "last_us")
-        .groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=_Chain(steps, within_us, key), outputStructType=schema, outputMode="Append", timeMode="None"
-        )
-    )
-
-
 def enrich(stream: DataFrame, assets: DataFrame, ip: str = "orig_h") -> DataFrame:
     """Stream-static left join with an asset table ``(ip, device)``; the table may grow between batches."""
     return stream.join(assets.select(F.col("ip").alias(ip), "device"), ip, "left")
