@@ -13,7 +13,7 @@ from ..functions.binary import ipv4_at
 from ..functions.clock import DAY, floor_us
 from ..functions.text import entropy_bits
 from ..schemas import TUPLE
-from . import decode, ordered
+from . import decode, instances, ordered
 from .filters import phase
 from .ordered import join_null_safe
 from .temporal import LINES
@@ -99,14 +99,20 @@ def conversations(packets: DataFrame, host: str | None = None) -> DataFrame:
     conversation is decided on the aggregated row. With ``host`` the host is the opener;
     otherwise the sender of the first SYN-without-ACK, or of the first packet. All aggregation
     buffers are fixed-width, so Spark hashes instead of sorting and combines before the shuffle.
+
+    Packets with an ``error`` are left out. Packets that ``instances.number`` has numbered give one row, with its
+    ``instance``, for each connection of a pair instead of one for the pair.
     """
+    if "error" in packets.columns:
+        packets = packets.where(F.col("error").isNull())
+    instance = ["instance"] if "instance" in packets.columns else []
     if host is not None:
         packets = packets.where((F.col("src") == host) | (F.col("dst") == host))
     end_a, end_b, from_a = _pair(packets)
     rows = packets.select(
         end_a.alias("__a"),
         end_b.alias("__b"),
-        "proto",
+        "proto", *instance,
         from_a.alias("__from_a"),
         "packet", "ts_us", "payload_bytes", "ip_bytes",
         # Only flags derived from the payload travel, not the payload.
@@ -115,6 +121,8 @@ def conversations(packets: DataFrame, host: str | None = None) -> DataFrame:
         net.is_syn(F.col("flags")).alias("__syn"),
     )
     packet = F.col("packet")
+    # numbers of several captures overlap, so there time comes first
+    places = ["ts_us", "packet"] if "file" in packets.columns else ["packet"]
     aggs = [
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
@@ -128,15 +136,18 @@ def conversations(packets: DataFrame, host: str | None = None) -> DataFrame:
             F.sum(F.when(cond, F.col("ip_bytes")).otherwise(0)).alias(f"__ip_{side}"),
             F.count_if(cond).alias(f"__packets_{side}"),
             F.coalesce(F.bool_or(cond & F.col("__post")), F.lit(False)).alias(f"__post_{side}"),
-            F.min(F.when(cond, packet)).alias(f"__first_{side}"),
-            F.min(F.when(cond & F.col("__syn"), packet)).alias(f"__syn_{side}"),
+            *[
+                F.min(F.when(when, F.col(place))).alias(f"__{kind}_{place}_{side}")
+                for kind, when in (("first", cond), ("syn", cond & F.col("__syn"))) for place in places
+            ],
         ]
-    grouped = rows.groupBy("__a", "__b", "proto").agg(*aggs)
+    grouped = rows.groupBy("__a", "__b", "proto", *instance).agg(*aggs)
 
     def earlier(kind: str) -> Column:
         """True when side a comes first, false when side b does, null when neither occurs."""
-        a, b = F.col(f"__{kind}_a"), F.col(f"__{kind}_b")
-        return F.when(a.isNotNull() & b.isNotNull(), a < b).when(a.isNotNull(), True).when(b.isNotNull(), False)
+        a, b = (F.struct(*[F.col(f"__{kind}_{place}_{side}") for place in places]) for side in "ab")
+        has_a, has_b = (F.col(f"__{kind}_packet_{side}").isNotNull() for side in "ab")
+        return F.when(has_a & has_b, a < b).when(has_a, True).when(has_b, False)
 
     opened_by_a = F.coalesce(earlier("syn"), earlier("first")) if host is None else F.col("__a.ip") == host
     named = grouped.withColumn("__open_a", opened_by_a)
@@ -153,7 +164,7 @@ def conversations(packets: DataFrame, host: str | None = None) -> DataFrame:
         pick("__a.port", "__b.port").alias("orig_p"),
         pick("__b.ip", "__a.ip").alias("resp_h"),
         pick("__b.port", "__a.port").alias("resp_p"),
-        "proto", "first_us", "last_us", "first_packet", "last_packet",
+        "proto", *instance, "first_us", "last_us", "first_packet", "last_packet",
         pick("__payload_a", "__payload_b").alias("out_payload_bytes"),
         pick("__payload_b", "__payload_a").alias("in_payload_bytes"),
         pick("__ip_a", "__ip_b").alias("out_ip_bytes"),
@@ -166,16 +177,17 @@ def conversations(packets: DataFrame, host: str | None = None) -> DataFrame:
 
 
 def conversation_table(conv: DataFrame, conn: DataFrame) -> DataFrame:
-    """Conversations with phase and the line of their connection record."""
-    return phase(conv).join(conn.select(*TUPLE, F.col("line").alias("conn_line")), TUPLE, "left")
+    """Conversations with phase and the line of their connection record; numbered instances with the record in whose time they fall."""
+    logged, keys = instances.lines(conn, ["line"], conv)
+    return phase(conv).join(logged.withColumnRenamed("line", "conn_line"), keys, "left")
 
 
 def label_conflicts(fw: DataFrame, conv: DataFrame) -> DataFrame:
     """Firewall records whose application label differs from what the payload shows."""
-    seen = conv.where("observed_protocol <> 'not_established'").select(*TUPLE, "observed_protocol")
+    labelled, keys = instances.lines(fw.where(F.col("app") != ""), [c for c in fw.columns if c not in TUPLE], conv)
+    seen = conv.where("observed_protocol <> 'not_established'").select(*keys, "observed_protocol")
     return (
-        fw.where(F.col("app") != "")
-        .join(seen, TUPLE)
+        labelled.join(seen, keys)
         .where(F.lower("app") != F.col("observed_protocol"))
         .withColumnRenamed("app", "label")
     )

@@ -17,6 +17,7 @@ from ..functions import net
 from ..functions.binary import hex_prefix, ipv4_at, latin1, u8, u16, u32
 from ..functions.clock import iso_utc
 from ..functions.text import header, http_parts
+from .ordered import locator
 
 IPV4 = 0x0800
 ETHERNET_BYTES = 14
@@ -67,6 +68,11 @@ _PACKET = ["packet", "ts_us", "src", "dst", "sport", "dport", "proto", "flags",
            "ip_bytes", "payload_bytes", "error"]
 
 
+def _columns(ip: DataFrame) -> list[str]:
+    """Packets keep the file they come from: numbers of several captures overlap."""
+    return [*(["file"] if "file" in ip.columns else []), *_PACKET]
+
+
 def decode_tcp(ip: DataFrame) -> DataFrame:
     """TCP header and payload of ``decode_ip`` rows."""
     seg = F.col("segment")
@@ -84,7 +90,7 @@ def decode_tcp(ip: DataFrame) -> DataFrame:
         payload.alias("payload"),
         F.length(payload).cast("bigint").alias("payload_bytes"),
         F.when(short, F.lit("short TCP header")).alias("error"),
-    ).select(*_PACKET)
+    ).select(*_columns(ip))
 
 
 def decode_udp(ip: DataFrame) -> DataFrame:
@@ -104,7 +110,7 @@ def decode_udp(ip: DataFrame) -> DataFrame:
         payload.alias("payload"),
         F.length(payload).cast("bigint").alias("payload_bytes"),
         F.when(wrong, F.lit("UDP length differs")).alias("error"),
-    ).select(*_PACKET)
+    ).select(*_columns(ip))
 
 
 def decode(frames: DataFrame, strict: bool = False) -> DataFrame:
@@ -120,6 +126,7 @@ def decode(frames: DataFrame, strict: bool = False) -> DataFrame:
     frame = F.col("frame")
     ihl = u8(frame, 14).bitwiseAND(F.lit(15)).cast("int") * 4
     ip = classed.where(F.col("packet_class").isin("tcp", "udp")).select(
+        *(["file"] if "file" in frames.columns else []),
         "packet",
         "ts_us",
         F.col("packet_class").alias("proto"),
@@ -144,7 +151,7 @@ def decode(frames: DataFrame, strict: bool = False) -> DataFrame:
         payload.alias("payload"),
         F.length(payload).cast("bigint").alias("payload_bytes"),
         error.alias("error"),
-    ).select(*_PACKET)
+    ).select(*_columns(ip))
     if strict:
         fail = F.raise_error(F.concat(F.col("error"), F.lit(" in packet "), F.col("packet").cast("string")))
         out = out.where(F.when(F.col("error").isNotNull(), fail.cast("boolean")).otherwise(F.lit(True)))
@@ -152,9 +159,9 @@ def decode(frames: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def packet_index(packets: DataFrame, prefix: int = 120) -> DataFrame:
-    """Packet table for review: no payload, only its first bytes in hex."""
+    """Packet table for review: no payload, only its first bytes in hex. Packets are named by file and number."""
     return packets.select(
-        "packet",
+        *locator(packets, "packet"),
         iso_utc(F.col("ts_us")).alias("utc"),
         "src",
         "dst",
@@ -169,12 +176,13 @@ def packet_index(packets: DataFrame, prefix: int = 120) -> DataFrame:
 
 
 def query_packets(packets: DataFrame, cond: Column | str, limit: int, payload_bytes: int) -> DataFrame:
-    """The first ``limit`` matching packets, each with the count of all matches."""
+    """The first ``limit`` matching packets by file and number, each with the count of all matches."""
     matched = packets.where(cond)
     total = matched.agg(F.count(F.lit(1)))
-    shown = matched.orderBy("packet").limit(limit)
+    named = locator(packets, "packet")
+    shown = matched.orderBy(*named).limit(limit)
     return shown.select(
-        "packet", "ts_us", "src", "dst", "sport", "dport", "proto", "payload_bytes",
+        *named, "ts_us", "src", "dst", "sport", "dport", "proto", "payload_bytes",
         hex_prefix(F.col("payload"), payload_bytes).alias("payload_hex"),
         (F.col("payload_bytes") > payload_bytes).alias("payload_truncated"),
         total.scalar().alias("matching_packets"),

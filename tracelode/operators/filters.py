@@ -39,7 +39,9 @@ def orient(packets: DataFrame, host: str | None = None) -> DataFrame:
     """Add the conversation key to packets.
 
     With ``host`` the host is the originator. Without, the sender of the first SYN-without-ACK is,
-    and where there is none the sender of the first packet.
+    and where there is none the sender of the first packet. First is by packet number; where packets name
+    their ``file``, by time, then file and number, since numbers of several captures overlap. Packets with an ``instance``
+    (``instances.number``) are oriented for each instance.
     """
     if host is not None:
         out = F.col("src") == host
@@ -54,11 +56,10 @@ def orient(packets: DataFrame, host: str | None = None) -> DataFrame:
     here = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port"))
     there = F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
     ends = packets.withColumn("__a", F.least(here, there)).withColumn("__b", F.greatest(here, there))
-    pair = ["__a", "__b", "proto"]
-    syn = F.when(net.is_syn(F.col("flags")), F.col("packet"))
-    first = ends.groupBy(*pair).agg(
-        F.coalesce(F.min_by(here, syn), F.min_by(here, F.col("packet"))).alias("__opener")
-    )
+    pair = ["__a", "__b", "proto", *(["instance"] if "instance" in packets.columns else [])]
+    place = F.struct("ts_us", "file", "packet") if "file" in packets.columns else F.col("packet")
+    syn = F.when(net.is_syn(F.col("flags")), place)
+    first = ends.groupBy(*pair).agg(F.coalesce(F.min_by(here, syn), F.min_by(here, place)).alias("__opener"))
     from .ordered import join_null_safe
 
     joined = join_null_safe(ends, first, pair)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..schemas import TUPLE
-from . import ordered
+from . import instances, ordered
 from .integrity import row_print
 from .ordered import CHUNK
 
@@ -148,8 +148,16 @@ def join_fw_conn(fw: DataFrame, conn: DataFrame) -> DataFrame:
 
 
 def join_ids_packet(ids: DataFrame, packets: DataFrame, tol_us: int = PACKET_TOLERANCE) -> DataFrame:
-    """Alert to the packet it cites: packet number, tuple in packet direction, time."""
+    """Alert to the packet it cites: packet number, tuple in packet direction, time.
+
+    Where packets name their ``file`` so does the result (``packet_file``). An alert that says which capture it means
+    (``pcap_file``) meets that one's packet only; the number alone may stand in every capture, so then the capture that agrees
+    best counts (the first by name among equals), and each alert still gives one row.
+    """
+    filed = "file" in packets.columns
+    keys = ["pcap_file", "pcap_count"] if filed and "pcap_file" in ids.columns else ["pcap_count"]
     cited = packets.select(
+        *([F.col("file").alias("pcap_file" if len(keys) == 2 else "packet_file")] if filed else []),
         F.col("packet").alias("pcap_count"),
         F.col("ts_us").alias("packet_ts_us"),
         F.col("src").alias("p_orig_h"),
@@ -158,14 +166,22 @@ def join_ids_packet(ids: DataFrame, packets: DataFrame, tol_us: int = PACKET_TOL
         F.col("dport").alias("p_resp_p"),
         F.col("proto").alias("p_proto"),
     )
-    joined = lookup(ids, cited, ["pcap_count"])
+    joined = lookup(ids, cited, keys)
     verdict = (
         F.when(F.col("packet_ts_us").isNull(), "no_packet")
         .when(~_same_tuple("p_"), "tuple_differs")
         .when(F.abs(F.col("ts_us") - F.col("packet_ts_us")) > tol_us, "time_differs")
         .otherwise("matched")
     )
-    return joined.select("line", "pcap_count", verdict.alias("verdict"))
+    if len(keys) == 2:
+        joined = joined.withColumn("packet_file", F.when(F.col("packet_ts_us").isNotNull(), F.col("pcap_file")))
+    named = [*ordered.locator(ids), "pcap_count"]
+    out = joined.select(*named, *(["packet_file"] if filed else []), verdict.alias("verdict"))
+    if not filed or len(keys) == 2:
+        return out
+    rank = F.array_position(F.lit(["matched", "time_differs", "tuple_differs", "no_packet"]), F.col("verdict"))
+    best = F.min(F.struct(rank.alias("rank"), F.col("packet_file"), F.col("verdict"))).alias("best")
+    return out.groupBy(*named).agg(best).select(*named, "best.packet_file", "best.verdict")
 
 
 def unmatched(joined: DataFrame) -> DataFrame:
@@ -197,12 +213,12 @@ def reconcile(conv: DataFrame, conn: DataFrame, tol_us: int = PACKET_TOLERANCE)
     """Fields on which the capture and the connection log disagree, one row per field.
 
     ``conv`` carries the counters under the log's names and ``first_us``. A conversation without a
-    record gives one row with field ``no conn record``.
+    record gives one row with field ``no conn record``. Where ``conv`` has instances of reused tuples (and ``last_us``), each meets the
+    records of its own time.
     """
-    logged = conn.select(
-        *TUPLE, "line", F.col("ts_us").alias("log_ts"), *[F.col(c).alias(f"log_{c}") for c in COUNTERS]
-    )
-    joined = conv.join(logged, TUPLE, "left")
+    logged, keys = instances.lines(conn, ["line", "ts_us", *COUNTERS], conv)
+    logged = logged.withColumnsRenamed({"ts_us": "log_ts", **{c: f"log_{c}" for c in COUNTERS}})
+    joined = conv.join(logged, keys, "left")
     pairs = [
         F.struct(F.lit(c).alias("field"), F.col(c).alias("pcap"), F.col(f"log_{c}").alias("log")) for c in COUNTERS
     ]
@@ -215,7 +231,7 @@ def reconcile(conv: DataFrame, conn: DataFrame, tol_us: int = PACKET_TOLERANCE)
     )
     absent = F.array(F.struct(F.lit("no conn record").alias("field"), none.alias("pcap"), none.alias("log")))
     rows = F.when(missing, absent).otherwise(F.concat(differing, shifted))
-    return joined.select(*TUPLE, "line", F.explode(rows).alias("d")).select(*TUPLE, "line", "d.*")
+    return joined.select(*keys, "line", F.explode(rows).alias("d")).select(*keys, "line", "d.*")
 
 
 def join_cardinality(joined: DataFrame, conn: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ question("c4_alert_conn", CI + IDS_JOIN + "SELECT * FROM j")(_ids_join)
 
 @question(
     "c5_alert_packet",
-    CP + roles.IDS + """SELECT l.line, l.pcap_count, CASE WHEN r.packet IS NULL THEN 'no_packet'
+    CP + roles.IDS + """SELECT l.line, l.pcap_count, CASE WHEN r.packet IS NOT NULL THEN 'derived' END AS packet_file, CASE WHEN r.packet IS NULL THEN 'no_packet'
       WHEN NOT (l.orig_h = r.src AND l.orig_p = r.sport AND l.resp_h = r.dst AND l.resp_p = r.dport AND l.proto = r.proto) THEN 'tuple_differs'
       WHEN abs(l.ts_us - r.ts_us) > 1 THEN 'time_differs' ELSE 'matched' END AS verdict
     FROM ids l LEFT JOIN pkt r ON l.pcap_count = r.packet""",

@@ -73,7 +73,7 @@ def read_lines(spark, sf):
 
 @question(
     "a6_query_packets",
-    CP + """SELECT packet, ts_us, src, dst, CAST(sport AS BIGINT) AS sport, CAST(dport AS BIGINT) AS dport, proto, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    CP + """SELECT 'derived' AS file, packet, ts_us, src, dst, CAST(sport AS BIGINT) AS sport, CAST(dport AS BIGINT) AS dport, proto, CAST(payload_bytes AS BIGINT) AS payload_bytes,
       lower(hex(encode(text[1:20]))) AS payload_hex, payload_bytes > 20 AS payload_truncated,
       (SELECT count(*) FROM pkt WHERE dport = 443) AS matching_packets, (SELECT count(*) FROM pkt WHERE dport = 443) > 25 AS samples_truncated
     FROM pkt WHERE dport = 443 ORDER BY packet LIMIT 25""",
@@ -91,7 +91,7 @@ def query_records(spark, sf):
 
 @question(
     "a14_packet_index",
-    CP + """SELECT packet, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS utc,
+    CP + """SELECT 'derived' AS file, packet, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS utc,
       src, dst, CAST(sport AS BIGINT) AS sport, CAST(dport AS BIGINT) AS dport, proto, CAST(flags AS BIGINT) AS flags,
       CAST(payload_bytes AS BIGINT) AS payload_bytes, CAST(ip_bytes AS BIGINT) AS ip_bytes, coalesce(lower(hex(encode(text[1:120]))), printf('%04x', event_id % 65536)
         || CASE i WHEN 0 THEN '01000001000000000000' ELSE '81800001000100000000' END

@@ -185,9 +185,9 @@ ids AS (
 """
 
 
-def firewall_text(spark: SparkSession, sf: str) -> DataFrame:
+def firewall_text(spark: SparkSession, sf: str, c: DataFrame | None = None) -> DataFrame:
     """Firewall lines as raw key=value text with a line number."""
-    c = conn(spark, sf)
+    c = conn(spark, sf) if c is None else c
     stamp = to_ts(F.col("ts_us"))
     shifted = F.expr("sentbyte + case when event_id % 83 = 0 then 5 else 0 end")
     # Exploding keeps filters on the parsed text above the building of it.
@@ -228,9 +228,19 @@ def _text_hex(text) -> F.Column:
     return F.hex(F.encode(text, "ISO-8859-1"))
 
 
-def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Two Ethernet frames per connection (request, reply), built as bytes from the table."""
-    c = conn(spark, sf)
+def reused(spark: SparkSession, sf: str) -> DataFrame:
+    """The connections from one port each to a few hosts, so that tuples come back over the days."""
+    return conn(spark, sf).withColumns(
+        {"orig_p": F.lit(40000).cast("bigint"), "resp_h": F.concat(F.lit("10.70.1."), (F.col("k") % 3).cast("string"))}
+    )
+
+
+def frames(spark: SparkSession, sf: str, c: DataFrame | None = None, captures: int = 1) -> DataFrame:
+    """Two Ethernet frames per connection (request, reply), built as bytes from the table.
+
+    With several ``captures`` the connections are dealt to files, each of which numbers its packets from 1.
+    """
+    c = conn(spark, sf) if c is None else c
     body = F.repeat(F.chr(F.lit(65) + F.col("k") % 20), (F.col("k") + 1).cast("int"))
     post = F.concat(
         F.lit("POST /upload/"), F.col("event_id").cast("string"), F.lit(" HTTP/1.0\r\nHost: h"),
@@ -283,12 +293,12 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.when(F.col("event_id") % 53 == 0, 10).otherwise(0)
     sides = [
         F.struct(
-            (F.col("event_id") * 2 + 1 + i).alias("packet"),
+            (F.expr(f"event_id div {captures}") * 2 + 1 + i).alias("packet"),
             (F.col("ts_us") + i * 1000).alias("ts_us"),
             F.length(f"frame{i}").alias("caplen"),
             (F.length(f"frame{i}") + cut).alias("wirelen"),
             F.col(f"frame{i}").alias("frame"),
-            F.lit("derived").alias("file"),
+            (F.lit("derived") if captures == 1 else F.concat(F.lit("capture"), (F.col("event_id") % captures).cast("string"))).alias("file"),
         )
         for i in range(2)
     ]
@@ -296,6 +306,11 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.explode(F.array(*sides)).alias("f")).select("f.*")
 
 
+# The connections of ``reused``.
+REUSED = CONN.replace("1024 + event_id % 60000 AS orig_p", "40000 AS orig_p").replace(
+    "CASE WHEN k < 60 THEN '10.70.1.' || k ELSE '203.0.113.' || k END AS resp_h", "'10.70.1.' || k % 3 AS resp_h"
+)
+
 # The packets those frames decode to; text holds the payload's ISO-8859-1 view for TCP.
 PACKETS = """,
 sides AS (SELECT unnest([0, 1]) AS i),
@@ -318,3 +333,8 @@ pkt AS (
     CASE WHEN proto = 'tcp' THEN length(text) + 40 WHEN i = 0 THEN query_bytes + 28 ELSE query_bytes + 44 END AS ip_bytes
   FROM pkt0)
 """
+
+# The same from three captures.
+CAPTURES = PACKETS.replace(
+    "event_id * 2 + 1 + i AS packet", "event_id // 3 * 2 + 1 + i AS packet, 'capture' || event_id % 3 AS file"
+).replace("SELECT packet, pts", "SELECT file, packet, pts")
