@@ -180,3 +180,29 @@ def test_ordered_plans_split_a_key(spark, splitting):
     ):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "__chunk" in plan and "CartesianProduct" not in plan
+
+
+def test_one_count_per_operator(spark, monkeypatch):
+    """Steps hand on what was counted, however many there are; a timeline counts nothing and sorts no whole table in one task."""
+    from tracelode.operators import detections
+
+    asked, count = [], ordered.hot_keys
+    monkeypatch.setattr(ordered, "hot_keys", lambda df, keys: asked.append(keys) or count(df, keys))
+    _, df = data(spark, 3)
+    steps = [(f"s{i}_us", df.where(F.col("v") % 4 == i).select(F.col("k").alias("host"), F.col("ts_us").alias("first_us"), F.col("ts_us").alias("last_us"))) for i in range(4)]
+    detections.sequence(steps, 200)
+    temporal.rate(df, ["k"], 20, "v")
+    assert asked == [["host"], ["k"]]
+    plan = temporal.timeline(df, "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 2
+    single = [line for line in plan.splitlines() if "Window" in line and "windowspecdefinition(" in line and "windowspecdefinition(__chunk" not in line]
+    assert all("__p_" in line or "__t_" in line or "__s_" in line for line in single)
+
+
+def test_unknown_keys_spread(spark):
+    """Left rows without a key match nothing, whatever their number, and do not share a window."""
+    left = spark.range(500).select(F.col("id").alias("line"), F.lit(None).cast("string").alias("k"), (F.col("id") % 3).alias("ts_us"))
+    right = spark.createDataFrame([(1, "a", 1), (2, None, 1)], "line long, k string, ts_us long")
+    got = ordered.nearest(left, right, ["k"], 5, chunk=11)
+    assert got.where("match_id is null and not ambiguous").count() == 500
+    assert "__salt" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -16,8 +16,13 @@ def sequence(steps: Sequence[tuple[str, DataFrame]], within_us: int, key: str =
 
     Each step is a frame of episodes ``(key, first_us, last_us)``. An episode follows the previous
     step when it starts after that step ended and no later than ``within_us`` after. Only the
-    latest earlier end needs a look, so each step is one sorted pass over episodes.
+    latest earlier end needs a look, so each step is one sorted pass over episodes. Hosts are counted once, over the episodes
+    of all steps, which bound the rows of any step; the steps themselves start no job.
     """
+    every = steps[0][1].select(key)
+    for _, episodes in steps[1:]:
+        every = every.unionByName(episodes.select(key))
+    hot = ordered.hot_keys(every, [key])
     name, episodes = steps[0]
     chain = episodes.select(key, F.col("last_us").alias("end_us"), F.struct(F.col("first_us").alias(name)).alias("path"))
     for name, episodes in steps[1:]:
@@ -26,7 +31,7 @@ def sequence(steps: Sequence[tuple[str, DataFrame]], within_us: int, key: str =
             key, F.col("first_us").alias("at"), F.lit(0).alias("tie"), F.struct("first_us", "last_us").alias("next")
         )
         both = ended.unionByName(started, allowMissingColumns=True)
-        seen = ordered.carry_last(both, [key], "at", {"before": F.col("done")}, ["tie", "done"], chunk)
+        seen = ordered.carry_last(both, [key], "at", {"before": F.col("done")}, ["tie", "done"], chunk, hot=hot)
         hit = seen.where(
             F.col("next").isNotNull() & (F.col("next.first_us") - F.col("before.end_us") <= within_us)
         )

@@ -43,7 +43,7 @@ def number(packets: DataFrame, idle_us: int = IDLE, chunk: int = CHUNK) -> DataF
         net.is_syn(F.col("flags")).alias("__opens"),
     )
     keys, order = ["__a", "__ap", "__b", "__bp", "proto"], locator(packets, "packet")
-    opens, from_a = F.col("__opens"), F.col("__from_a")
+    opens, from_a, hot = F.col("__opens"), F.col("__from_a"), ordered.hot_keys(ends, keys)
     seen = ordered.carry_last(
         ends, keys, "ts_us",
         {
@@ -51,13 +51,13 @@ def number(packets: DataFrame, idle_us: int = IDLE, chunk: int = CHUNK) -> DataF
             "__syn_a": F.when(opens & from_a, F.col("seq")), "__syn_b": F.when(opens & ~from_a, F.col("seq")),
             "__opened": F.when(opens, F.when(from_a, 1).otherwise(2)).otherwise(0),
         },
-        order, chunk,
+        order, chunk, hot=hot,
     )
     last = F.when(from_a, F.col("__syn_a")).otherwise(F.col("__syn_b"))
     both_open = F.col("__opened") == F.when(from_a, 2).otherwise(1)
     begins = opens & ~last.eqNullSafe(F.col("seq")) & ~F.coalesce(both_open, F.lit(False))
     breaks = F.col("__before").isNull() | (F.col("ts_us") - F.col("__before") > idle_us) | begins
-    counted = ordered.runs(seen, keys, "ts_us", breaks, order, chunk, "instance")
+    counted = ordered.runs(seen, keys, "ts_us", breaks, order, chunk, "instance", hot)
     return counted.select(*packets.columns, (F.col("instance") - 1).alias("instance"))
 
 

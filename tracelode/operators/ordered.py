@@ -1,12 +1,15 @@
 """Ordered work within a key that stays spread out when one key holds most rows.
 
 A plain ``Window.partitionBy(key).orderBy(t)`` puts a whole key into one task. Here a hot key
-(more than ``HOT_ROWS`` rows, found by a count that combines before its shuffle) is cut into
+(more than ``HOT_ROWS`` rows, found by one count that combines before its shuffle) is cut into
 fixed-width chunks of the ordering number (time in µs, line number, packet number). Ordered
 work runs inside ``(key, chunk)``; only one summary row per chunk takes part in the second step
 over the key, so that step grows with the covered range, not with the rows. Other keys are
 one chunk each and need no second step; without hot keys the plan is the plain one.
 
+An operator of several steps counts once, over its input, and hands the ``hot`` keys on to its steps: a step then
+adds no job of its own while the plan is built. Work without keys is always cut.
+
 ``chunk`` is the width. Choose it so that the busiest key has a few million rows per chunk. Which keys
 are split changes the plan only, never the result.
 """
@@ -26,6 +29,10 @@ HOT_ROWS = 5_000_000
 # The hot keys themselves are broadcast. Were there more than this, all keys are split instead.
 MAX_HOT_KEYS = 10_000
 _C = "__chunk"
+#: Parts of the rows of a chunk whose key is unknown.
+SALTS = 1024
+#: Count the keys where the work is asked for.
+ASK = object()
 
 
 def locator(df: DataFrame, line: str = "line") -> list[str]:
@@ -59,13 +66,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list | None:
     return None if len(found) > MAX_HOT_KEYS else found
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], pos: str, chunk: int) -> tuple[DataFrame, list[str]]:
+def _chunked(df: DataFrame, keys: Sequence[str], pos: str, chunk: int, hot=ASK) -> tuple[DataFrame, list[str]]:
     """Add the chunk column (null for a key that stays whole) and say what to partition by."""
-    hot = hot_keys(df, keys)
+    slot = floor_us(F.col(pos), chunk)
+    if not keys:
+        return df.withColumn(_C, slot), [_C]
+    hot = hot_keys(df, keys) if hot is ASK else hot
     if hot is not None and not hot:
         return df.withColumn(_C, F.lit(None).cast("bigint")), list(keys)
-    slot = floor_us(F.col(pos), chunk)
-    if hot is None or not keys:
+    if hot is None:
         return df.withColumn(_C, slot), [*keys, _C]
     schema = df.select(*keys).schema
     listed = df.sparkSession.createDataFrame(hot, schema).withColumn("__hot", F.lit(True))
@@ -81,13 +90,14 @@ def carry_last(
     tie: Sequence[str] = (),
     chunk: int = CHUNK,
     include_current: bool = False,
+    hot=ASK,
 ) -> DataFrame:
     """Add, per row, the last non-null value seen before it (or up to it) within the key.
 
     ``values`` maps new column names to expressions over ``df``. Order is ``pos`` then ``tie``.
     """
     keys, tie, names = list(keys), list(tie), list(values)
-    src, parts = _chunked(df, keys, pos, chunk)
+    src, parts = _chunked(df, keys, pos, chunk, hot)
     for name in names:
         src = src.withColumn(f"__v_{name}", values[name])
     inside = (
@@ -140,10 +150,11 @@ def running_totals(
     tie: Sequence[str] = (),
     chunk: int = CHUNK,
     with_peers: bool = False,
+    hot=ASK,
 ) -> DataFrame:
     """Running sums up to each row. ``with_peers`` counts all rows that share the position."""
     keys, tie, names = list(keys), list(tie), list(values)
-    src, parts = _chunked(df, keys, pos, chunk)
+    src, parts = _chunked(df, keys, pos, chunk, hot)
     for name in names:
         src = src.withColumn(f"__v_{name}", values[name])
     if with_peers:
@@ -178,9 +189,9 @@ def trailing_totals(
     """Sums over ``[pos - width, pos]`` (or ``[pos - width, pos)``), linear in the rows.
 
     Each row adds its value at its position and takes it back once it has left the window, so a
-    running sum gives the window's content without re-reading overlapping frames.
+    running sum gives the window's content without re-reading overlapping frames. Keys are counted over the rows, not the marks.
     """
-    names = list(values)
+    names, hot = list(values), hot_keys(df, keys) if keys else []
     vals = df
     for name in names:
         vals = vals.withColumn(f"__w_{name}", F.coalesce(values[name], F.lit(0)))
@@ -200,6 +211,7 @@ def trailing_totals(
         {name: F.col(f"__w_{name}") * F.col("__sign") for name in names},
         chunk=chunk,
         with_peers=True,
+        hot=hot,
     )
     return summed.where("__sign = 0").drop("__at", "__sign", *[f"__w_{name}" for name in names])
 
@@ -269,10 +281,11 @@ def runs(
     tie: Sequence[str] = (),
     chunk: int = CHUNK,
     name: str = "run",
+    hot=ASK,
 ) -> DataFrame:
     """Number consecutive rows: the number grows by one at each row where ``breaks`` is true."""
     return running_totals(
-        df, keys, pos, {name: F.coalesce(breaks, F.lit(True)).cast("bigint")}, tie, chunk
+        df, keys, pos, {name: F.coalesce(breaks, F.lit(True)).cast("bigint")}, tie, chunk, hot=hot
     )
 
 
@@ -346,7 +359,8 @@ def nearest(
     Adds ``match_id``, ``delta_us`` (left minus right) and ``ambiguous`` (more than one right row
     was within tolerance). Equal distances go to the smaller right id. No pairs are made: both
     sides are sorted together once per direction. Right rows near a chunk edge are also given
-    to the neighbouring chunk, so chunks never need each other.
+    to the neighbouring chunk, so chunks never need each other. Left rows with an unknown key match nothing and are
+    spread, so that many of them do not meet in one task.
     """
     keys = list(keys)
     chunk = max(chunk, 2 * tol_us + 1)
@@ -361,6 +375,7 @@ def nearest(
     r = r.select(
         *keys,
         _C,
+        F.lit(0).cast("bigint").alias("__salt"),
         "__t",
         F.lit(0).alias("__side"),
         "__rid",
@@ -372,11 +387,12 @@ def nearest(
         ).alias("__r"),
     )
     lefts = left.withColumn("__t", F.col(left_ts)).withColumn(_C, floor_us(F.col(left_ts), chunk))
-    l = lefts.withColumn("__side", F.lit(1)).withColumn("__left", F.struct(*left.columns))
-    both = l.select(*keys, _C, "__t", "__side", "__left").unionByName(r, allowMissingColumns=True)
+    salt = F.when(known(keys), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(left_id, left_ts), F.lit(SALTS)))
+    l = lefts.withColumn("__side", F.lit(1)).withColumn("__salt", salt).withColumn("__left", F.struct(*left.columns))
+    both = l.select(*keys, _C, "__salt", "__t", "__side", "__left").unionByName(r, allowMissingColumns=True)
     grow = (Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys, _C).orderBy("__t", "__side", F.desc("__rid")).rowsBetween(*grow)
-    down = Window.partitionBy(*keys, _C).orderBy(F.desc("__t"), "__side", F.desc("__rid")).rowsBetween(*grow)
+    up = Window.partitionBy(*keys, _C, "__salt").orderBy("__t", "__side", F.desc("__rid")).rowsBetween(*grow)
+    down = Window.partitionBy(*keys, _C, "__salt").orderBy(F.desc("__t"), "__side", F.desc("__rid")).rowsBetween(*grow)
     seen = both.withColumn("__prev", F.last("__r", ignorenulls=True).over(up)).withColumn(
         "__next", F.last("__r", ignorenulls=True).over(down)
     )

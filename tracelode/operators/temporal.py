@@ -87,7 +87,7 @@ def sequential_scan(
     df: DataFrame, min_hosts: int, ts: str = "ts_us", tie: str = "line", chunk: int = CHUNK
 ) -> DataFrame:
     """Runs in which a host contacts address after address, each one higher than the last."""
-    num = df.withColumn("__num", ip_num(F.col("resp_h")))
+    num, hot = df.withColumn("__num", ip_num(F.col("resp_h"))), ordered.hot_keys(df, ["orig_h"])
     seen = ordered.carry_last(
         num,
         ["orig_h"],
@@ -95,9 +95,10 @@ def sequential_scan(
         {"__prev": F.struct(F.col("__num").alias("num"), F.col("resp_p").alias("port"))},
         [tie],
         chunk,
+        hot=hot,
     )
     step = F.coalesce(F.col("__num") == F.col("__prev.num") + 1, F.lit(False))
-    numbered = ordered.runs(seen.withColumn("__step", step), ["orig_h"], ts, ~F.col("__step"), [tie], chunk)
+    numbered = ordered.runs(seen.withColumn("__step", step), ["orig_h"], ts, ~F.col("__step"), [tie], chunk, hot=hot)
     change = F.col("__step") & (F.col("resp_p") != F.col("__prev.port"))
     # Distinct ports per run come from a second grouping, so no set is collected.
     per_port = numbered.groupBy("orig_h", "run", "resp_p").agg(
