@@ -43,17 +43,20 @@ def test_words_and_shingles_match_plain_python():
     assert [at for at, _ in parts] == [0] and len(parts[0][1]) == 5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_components(spark, few):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(400 + i, 401 + i) for i in range(60)] + [(500, i) for i in range(501, 560)]
     got = defaultdict(set)
-    for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect():
+    for r in components.components(spark.createDataFrame(pairs, "a long, b long"), few).collect():
         got[r.root].add(r.node)
     want = defaultdict(set)
     for i, c in enumerate(corpus.classes(600, pairs)):
         want[c].add(i)
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
-    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long"), few).count() == 0
+    keys = spark.createDataFrame([(b"x", b"y"), (b"z", b"y"), (b"p", b"q")], "a binary, b binary")
+    assert len({bytes(r.root) for r in components.components(keys, few).collect()}) == 2
 
 
 # 1. lines

@@ -238,6 +238,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
     postings = kept(
         marked.mapInArrow(lambda b: _postings(frequent.value, shingle, percent)(b), "text_id binary, many boolean, n long, shingle long, at long"), "jaccard-postings"
     )
+    frequent.destroy()
     postings = postings.where("NOT many").unionByName(postings.where("many").distinct()).drop("many")
     shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     # for all links every set is a component of its own
