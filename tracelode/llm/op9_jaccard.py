@@ -187,6 +187,21 @@ def link_counts(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     return rows.join(own, "text_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the most frequent shingles, at most FREQUENT: those above a count that a histogram gives, so
+    that the driver sorts and merges nothing."""
+    grade = F.floor(F.log2(F.col("c")) * 16)
+    sizes = counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("grade")).collect()
+    total = np.cumsum([r.n for r in sizes])
+    fit = int(np.searchsorted(total, FREQUENT, side="right")) if sizes else 0
+    if not fit:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counts.where(grade >= sizes[fit - 1].grade).toArrow()
+    value, count = top["s"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    order = np.argsort(value)
+    return value[order], count[order]
+
+
 def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(signatures, found, roots)``: links of the index and components of the leaders' links; ``every``: found has all links, also those inside a component."""
     texts = docs.select("doc_id", text_id(F.col("text")).alias("text_id"), "text")
@@ -228,10 +243,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
 
     # 2. index lists of the rarest shingles, without those of a single component
     counts = made.where("frequent IS NOT NULL").select(F.explode("frequent").alias("f")).groupBy("f.s").agg(F.sum("f.c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
-    value, count = top["s"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(value)
-    frequent = docs.sparkSession.sparkContext.broadcast((value[order], count[order]))
+    frequent = docs.sparkSession.sparkContext.broadcast(_most_frequent(kept(counts, "jaccard-counts")))
     # a text that stands in several rows gives its postings once
     several = kept(signatures.groupBy("text_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND text_id IS NOT NULL").select("text_id", F.lit(True).alias("many")), "jaccard-several")
     marked = bodies.join(small(several), "text_id", "left").select("text_id", F.coalesce("many", F.lit(False)).alias("many"), "text")
