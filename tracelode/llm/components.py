@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import kept
 
-#: Edges (two keys each) that one task may take to end the contraction.
+#: Edges (two keys each) that one task may take to end the contraction, for callers that ask for it.
 FEW = 200_000
 
 
@@ -31,7 +31,7 @@ def _united(edges):
     return pd.DataFrame({"node": names, "root": [names[find(i)] for i in range(len(names))]})
 
 
-def components(edges: DataFrame, few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b`` (any orderable type): equal roots, connected nodes.
 
     Each round, every node points to the neighbour (or itself) with the smallest hash under the round's seed, and the

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textgrams
 from .common import kept, small, text_id
-from .components import components
+from .components import FEW, components
 
 #: Words of a shingle and least Jaccard in percent of the registered query; the functions take others.
 SHINGLE, PERCENT = 3, 90
@@ -163,7 +163,7 @@ def linked_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """``(signatures, roots)``: text_id and set size of every document, and ``node, root`` of linked text ids."""
     signatures, found, roots = _linked(docs, shingle, percent, False)
     # sets connected so far are one node for what is left
-    return signatures, components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return signatures, components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), FEW)
 
 
 def linked_pairs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +232,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
         known = overlaps(bodies, star.select("a", "b"), shingle).join(star, ["a", "b"])
         found = known.where(links(F.col("same"), F.col("na"), F.col("nb"), percent)).select("a", "na", "b", "nb", "same")
         good = kept(found if good is None else good.unionByName(found), "jaccard-star-links")
-        roots = kept(components(good.select("a", "b")), "jaccard-roots")
+        roots = kept(components(good.select("a", "b"), FEW), "jaccard-roots")
     # the leader of a set: the linked one with the largest overlap; a set without any leads itself
     lead = good.groupBy(F.col("b").alias("text_id")).agg(F.max(F.struct("same", F.col("a").alias("leader"), F.col("na").alias("n_leader"))).alias("l"))
     state = sized.join(lead, "text_id", "left").join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left").select(
