@@ -26,7 +26,7 @@ from .common import kept
 from .learned import remainder
 from .textgrams import SPACED, mix, slices, words
 
-ORDER = 3
+ORDER = 2
 #: Pseudo-counts of the shorter context, for n-grams of two and more tokens.
 MU = (500.0, 30.0)
 BLOCK_TOKENS = 1 << 20
