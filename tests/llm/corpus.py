@@ -3,7 +3,9 @@
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = "score double, key string, root string, shard int, size long, rank long, n long, unit string, keep boolean"
+EXTRA = "score double, key string, root string, shard int, size long, rank long, n long, unit string, keep boolean, " \
+    "id string, text_hash string, crc int, copies long, rows long, copy int, dropped string, text_key string, t long, line int, bucket string, first long, " \
+    "__id string, __key string, __t long, __text string, __sum long, __rows long, __copy int, __drop string, __crc int, __keep boolean"
 
 
 def prose(rng, n, vocabulary=400):

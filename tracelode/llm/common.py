@@ -33,6 +33,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_id(text: Column) -> Column:
     """16 bytes that stand for an exact text; null for a null text."""
     return F.unhex(F.md5(text))

@@ -8,10 +8,13 @@ it. Documents that share a signature shingle and are long enough are compared on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, kept, small, text_id
+from .common import LOWER, UPPER, WORD, free, kept, small, text_id
 
 SHINGLE = 5
 
@@ -22,19 +25,35 @@ def norm_words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(f"({WORD})"), F.lit(1))
 
 
-def shingle_rows(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns with ``shingle``, the 64-bit hash of each run of five words of ``text``, repeats included,
-    and ``n_all``, how many there are."""
-    split = df.select(*keep, norm_words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
-    split = split.withColumn("n_all", F.size("w") - (SHINGLE - 1))
-    shifted = [F.slice("w", i + 1, F.col("n_all")).alias(f"w{i}") for i in range(SHINGLE)]
+def _cut(split: DataFrame, keep: Sequence[str], width: int) -> DataFrame:
+    split = split.where(F.size("w") >= width).withColumn("n_all", F.size("w") - (width - 1))
+    shifted = [F.slice("w", i + 1, F.col("n_all")).alias(f"w{i}") for i in range(width)]
     rows = split.select(*keep, "n_all", F.explode(F.arrays_zip(*shifted)).alias("s"))
-    return rows.select(*keep, "n_all", F.xxhash64(*[F.col(f"s.w{i}") for i in range(SHINGLE)]).alias("shingle"))
+    return rows.select(*keep, "n_all", F.xxhash64(*[F.col(f"s.w{i}") for i in range(width)]).alias("shingle"))
+
+
+def shingle_rows(df: DataFrame, *keep: str, widths: Sequence[int] = (SHINGLE,)) -> DataFrame:
+    """``keep`` columns with ``shingle``, the 64-bit hash of each run of so many words of ``text``, repeats included,
+    and ``n_all``, how many runs of that width there are."""
+    split = df.select(*keep, norm_words(F.col("text")).alias("w"))
+    return reduce(DataFrame.unionByName, [_cut(split, keep, k) for k in widths])
+
 
+def short_widths(items: DataFrame) -> list[int]:
+    """Numbers of words, below five, that items have: at most four numbers."""
+    n = items.select(F.size(norm_words(F.col("text"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < SHINGLE))
+    return sorted(r["n"] for r in n.distinct().collect())
 
-def signatures(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``(shingles, signatures)`` of the items: item_no, item_id, shingle, n; the second with sketches only."""
-    own = shingle_rows(items.where("text is not null"), "item_id", "item_no").drop("n_all").distinct()
+
+def signatures(items: DataFrame, threshold: float, short: Sequence[int] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(shingles, signatures)`` of the items: item_no, item_id, shingle, n; the second with sketches only.
+
+    An item of fewer than five words is one shingle of its own width, one of ``short``.
+    """
+    keep = ["item_id", "item_no"]
+    split = items.where("text is not null").select(*keep, norm_words(F.col("text")).alias("w"))
+    parts = [_cut(split, keep, SHINGLE), *[_cut(split.where(F.size("w") == k), keep, k) for k in short]]
+    own = reduce(DataFrame.unionByName, parts).drop("n_all").distinct()
     sizes = own.groupBy("item_no").agg(F.count(F.lit(1)).alias("n"))
     own = kept(own.join(sizes, "item_no"), "bench-shingles")
     partition = F.ceil(F.log2(F.col("n")))
@@ -49,20 +68,24 @@ def signatures(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs ``text_key, item_no, item_id, n_shingles, n_found``: distinct texts that hold at least ``threshold`` of an item.
 
-    ``text_key`` is the hash of the whole text. Items of fewer than five words have no shingle and match
-    nothing, nor do null and empty texts; repeated items are reported each. Item sketches are broadcast
+    ``text_key`` is the hash of the whole text. An item of fewer than five words is one shingle: a text holds it where its words
+    follow each other (for such items texts are cut at their widths too). Null texts and texts without words hold nothing and are held by
+    none; repeated items are reported each. Item sketches are broadcast
     while their counted rows stay within a bound; beyond that the join shuffles hashes.
     """
     # equal items are searched once
     items = benchmark.select("item_id", "text", text_id(F.col("text")).alias("item_no"))
-    shingles, sketches = signatures(items.groupBy("item_no").agg(F.first("text").alias("text"), F.first("item_id").alias("item_id")), threshold)
+    distinct = items.groupBy("item_no").agg(F.first("text").alias("text"), F.first("item_id").alias("item_id"))
+    short = short_widths(distinct)
+    widths = (SHINGLE, *short)
+    shingles, sketches = signatures(distinct, threshold, short)
     named = docs.select("text", text_id(F.col("text")).alias("text_key"))
-    met = shingle_rows(named, "text_key").join(small(sketches), "shingle")
+    met = shingle_rows(named, "text_key", widths=widths).join(small(sketches), "shingle")
     met = met.where(F.col("n_all") >= F.lit(threshold) * F.col("n") - 1e-9)
     candidates = kept(met.select("text_key", "item_no").distinct(), "bench-candidates")
     # exact: the shingles of candidate texts only, distinct per text
     texts = named.join(small(candidates.select("text_key").distinct()), "text_key", "left_semi")
-    found = shingle_rows(texts, "text_key").join(small(shingles), "shingle").select("text_key", "item_no", "n", "shingle").distinct()
+    found = shingle_rows(texts, "text_key", widths=widths).join(small(shingles), "shingle").select("text_key", "item_no", "n", "shingle").distinct()
     found = found.groupBy("text_key", "item_no").agg(F.count(F.lit(1)).alias("n_found"), F.first("n").alias("n_shingles"))
     found = found.join(candidates, ["text_key", "item_no"], "left_semi").where(F.col("n_found") >= F.lit(threshold) * F.col("n_shingles") - 1e-9)
     return found.join(items.select("item_no", "item_id"), "item_no")
@@ -79,6 +102,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    bad = kept(contaminated(docs, benchmark, threshold).select(F.col("text_key").alias("__key")).distinct(), "bench-texts")
-    return docs.join(bad, text_id(docs["text"]) == F.col("__key"), "left_anti")
+    """The documents that hold no item, with all their columns, in rows as they come: repeated rows, null and empty texts stay."""
+    (key,) = free(docs, "text_key")
+    bad = kept(contaminated(docs, benchmark, threshold).select(F.col("text_key").alias(key)).distinct(), "bench-texts")
+    return docs.join(bad, text_id(docs["text"]) == F.col(key), "left_anti")

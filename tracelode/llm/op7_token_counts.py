@@ -79,30 +79,35 @@ class Rollup:
         found = [s.getPath() for s in fs.listStatus(base)]
         return sorted(str(p) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = self._complete(kind)
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _applied(self) -> set[str]:
+        """Folder names of the batches that count: those whose sums are complete."""
+        return {p.rstrip("/").rsplit("/", 1)[-1] for p in self._complete("delta")}
 
-    def _done(self, batch: str) -> bool:
-        return any(p.rstrip("/").endswith(f"/batch={batch}") for p in self._complete("delta"))
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        applied = self._applied()
+        paths = [p for p in self._complete(kind) if p.rstrip("/").rsplit("/", 1)[-1] in applied]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        # the type of doc_id is that of the documents; all batches of a rollup have the same
+        return self.spark.read.parquet(*paths)
 
     def commit(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Apply a batch; False if it was applied before.
 
         ``inserts`` has the columns of ``count_tokens``; ``deletes`` the doc_id of documents to take out. A document in
         both is revised: what it counted until now is taken back and the new counts are added. The ledger is
-        written before the sums, and both folders belong to the batch alone, so a commit that was cut short is
-        simply done again.
+        written before the sums, and both folders belong to the batch alone. A batch counts from its sums on: the ledger of a
+        commit that was cut short is no part of the state that later batches see, and the commit is simply done again,
+        before or after them.
         """
-        if self._done(batch):
+        if f"batch={batch}" in self._applied():
             return False
         parts = []
         columns = ["doc_id", *KEY, *SUMS]
         if inserts is not None:
             parts.append(inserts.withColumn("documents", F.lit(1).cast("long")).select(*columns))
         if deletes is not None:
-            # a cut-short run of this batch may have left its ledger: it is not part of the state before
-            before = self.ledger().where(F.col("batch") != batch).join(deletes.select("doc_id").distinct(), "doc_id", "left_semi")
+            before = self.ledger().join(deletes.select("doc_id").distinct(), "doc_id", "left_semi")
             now = before.groupBy("doc_id", *KEY).agg(*[F.sum(c).alias(c) for c in SUMS])
             taken = now.where(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in SUMS]))
             parts.append(taken.select("doc_id", *KEY, *[(-F.col(c)).alias(c) for c in SUMS]))
@@ -115,6 +120,7 @@ class Rollup:
         return True
 
     def ledger(self) -> DataFrame:
+        """The signed rows of the batches that count."""
         kinds = "doc_id long, source string, lang string, version string, documents long, tokens long, bytes long, batch string"
         return self._read("ledger", kinds)
 

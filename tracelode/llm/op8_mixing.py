@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, key_text
+from .common import WORD, free, kept, key_text
 
 GOLDEN = 0.6180339887498949
 CELLS = 4096
 CHUNK = 1 << 16
+#: Rows that a range of a source's shuffled order holds at most, about, if the source had all rows.
+RANGE_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -44,20 +46,27 @@ def targets(totals: DataFrame, max_epochs: int = 3) -> DataFrame:
     return t.select("skey", "source", "rank", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("take"))
 
 
-def streams(docs: DataFrame, bucket_digits: int = 3) -> tuple[DataFrame, DataFrame]:
+def range_digits(rows: int) -> int:
+    """Hexadecimal digits of the hash that cut ``rows`` rows into ranges of RANGE_ROWS; two at least, eight at most."""
+    return next((d for d in range(2, 8) if 16**d * RANGE_ROWS >= rows), 8)
+
+
+def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every document's place in its source's shuffled stream of words, and the sources.
 
-    The order is that of md5(doc_id) (then doc_id, size and checksum). Places are sums within
-    ``16 ** bucket_digits`` ranges of the hash per source plus a running sum over the ranges, so the rows of
-    a large source spread over that many groups.
+    The order is that of md5(doc_id), or of the text's hash where the id is null (then doc_id, size and checksum). Places are sums within
+    ranges of the hash per source plus a running sum over the ranges; the ranges grow in number with the rows, so a
+    source with all rows has some RANGE_ROWS of them in a group.
     """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     sized = kept(
         docs.select(
             "doc_id", "source", key_text(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("crc"),
+            F.md5(name).alias("h"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("crc"),
         ),
         "mix-sizes",
-    ).withColumn("bucket", F.substring("h", 1, bucket_digits))
+    )
+    sized = sized.withColumn("bucket", F.substring("h", 1, range_digits(sized.count())))
     ranges = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     running = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("skey", "bucket", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("offset"))
@@ -73,8 +82,8 @@ def streams(docs: DataFrame, bucket_digits: int = 3) -> tuple[DataFrame, DataFra
 def schedule(sources: DataFrame, block_words: int) -> DataFrame:
     """Slots ``slot, skey, rank, words``: which source gives its next block, and how many words of it."""
     spark = sources.sparkSession
-    total = sources.agg(F.sum("source_size").alias("t")).collect()[0]["t"] or 0
-    slots = -(-int(total) // block_words)
+    all_ = sources.agg(F.sum("source_size").alias("words"), F.count(F.lit(1)).alias("sources")).collect()[0]
+    slots = -(-int(all_["words"] or 0) // block_words)
     upto = Window.orderBy("rank")
     whole = F.sum("target").over(Window.partitionBy())
     shares = sources.where("take > 0").select(
@@ -100,7 +109,7 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
     short = shares.join(given, "skey", "left").withColumn("given", F.coalesce("given", F.lit(0))).where(F.col("given") < need)
     tail = short.select(
         "skey", F.col("rank").alias("source_rank"), F.col("given"), F.explode(F.sequence(F.col("given"), need - 1)).alias("rank")
-    ).select((F.lit(slots) + (F.col("rank") - F.col("given")) * 1000 + F.col("source_rank")).alias("slot"), "skey", "rank")
+    ).select((F.lit(slots) + (F.col("rank") - F.col("given")) * all_["sources"] + F.col("source_rank")).alias("slot"), "skey", "rank")
     both = ranked.unionByName(tail).join(shares.select("skey", "take"), "skey")
     words = F.least(F.lit(block_words), F.col("take") - F.col("rank") * block_words)
     return both.withColumn("words", words).where("words > 0").select("slot", "skey", "rank", "words")
@@ -147,12 +156,13 @@ def mix(docs: DataFrame, block_words: int = 4096) -> tuple[DataFrame, DataFrame]
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, whole, each as often as a repeat of it starts in the mix; all columns."""
     marks, _ = mix(docs)
-    many = marks.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("skey").alias("__key"), F.col("crc").alias("__crc"))
-    many = many.agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    id_, key, crc, copies, rows, copy = free(docs, "id", "key", "crc", "copies", "rows", "copy")
+    many = marks.where("copies > 0").groupBy(F.col("doc_id").alias(id_), F.col("skey").alias(key), F.col("crc").alias(crc))
+    many = many.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
     here = [
-        docs["doc_id"].eqNullSafe(F.col("__id")), key_text(docs["source"]) == F.col("__key"),
-        F.crc32(F.coalesce(docs["text"], F.lit(""))) == F.col("__crc"),
+        docs["doc_id"].eqNullSafe(F.col(id_)), key_text(docs["source"]) == F.col(key),
+        F.crc32(F.coalesce(docs["text"], F.lit(""))) == F.col(crc),
     ]
     # rows alike in id, source and text share their copies evenly, rounded up
-    out = docs.join(many, here).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__sum") / F.col("__rows")))))
+    out = docs.join(many, here).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(copies) / F.col(rows)))))
     return out.select(*[docs[c] for c in docs.columns])

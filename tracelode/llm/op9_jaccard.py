@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textgrams
-from .common import kept, small, text_id
+from .common import free, kept, small, text_id
 from .components import FEW, components
 
 #: Words of a shingle and least Jaccard in percent of the registered query; the functions take others.
@@ -325,9 +325,10 @@ def one_per_class(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     keep = first.select(F.col("f.doc_id").alias("first_id"), F.col("f.text_id").alias("first_text"))
     own = rows.groupBy("doc_id", "text_id").agg(F.count(F.lit(1)).alias("rows"))
     own = own.join(keep, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_id") == F.col("first_text")), "left")
-    marks = kept(own.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"), F.col("rows").alias("__rows"), F.col("first_text").isNotNull().alias("__keep")), "jaccard-marks")
-    here = docs["doc_id"].eqNullSafe(F.col("__id")) & (text_id(docs["text"]) == F.col("__text"))
-    out = docs.join(small(marks.where("NOT __keep OR __rows > 1")), here, "left_anti")
+    id_, text = free(docs, "id", "text_hash")
+    marks = kept(own.select(F.col("doc_id").alias(id_), F.col("text_id").alias(text), F.col("rows") > 1, F.col("first_text").isNotNull()).toDF(id_, text, "many", "keep"), "jaccard-marks")
+    here = docs["doc_id"].eqNullSafe(F.col(id_)) & (text_id(docs["text"]) == F.col(text))
+    out = docs.join(small(marks.where("NOT keep OR many").select(id_, text)), here, "left_anti")
     # rows that stand in the input several times, once
-    again = docs.join(small(marks.where("__keep AND __rows > 1")), here, "left_semi").dropDuplicates(["doc_id", "text"])
+    again = docs.join(small(marks.where("keep AND many").select(id_, text)), here, "left_semi").dropDuplicates(["doc_id", "text"])
     return out.unionByName(again)

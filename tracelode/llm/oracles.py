@@ -29,7 +29,7 @@ FROM v JOIN comp USING (r) LEFT JOIN deg USING (r)
 MIXING_WORDS = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h
   FROM documents
 ),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -74,12 +74,18 @@ FROM reach JOIN g ON reach.a = g.r JOIN w ON reach.b = w.r GROUP BY g.r, g.doc_i
 
 BENCHMARK_LEAKS = f"""
 WITH i AS (SELECT row_number() OVER () AS k, item_id, {_SPLIT.format("text")} AS w FROM benchmark),
-ig AS (SELECT k, item_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM i WHERE len(w) >= 5),
+ig AS (
+  SELECT k, item_id, least(len(w), 5) AS width, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+  FROM i WHERE len(w) > 0
+),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format("text")} AS w FROM documents),
-dg AS (SELECT r, doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM d WHERE len(w) >= 5),
+dg AS (
+  SELECT r, doc_id, width, unnest(list_distinct(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' ')))) AS s
+  FROM d JOIN (SELECT DISTINCT width FROM ig) x ON len(w) >= width
+),
 m AS (
   SELECT r, doc_id, k, item_id, any_value(n) AS n, count(*) AS o
-  FROM dg JOIN (SELECT k, item_id, len(g) AS n, unnest(g) AS s FROM ig) x USING (s) GROUP BY r, doc_id, k, item_id
+  FROM dg JOIN (SELECT k, item_id, width, len(g) AS n, unnest(g) AS s FROM ig) x USING (width, s) GROUP BY r, doc_id, k, item_id
 )
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, o AS n_found FROM m WHERE 10 * o >= 8 * n
 """
