@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import evidence as ev
 from tracelode.functions import net
 from tracelode.functions.text import http_parts
-from tracelode.operators import aggregates, decode, detections, filters, governance, integrity, joins, sets, temporal
+from tracelode.operators import aggregates, decode, detections, filters, governance, integrity, joins, ordered, sets, temporal
 from tracelode.sources import archive, logs, pcap
 
 SCHEMA = "packet BIGINT, ts_us BIGINT, caplen INT, wirelen INT, frame BINARY, file STRING"
@@ -260,6 +260,46 @@ def test_long_conversations_keep_their_whole_pattern(spark):
         assert got == {"[2, 18, 16x1200, 24]": (2, 1203), "[2, 18, 16x1200, 17]": (1, 1203)}
 
 
+def test_alternating_flags_of_a_long_conversation(spark):
+    """300,000 changes of flags: the long table has a row per run, whatever way the conversation is cut."""
+    df = spark.range(300_000).selectExpr("'a' src", "1L sport", "'b' dst", "2L dport", "'tcp' proto", "id packet", "16 + id % 2 * 8 AS flags")
+    for chunk in (1000, 10**6):
+        runs = aggregates.flag_pattern_runs(df, chunk=chunk)
+        got = runs.agg(F.count("*"), F.count_distinct("pattern"), F.max("packets"), F.max("conversations"), F.sum("n"), F.max("position")).first()
+        assert tuple(got) == (300_000, 1, 300_000, 1, 300_000, 300_000)
+
+
+def test_http_replies_first_in_first_out(spark, monkeypatch):
+    """Against a queue: pipelined requests, replies nobody waits for, interim replies, ties of time, unknown ends, two captures."""
+    import random
+    from collections import deque
+
+    rng = random.Random(4)
+    rows, want = [], []
+    for conn in range(6):
+        client, waiting, t = (None if conn == 5 else f"c{conn}"), deque(), 0
+        for i in range(60):
+            t += rng.choice([0, 1, 5, 40])
+            name = (f"cap{conn % 2}", 1000 * conn + i)
+            kind = rng.choice(["ask", "ask", "reply", "reply", "interim", "other"])
+            if kind == "ask":
+                rows.append((client, 4000, "s", 80, t, *name, b"GET / HTTP/1.1\r\n\r\n"))
+                waiting.append(len(want))
+                want.append([*name, None, None])
+            else:
+                text = {"reply": b"HTTP/1.1 200 OK\r\n\r\nx", "interim": b"HTTP/1.1 100 Continue\r\n\r\n", "other": b"more bytes"}[kind]
+                rows.append(("s", 80, client, 4000, t, *name, text))
+                if kind == "reply" and waiting and client:
+                    want[waiting.popleft()][2:] = name
+    schema = "src STRING, sport BIGINT, dst STRING, dport BIGINT, ts_us BIGINT, file STRING, packet BIGINT, payload BINARY"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "'tcp' proto")
+    assert any(w[2] for w in want) and not all(w[2] for w in want)
+    for hot in (10**9, 20, 0):
+        monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+        got = joins.pair_http(df, chunk=30).collect()
+        assert sorted((r.file, r.packet, r.reply_file, r.reply_packet) for r in got) == sorted(map(tuple, want), key=lambda w: w[:2])
+
+
 def test_key_value_of_any_length(spark):
     long = "x" * 1_000_000
     lines = spark.createDataFrame([(1, f'a="{long}" b=2'), (2, 'a="' + r'\"' * 20_000 + '" b=3')], "line BIGINT, raw STRING")

@@ -326,29 +326,45 @@ def count_histogram(matched: DataFrame, key: str) -> DataFrame:
     return per_key.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-def flag_patterns(packets: DataFrame, chunk: int = LINES) -> DataFrame:
-    """Histogram of the ordered TCP flags of conversations, in full.
+def flag_pattern_runs(packets: DataFrame, chunk: int = LINES) -> DataFrame:
+    """The ordered TCP flags of conversations as a long table: one row per run of equal flags of each distinct pattern.
 
-    From four equal flags in a row on a run is written once, as ``24x296``, so a pattern grows with
-    the changes of a conversation and not with its packets.
+    Columns ``pattern`` (128 bits that name it), ``packets``, ``conversations`` that show it, and of the run ``position`` (from 1),
+    ``flags`` and ``n``. Patterns are compared by sums of hashes of (position, flags, length) over a conversation's runs, which
+    combine before the shuffle; only one conversation of each pattern hands on its runs, and no row grows with a conversation.
     """
     end_a, end_b, _ = _pair(packets)
     pair = ["__a", "__b"]
     rows = packets.where(F.col("proto") == "tcp").select(end_a.alias("__a"), end_b.alias("__b"), "packet", "flags")
-    placed = ordered.running_totals(rows, pair, "packet", {"position": F.lit(1).cast("bigint")}, (), chunk)
-    same = ordered.islands(placed, [*pair, "flags"], "position", 2, chunk=chunk)
-    per_conv = same.groupBy(*pair).agg(
-        F.sum("n").alias("packets"), F.array_sort(F.collect_list(F.struct("start", "flags", "n"))).alias("__runs")
+    hot = ordered.hot_keys(rows, pair)
+    placed = ordered.running_totals(rows, pair, "packet", {"position": F.lit(1).cast("bigint")}, (), chunk, hot=hot)
+    # without hot conversations there are no hot (conversation, flags) either
+    same = ordered.islands(placed, [*pair, "flags"], "position", 2, chunk=chunk, hot=ordered.ASK if hot else hot)
+    word = lambda salt: F.xxhash64(F.lit(salt), "start", "flags", "n").cast("decimal(38,0)")
+    per_conv = same.groupBy(*pair).agg(F.sum("n").alias("packets"), F.sum(word(1)).alias("__x"), F.sum(word(2)).alias("__y"))
+    name = F.md5(F.concat_ws("/", F.col("__x").cast("string"), F.col("__y").cast("string")))
+    patterns = per_conv.groupBy("packets", name.alias("pattern")).agg(
+        F.count(F.lit(1)).alias("conversations"), F.min(F.struct(*pair)).alias("__one")
     )
-    flags = lambda r: r["flags"].cast("string")
-    shown = F.transform(
-        "__runs",
-        lambda r: F.when(r["n"] > 3, F.concat(flags(r), F.lit("x"), r["n"].cast("string"))).otherwise(
-            F.array_join(F.array_repeat(flags(r), r["n"].cast("int")), ", ")
-        ),
+    shown = patterns.select("pattern", "packets", "conversations", "__one.*")
+    runs = join_null_safe(shown, same.select(*pair, F.col("start").alias("position"), "flags", "n"), pair, "inner")
+    return runs.select("pattern", "packets", "conversations", "position", "flags", "n")
+
+
+def flag_patterns(packets: DataFrame, chunk: int = LINES) -> DataFrame:
+    """Histogram of the ordered TCP flags of conversations, in full.
+
+    From four equal flags in a row on a run is written once, as ``24x296``. The text of a distinct pattern is one row; where
+    conversations change flags millions of times ``flag_pattern_runs`` has the same without it.
+    """
+    flags = F.col("flags").cast("string")
+    text = F.when(F.col("n") > 3, F.concat(flags, F.lit("x"), F.col("n").cast("string"))).otherwise(
+        F.array_join(F.array_repeat(flags, F.least("n", F.lit(3)).cast("int")), ", ")
     )
-    text = F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
-    return per_conv.select("packets", text.alias("pattern")).groupBy("packets", "pattern").agg(F.count(F.lit(1)).alias("conversations"))
+    runs = F.array_sort(F.collect_list(F.struct("position", text.alias("text"))))
+    whole = flag_pattern_runs(packets, chunk).groupBy("pattern", "packets", "conversations").agg(runs.alias("__runs"))
+    pattern = F.concat(F.lit("["), F.array_join(F.col("__runs.text"), ", "), F.lit("]"))
+    return whole.select("packets", pattern.alias("pattern"), "conversations")
 
 
 def payload_counts(packets: DataFrame) -> DataFrame:

@@ -317,7 +317,7 @@ def http_messages(packets: DataFrame) -> DataFrame:
         & reduce(lambda a, b: a | b, [net.starts_with(F.col("payload"), m) for m in net.HTTP_METHODS])
     )
     parts = http_parts(F.col("payload"))
-    named = requests.select("packet", "ts_us", "src", "dst", "sport", "dport", *[v.alias(k) for k, v in parts.items()])
+    named = requests.select(*locator(packets, "packet"), "ts_us", "src", "dst", "sport", "dport", *[v.alias(k) for k, v in parts.items()])
     declared = header(F.col("header_list"), "Content-Length").try_cast("bigint")
     return named.select(
         "*",
@@ -327,6 +327,31 @@ def http_messages(packets: DataFrame) -> DataFrame:
     )
 
 
+def http_replies(packets: DataFrame) -> DataFrame:
+    """Replies whose status line begins a payload: status code and byte counts. ``status`` is null when it is no number."""
+    replies = packets.where((F.col("proto") == "tcp") & net.starts_with(F.col("payload"), "HTTP/"))
+    parts = http_parts(F.col("payload"))
+    line = F.coalesce(parts["request_line"], F.substring_index(latin1(F.col("payload")), "\r\n", 1))
+    return replies.select(
+        *locator(packets, "packet"), "ts_us", "src", "dst", "sport", "dport", line.alias("status_line"),
+        F.get(F.split(line, " "), F.lit(1)).try_cast("bigint").alias("status"),
+        *[parts[name].alias(name) for name in ("payload_bytes", "header_bytes", "body_bytes")],
+    )
+
+
+def payload_list(packets: DataFrame) -> DataFrame:
+    """Every TCP payload that is no HTTP request, with its text: ``kind`` is ``response`` when it comes from an address and port that
+    some request went to, else ``probe``."""
+    tcp = packets.where((F.col("proto") == "tcp") & (F.col("payload_bytes") > 0))
+    asks = reduce(lambda a, b: a | b, [net.starts_with(F.col("payload"), m) for m in net.HTTP_METHODS])
+    servers = tcp.where(asks).select(F.col("dst").alias("src"), F.col("dport").alias("sport")).distinct()
+    rest = tcp.where(~asks).join(servers.withColumn("__server", F.lit(True)), ["src", "sport"], "left")
+    return rest.select(
+        *locator(packets, "packet"), "ts_us", "src", "sport", "dst", "dport", "payload_bytes",
+        F.when(F.col("__server"), "response").otherwise("probe").alias("kind"), latin1(F.col("payload")).alias("text"),
+    )
+
+
 def body_bytes(requests: DataFrame) -> DataFrame:
     """Distinct byte values of each body, in order."""
     chars = F.array_distinct(F.split(F.col("body"), ""))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..schemas import TUPLE
-from . import instances, ordered
+from . import decode, instances, ordered
 from .integrity import row_print
 from .ordered import CHUNK
 
@@ -429,6 +429,48 @@ def pair_by_id(requests: DataFrame, replies: DataFrame, keys: Sequence[str], wit
     )
 
 
+def pair_in_order(requests: DataFrame, replies: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """The k-th request of a key with the k-th reply, first in, first out: a reply answers the oldest request still open.
+
+    Both need ``packet`` and ``ts_us`` (``file`` if they have one); ``keys`` is in request direction. Replies for which no request is open
+    count for none, and requests without a reply stay, with nulls. Rows with an unknown key are not paired. Nothing is
+    gathered per key: numbers come from running sums and minima, and request and reply meet under (key, number).
+    """
+    keys, name = list(keys), ordered.locator(requests, "packet")
+    side = lambda df, sign: df.select(*keys, "ts_us", *name, F.lit(sign).cast("bigint").alias("__sign"))
+    both = side(requests, 1).unionByName(side(replies, -1))
+    hot, tie = ordered.hot_keys(both, keys), name
+    sums = {"__open": F.col("__sign"), "__asked": (F.col("__sign") > 0).cast("bigint"), "__given": (F.col("__sign") < 0).cast("bigint")}
+    counted = ordered.running_totals(both, keys, "ts_us", sums, tie, chunk, hot=hot)
+    # the balance falls to a new low below zero exactly at replies that nothing waits for
+    low = ordered.running_least(counted, keys, "ts_us", {"__low": F.least("__open", F.lit(0))}, tie, chunk, hot=hot)
+    seen = ordered.carry_last(low, keys, "ts_us", {"__before": F.col("__low")}, tie, chunk, hot=hot)
+    orphan = F.col("__low") < F.coalesce("__before", F.lit(0))
+    number = F.when(F.col("__sign") > 0, F.col("__asked")).when(~orphan & ordered.known(keys), F.col("__given") + F.col("__low"))
+    record = F.struct("ts_us", *name)
+    ranked = seen.select(*keys, number.alias("__k"), F.when(F.col("__sign") > 0, record).alias("ask"), F.when(F.col("__sign") < 0, record).alias("reply"))
+    # requests of unknown keys stay single
+    alone = F.when(~ordered.known(keys), F.col("ask"))
+    met = ranked.where("__k is not null").groupBy(*keys, "__k", alone.alias("__alone")).agg(F.max("ask").alias("ask"), F.max("reply").alias("reply"))
+    return met.where("ask is not null").select(
+        *keys, "ask.*", *[F.col(f"reply.{c}").alias(f"reply_{c}") for c in name], (F.col("reply.ts_us") - F.col("ask.ts_us")).alias("reply_us")
+    )
+
+
+def pair_http(packets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Each HTTP request with its reply on the same connection, pipelined requests included.
+
+    Interim replies (status 100 to 199 but 101) answer nothing.
+    """
+    asked, given = decode.http_messages(packets), decode.http_replies(packets)
+    final = F.coalesce(~F.col("status").between(100, 199) | (F.col("status") == 101), F.lit(True))
+    ends = ["client", "client_port", "server", "server_port"]
+    name = ["ts_us", *ordered.locator(packets, "packet")]
+    requests = asked.select(*[F.col(c).alias(e) for c, e in zip(("src", "sport", "dst", "dport"), ends, strict=True)], *name)
+    replies = given.where(final).select(*[F.col(c).alias(e) for c, e in zip(("dst", "dport", "src", "sport"), ends, strict=True)], *name)
+    return pair_in_order(requests, replies, ends, chunk)
+
+
 def nearest_match(left: DataFrame, right: DataFrame, keys: Sequence[str], tol_us: int, chunk: int = CHUNK) -> DataFrame:
     return ordered.nearest(left, right, keys, tol_us, chunk=chunk)
 

@@ -177,6 +177,25 @@ def running_totals(
     return out.drop(_C, *offset_names, *[f"__{kind}_{n}" for n in names for kind in "vl"])
 
 
+def running_least(
+    df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, Column], tie: Sequence[str] = (), chunk: int = CHUNK, hot=ASK
+) -> DataFrame:
+    """Running minimum up to and including each row; nulls do not count."""
+    keys, tie, names = list(keys), list(tie), list(values)
+    src, parts = _chunked(df, keys, pos, chunk, hot)
+    for name in names:
+        src = src.withColumn(f"__v_{name}", values[name])
+    inside = Window.partitionBy(*parts).orderBy(pos, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    out = src.select("*", *[F.min(f"__v_{n}").over(inside).alias(f"__l_{n}") for n in names])
+    if parts == keys:
+        return out.select(*df.columns, *[F.col(f"__l_{n}").alias(n) for n in names])
+    lows = src.where(F.col(_C).isNotNull()).groupBy(*keys, _C).agg(*[F.min(f"__v_{n}").alias(f"__s_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy(_C).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lows.select(*keys, _C, *[F.min(f"__s_{n}").over(before).alias(f"__p_{n}") for n in names])
+    out = join_null_safe(out, earlier, [*keys, _C])
+    return out.select(*df.columns, *[F.least(f"__l_{n}", f"__p_{n}").alias(n) for n in names])
+
+
 def trailing_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -223,6 +242,7 @@ def islands(
     limit: int,
     sums: Mapping[str, Column] | None = None,
     chunk: int = CHUNK,
+    hot=ASK,
 ) -> DataFrame:
     """Runs of rows whose neighbours are closer than ``limit``.
 
@@ -233,14 +253,14 @@ def islands(
     keys = list(keys)
     sums = dict(sums or {})
     rows, cut = _chunked(
-        df.select(*keys, F.col(pos).alias("__p"), *[expr.alias(name) for name, expr in sums.items()]), keys, "__p", chunk
+        df.select(*keys, F.col(pos).alias("__p"), *[expr.alias(name) for name, expr in sums.items()]), keys, "__p", chunk, hot
     )
     w = Window.partitionBy(*cut).orderBy("__p")
     flagged = rows.withColumn(
-        "__b", F.coalesce((F.col("__p") - F.lag("__p").over(w) >= limit).cast("int"), F.lit(0))
+        "__gap", F.coalesce((F.col("__p") - F.lag("__p").over(w) >= limit).cast("int"), F.lit(0))
     )
     numbered = flagged.withColumn(
-        "__i", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        "__i", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
     parts = numbered.groupBy(*keys, _C, "__i").agg(
         F.min("__p").alias("start"),

@@ -89,6 +89,8 @@ def case_report(sources: Sources, host: str, work: bool = True) -> dict[str, Dat
         "dns_messages": messages,
         "http_requests": requests.drop("body"),
         "http": A.http_accounting(requests),
+        "http_replies": joins.pair_http(packets),
+        "payload_list": decode.payload_list(packets),
         "http_bodies": decode.body_bytes(requests),
         "payloads": A.payload_counts(packets.where((F.col("proto") == "tcp") & ~F.startswith("payload", F.lit(b"POST ")))),
         "join_errors": errors,

@@ -205,6 +205,29 @@ def flag_patterns(spark, sf):
     return A.flag_patterns(packets(spark, sf))
 
 
+_KINDS = ("signup", "click", "view", "purchase", "error")
+
+
+@question(
+    "d16_flag_histories",
+    C + """, p AS (SELECT orig_h, line, CAST(list_position(['signup', 'click', 'view', 'purchase', 'error'], event_type) AS BIGINT) % 3 AS f,
+      row_number() OVER (PARTITION BY orig_h ORDER BY line) AS i FROM conn),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY orig_h, f ORDER BY line) AS run FROM p),
+    r AS (SELECT orig_h, f, min(i) AS start, count(*) AS n FROM g GROUP BY orig_h, f, run),
+    t AS (SELECT orig_h, CAST(sum(n) AS BIGINT) AS packets,
+      '[' || string_agg(CASE WHEN n > 3 THEN f || 'x' || n ELSE repeat(f || ', ', CAST(n AS INTEGER) - 1) || f END, ', ' ORDER BY start) || ']' AS pattern
+      FROM r GROUP BY orig_h)
+    SELECT packets, pattern, count(*) AS conversations FROM t GROUP BY packets, pattern""",
+)
+def flag_histories(spark, sf):
+    """One conversation per host, whose flags follow the kinds of its events."""
+    flags = F.array_position(F.array(*map(F.lit, _KINDS)), F.col("event_type")) % 3
+    return A.flag_patterns(roles.conn(spark, sf).select(
+        F.col("orig_h").alias("src"), F.lit(1).alias("sport"), F.lit("198.51.100.1").alias("dst"), F.lit(2).alias("dport"),
+        F.lit("tcp").alias("proto"), F.col("line").alias("packet"), flags.alias("flags"),
+    ))
+
+
 @question("d17_payload_counts", CP + "SELECT text, count(*) AS n FROM pkt WHERE proto = 'tcp' GROUP BY text")
 def payload_counts(spark, sf):
     return A.payload_counts(packets(spark, sf).where("proto = 'tcp'"))

@@ -319,6 +319,40 @@ def turn_replies(spark, sf):
     return J.pair_by_id(t.where("role = 'user'"), t.where("role = 'assistant'"), ["conv_id"], chunk=1000)
 
 
+@question(
+    "c20_http_pairs",
+    C + """, m AS (SELECT orig_h AS client, line AS packet, ts_us, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS s FROM conn WHERE event_id % 14 <> 1),
+    o AS (SELECT *, sum(s) OVER w AS bal, count(*) FILTER (s > 0) OVER w AS asked, count(*) FILTER (s < 0) OVER w AS given
+      FROM m WINDOW w AS (PARTITION BY client ORDER BY ts_us, packet ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT *, least(0, min(bal) OVER (PARTITION BY client ORDER BY ts_us, packet ROWS UNBOUNDED PRECEDING)) AS low FROM o),
+    r AS (SELECT *, low < coalesce(lag(low) OVER (PARTITION BY client ORDER BY ts_us, packet), 0) AS orphan FROM l)
+    SELECT a.client, a.packet, b.packet AS reply_packet, b.ts_us - a.ts_us AS reply_us
+    FROM r a LEFT JOIN r b ON a.client = b.client AND b.s < 0 AND NOT b.orphan AND b.given + b.low = a.asked WHERE a.s > 0""",
+)
+def http_pairs(spark, sf):
+    """One kept-alive connection per client: even events ask, odd ones reply, some with an interim status first."""
+    c, ask = roles.conn(spark, sf), F.col("event_id") % 2 == 0
+    line = F.when(ask, F.concat(F.lit("GET /"), F.col("event_id").cast("string"), F.lit(" HTTP/1.1"))).when(
+        F.col("event_id") % 14 == 1, "HTTP/1.1 100 Continue"
+    ).otherwise("HTTP/1.1 200 OK")
+    server, client = (F.lit("198.51.100.1"), F.lit(80)), (F.col("orig_h"), F.lit(40000))
+    ends = [(F.when(ask, x).otherwise(y)).alias(n) for n, x, y in zip(("src", "sport", "dst", "dport"), (*client, *server), (*server, *client), strict=True)]
+    packets = c.select(
+        *ends, F.lit("tcp").alias("proto"), F.col("line").alias("packet"), "ts_us",
+        F.concat(line, F.lit("\r\nHost: x\r\n\r\n")).cast("binary").alias("payload"),
+    )
+    return J.pair_http(packets, chunk=86_400_000_000).select("client", "packet", "reply_packet", "reply_us")
+
+
+@question(
+    "c20_payload_list",
+    CP + """SELECT packet, src, dst, CASE WHEN (src, sport) IN (SELECT (dst, dport) FROM pkt WHERE text LIKE 'POST %') THEN 'response' ELSE 'probe' END AS kind, text
+    FROM pkt WHERE proto = 'tcp' AND text NOT LIKE 'POST %'""",
+)
+def payload_list(spark, sf):
+    return decode.payload_list(decode.decode(roles.frames(spark, sf))).select("packet", "src", "dst", "kind", "text")
+
+
 def _correlate(spark, sf):
     c = roles.conn(spark, sf)
     return J.correlate(c.where("event_type = 'purchase'"), c.where("event_type = 'error'"), ["orig_h", "resp_h"], 86_400_000_000)
