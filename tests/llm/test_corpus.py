@@ -77,6 +77,30 @@ def edit(a, b):
     return row[-1]
 
 
+def one_word_apart(a, b):
+    """One word differs: by at most a fifth of each line, or by one letter that is another, more or less."""
+    x, y = a.split(" "), b.split(" ")
+    differ = [(v, w) for v, w in zip(x, y) if v != w]  # noqa: B905
+    if len(x) != len(y) or len(differ) != 1 or max(len(a), len(b)) < 5:
+        return False
+    (v, w), (m, n) = differ[0], (len(a) // 5, len(b) // 5)
+    return (len(v) <= m and len(w) <= n) or (edit(v, w) <= 1 and max(len(v), len(w)) <= op1_lines.LETTERS and (m >= 1 and n >= 1 or len(v) != len(w)))
+
+
+def test_lines_one_letter_apart_are_all_found(spark):
+    import random
+
+    rng, rows = random.Random(11), []
+    for n in (1, 2, 4, 8, 12, 20, 40):
+        for i in range(60):
+            line = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9) + 3 * (n == 1))) for _ in range(n))
+            at = rng.choice([k for k, c in enumerate(line) if c != " "])
+            other = [line[:at] + "Q" + line[at + 1 :], line[:at] + "q" + line[at:], line[:at] + line[at + 1 :]][i % 3]
+            rows += [(len(rows), line, None, None, None), (len(rows) + 1, other, None, None, None)]
+    got = op1_lines.line_counts(corpus.frame(spark, rows)).collect()
+    assert {r.doc_id for r in got if r.n_kept} == set(range(0, len(rows), 2))
+
+
 def test_lines_brute_force(spark):
     import random
 
@@ -88,12 +112,14 @@ def test_lines_brute_force(spark):
     df = corpus.frame(spark, rows)
     # the SimHashes come from Spark, all else from plain Python
     lines = op1_lines.occurrences(df)
-    sims = {r.norm: (r.sim, r.words) for r in lines.join(op1_lines.simhashes(lines), ["rid", "line"]).select("norm", "sim", "words").distinct().collect()}
+    sims = {r.norm: (r.sim, r.words) for r in op1_lines.line_classes(lines).collect()}
     classes = sorted(sims)
     linked = [
         (i, j) for i, a in enumerate(classes) for j, b in enumerate(classes[:i])
-        if min(sims[a][1], sims[b][1]) >= op1_lines.MIN_WORDS and ((sims[a][0] ^ sims[b][0]) & (2**64 - 1)).bit_count() <= op1_lines.DISTANCE
-        and edit(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        if (
+            min(sims[a][1], sims[b][1]) >= op1_lines.MIN_WORDS and ((sims[a][0] ^ sims[b][0]) & (2**64 - 1)).bit_count() <= op1_lines.DISTANCE
+            and edit(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        ) or one_word_apart(a, b)
     ]
     assert linked, "the fixture holds near lines"
     group = dict(zip(classes, corpus.classes(len(classes), linked), strict=True))
