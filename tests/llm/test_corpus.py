@@ -112,7 +112,8 @@ def test_lines_brute_force(spark):
     df = corpus.frame(spark, rows)
     # the SimHashes come from Spark, all else from plain Python
     lines = op1_lines.occurrences(df)
-    sims = {r.norm: (r.sim, r.words) for r in op1_lines.line_classes(lines).collect()}
+    distinct = op1_lines.distinct_lines(lines)
+    sims = {r.norm: (r.sim, r.words) for r in op1_lines.line_classes(distinct).join(distinct, ["l1", "l2"]).collect()}
     classes = sorted(sims)
     linked = [
         (i, j) for i, a in enumerate(classes) for j, b in enumerate(classes[:i])
