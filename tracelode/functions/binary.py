@@ -44,5 +44,6 @@ def latin1(data: Column) -> Column:
 
 
 def be_hex(value: Column, width: int) -> Column:
-    """Hex text of a non-negative integer as ``width`` big-endian bytes."""
-    return F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")
+    """Hex text of a non-negative integer as ``width`` big-endian bytes; of a larger one, its low bytes."""
+    digits = F.concat(F.lit("0" * (2 * width)), F.hex(value.cast("bigint")))
+    return F.substring(digits, -2 * width, 2 * width)

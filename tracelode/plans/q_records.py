@@ -12,6 +12,7 @@ from .roles import TUPLE
 
 C = roles.CONN
 CD, CW, CP = C + roles.DNS, C + roles.FIREWALL, C + roles.PACKETS
+CQ = C + roles.on_wire(roles.PACKETS)
 T5 = ", ".join(TUPLE)
 
 
@@ -73,7 +74,7 @@ def read_lines(spark, sf):
 
 @question(
     "a6_query_packets",
-    CP + """SELECT 'derived' AS file, packet, ts_us, src, dst, CAST(sport AS BIGINT) AS sport, CAST(dport AS BIGINT) AS dport, proto, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    CQ + """SELECT 'derived' AS file, packet, ts_us, src, dst, CAST(sport AS BIGINT) AS sport, CAST(dport AS BIGINT) AS dport, proto, CAST(payload_bytes AS BIGINT) AS payload_bytes,
       lower(hex(encode(text[1:20]))) AS payload_hex, payload_bytes > 20 AS payload_truncated,
       (SELECT count(*) FROM pkt WHERE dport = 443) AS matching_packets, (SELECT count(*) FROM pkt WHERE dport = 443) > 25 AS samples_truncated
     FROM pkt WHERE dport = 443 ORDER BY packet LIMIT 25""",
@@ -91,7 +92,7 @@ def query_records(spark, sf):
 
 @question(
     "a14_packet_index",
-    CP + """SELECT 'derived' AS file, packet, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS utc,
+    CQ + """SELECT 'derived' AS file, packet, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0') END || '+00:00' AS utc,
       src, dst, CAST(sport AS BIGINT) AS sport, CAST(dport AS BIGINT) AS dport, proto, CAST(flags AS BIGINT) AS flags,
       CAST(payload_bytes AS BIGINT) AS payload_bytes, CAST(ip_bytes AS BIGINT) AS ip_bytes, coalesce(lower(hex(encode(text[1:120]))), printf('%04x', event_id % 65536)
         || CASE i WHEN 0 THEN '01000001000000000000' ELSE '81800001000100000000' END
@@ -160,12 +161,12 @@ def five_tuple(spark, sf):
     return firewall(spark, sf).select("line", *TUPLE)
 
 
-@question("b4_orient", CP + f"SELECT packet, {T5}, i = 0 AS from_orig FROM pkt")
+@question("b4_orient", CQ + f"SELECT packet, {T5}, i = 0 AS from_orig FROM pkt")
 def orient(spark, sf):
     return filters.orient(packets(spark, sf)).select("packet", *TUPLE, "from_orig")
 
 
-@question("b5_decode_ip", CP + """SELECT packet, src, dst, CAST(CASE proto WHEN 'tcp' THEN 6 ELSE 17 END AS BIGINT) AS ip_proto, CAST(ip_bytes AS BIGINT) AS ip_bytes,
+@question("b5_decode_ip", CQ + """SELECT packet, src, dst, CAST(CASE proto WHEN 'tcp' THEN 6 ELSE 17 END AS BIGINT) AS ip_proto, CAST(ip_bytes AS BIGINT) AS ip_bytes,
   CAST(ip_bytes - 20 AS BIGINT) AS segment_bytes FROM pkt""")
 def decode_ip(spark, sf):
     return decode.decode_ip(roles.frames(spark, sf)).select(
@@ -197,17 +198,17 @@ def initial_syn(spark, sf):
     return packets(spark, sf).where(net.is_syn(F.col("flags"))).select("packet")
 
 
-@question("b10_dns_queries", CP + "SELECT packet, src FROM pkt WHERE proto = 'udp' AND i = 0")
+@question("b10_dns_queries", CQ + "SELECT packet, src FROM pkt WHERE proto = 'udp' AND i = 0")
 def dns_queries(spark, sf):
     return packets(spark, sf).where(net.is_dns_query(F.col("proto"), F.col("dport"), F.col("payload"))).select("packet", "src")
 
 
-@question("b11_handshake_state", CP + f"SELECT {T5}, TRUE AS syn, TRUE AS syn_ack, FALSE AS ack, FALSE AS orig_fin, FALSE AS resp_fin, 'half_open' AS state FROM pkt WHERE proto = 'tcp' AND i = 0")
+@question("b11_handshake_state", CQ + f"SELECT DISTINCT {T5}, TRUE AS syn, TRUE AS syn_ack, FALSE AS ack, FALSE AS orig_fin, FALSE AS resp_fin, 'half_open' AS state FROM pkt WHERE proto = 'tcp' AND i = 0")
 def handshake_state(spark, sf):
     return filters.handshake_state(filters.orient(packets(spark, sf)))
 
 
-@question("b12_phase", CP + f"SELECT {T5}, CASE WHEN proto = 'udp' THEN 'dns' WHEN resp_p = 443 THEN 'http_upload' ELSE 'other_tcp' END AS phase FROM pkt WHERE i = 0")
+@question("b12_phase", CQ + f"SELECT DISTINCT {T5}, CASE WHEN proto = 'udp' THEN 'dns' WHEN resp_p = 443 THEN 'http_upload' ELSE 'other_tcp' END AS phase FROM pkt WHERE i = 0")
 def phase(spark, sf):
     from ..operators.aggregates import conversations
 
