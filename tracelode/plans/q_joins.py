@@ -13,6 +13,7 @@ CD = C + roles.DNS
 CI = C + roles.IDS
 CW = C + roles.FIREWALL
 CP = C + roles.PACKETS
+CQ = C + roles.on_wire(roles.PACKETS)
 
 SAME = " AND ".join(f"l.{c} = r.{c}" for c in TUPLE)
 
@@ -77,7 +78,7 @@ question("c4_alert_conn", CI + IDS_JOIN + "SELECT * FROM j")(_ids_join)
 
 @question(
     "c5_alert_packet",
-    CP + roles.IDS + """SELECT l.line, l.pcap_count, CASE WHEN r.packet IS NOT NULL THEN 'derived' END AS packet_file, CASE WHEN r.packet IS NULL THEN 'no_packet'
+    CQ + roles.IDS + """SELECT l.line, l.pcap_count, CASE WHEN r.packet IS NOT NULL THEN 'derived' END AS packet_file, CASE WHEN r.packet IS NULL THEN 'no_packet'
       WHEN NOT (l.orig_h = r.src AND l.orig_p = r.sport AND l.resp_h = r.dst AND l.resp_p = r.dport AND l.proto = r.proto) THEN 'tuple_differs'
       WHEN abs(l.ts_us - r.ts_us) > 1 THEN 'time_differs' ELSE 'matched' END AS verdict
     FROM ids l LEFT JOIN pkt r ON l.pcap_count = r.packet""",
@@ -298,8 +299,11 @@ def independent_witnesses(spark, sf):
 
 @question(
     "c20_pair_messages",
-    CP + """SELECT orig_h AS client, resp_h AS server, event_id % 65536 AS tid, packet, packet + 1 AS reply_packet, CAST(1000 AS BIGINT) AS reply_us
-    FROM pkt WHERE proto = 'udp' AND i = 0""",
+    CQ + """, m AS (SELECT orig_h AS client, resp_h AS server, event_id % 65536 AS tid, packet, ts_us, i,
+      first_value(CASE WHEN i = 1 THEN {'packet': packet, 'ts': ts_us} END IGNORE NULLS) OVER (
+        PARTITION BY orig_h, resp_h, event_id % 65536 ORDER BY ts_us, packet ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS reply
+      FROM pkt WHERE proto = 'udp')
+    SELECT client, server, tid, packet, reply.packet AS reply_packet, reply.ts - ts_us AS reply_us FROM m WHERE i = 0""",
 )
 def pair_messages(spark, sf):
     m = decode.decode_dns(decode.decode(roles.frames(spark, sf)))
@@ -346,7 +350,7 @@ def http_pairs(spark, sf):
 
 @question(
     "c20_payload_list",
-    CP + """SELECT packet, src, dst, CASE WHEN (src, sport) IN (SELECT (dst, dport) FROM pkt WHERE text LIKE 'POST %') THEN 'response' ELSE 'probe' END AS kind, text
+    CQ + """SELECT packet, src, dst, CASE WHEN (src, sport) IN (SELECT (dst, dport) FROM pkt WHERE text LIKE 'POST %') THEN 'response' ELSE 'probe' END AS kind, text
     FROM pkt WHERE proto = 'tcp' AND text NOT LIKE 'POST %'""",
 )
 def payload_list(spark, sf):
