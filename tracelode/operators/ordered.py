@@ -445,18 +445,23 @@ def asof(
     left_ts: str = "ts_us",
     right_ts: str = "ts_us",
     chunk: int = CHUNK,
+    tie: str | None = None,
 ) -> DataFrame:
-    """For each left row, ``values`` of the last right row at or before it with the same keys."""
+    """For each left row, ``values`` of the last right row at or before it with the same keys.
+
+    Of right rows at the same time it is the one with the largest ``tie``, a column of ``right``; without it any of them.
+    """
     keys, values = list(keys), list(values)
     r = right.where(known(keys)).select(
         *keys,
         F.col(right_ts).alias("__at"),
         F.lit(0).alias("__side"),
+        *([F.col(tie).alias("__tie")] if tie else []),
         F.struct(*values).alias("__r"),
     )
     l = left.withColumn("__left", F.struct(*left.columns)).select(
         *keys, F.col(left_ts).alias("__at"), F.lit(1).alias("__side"), "__left"
     )
     both = l.unionByName(r, allowMissingColumns=True)
-    seen = carry_last(both, keys, "__at", {"__hit": F.col("__r")}, ["__side"], chunk)
+    seen = carry_last(both, keys, "__at", {"__hit": F.col("__r")}, ["__side", *(["__tie"] if tie else [])], chunk)
     return seen.where("__side = 1").select("__left.*", *[F.col(f"__hit.{v}").alias(v) for v in values])

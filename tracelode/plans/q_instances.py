@@ -61,6 +61,10 @@ mine AS (SELECT r.*, instance FROM {records} r JOIN held USING (line) WHERE rec_
 """
 
 
+# The same where instances may begin at the same time: the last by number.
+HELD_LAST = HELD.replace("i.instance, i.first_us)", "i.instance, (i.first_us, i.instance))").replace("i.last_us, i.first_us)", "i.last_us, (i.first_us, i.instance))")
+
+
 def numbered(spark, sf, captures=1):
     return instances.number(decode.decode(roles.frames(spark, sf, roles.reused(spark, sf), captures)), IDLE)
 
@@ -90,7 +94,7 @@ def orient_captures(spark, sf):
     return filters.orient(numbered(spark, sf, 3)).select("file", "packet", *TUPLE, "instance", "from_orig")
 
 
-@question("a13_instance_table", ONE + HELD.format(records="conn") + f"""SELECT {T5}, inst.instance, mine.line AS conn_line,
+@question("a13_instance_table", roles.REUSED + roles.on_wire(roles.PACKETS) + NUMBERED.format(order="packet", idle=IDLE) + HELD_LAST.format(records="conn") + f"""SELECT {T5}, inst.instance, mine.line AS conn_line,
   CASE WHEN proto = 'udp' AND resp_p = 53 THEN 'dns' WHEN post THEN 'http_upload' ELSE 'other_tcp' END AS phase, out_payload_bytes
   FROM inst LEFT JOIN mine USING ({T5}, instance)""")
 def instance_table(spark, sf):
@@ -124,7 +128,7 @@ def reconcile(spark, sf):
     return J.reconcile(conversations(spark, sf).withColumnsRenamed(names), roles.reused(spark, sf))
 
 
-@question("c5_alert_captures", roles.CONN + roles.CAPTURES + roles.IDS.replace("(line - 1) * 2 + 1 + nth AS pcap_count", "(line - 1) // 3 * 2 + 1 + nth AS pcap_count") + """,
+@question("c5_alert_captures", roles.CONN + roles.on_wire(roles.CAPTURES) + roles.IDS.replace("(line - 1) * 2 + 1 + nth AS pcap_count", "(line - 1) // 3 * 2 + 1 + nth AS pcap_count") + """,
   m AS (SELECT l.line, l.pcap_count, r.file, CASE WHEN r.packet IS NULL THEN 4
       WHEN NOT (l.orig_h = r.src AND l.orig_p = r.sport AND l.resp_h = r.dst AND l.resp_p = r.dport AND l.proto = r.proto) THEN 3
       WHEN abs(l.ts_us - r.ts_us) > 1 THEN 2 ELSE 1 END AS rank
