@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,6 +48,10 @@ _MEMBER = pa.schema(
 )
 
 
+# Members of an archive that go on together.
+_ROWS = 1000
+
+
 def _archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name in batch.column("file").to_pylist():
@@ -57,9 +62,7 @@ def _archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 base = {"archive": name.rsplit("/", 1)[-1], "archive_sha256": outer}
                 try:
                     with zipfile.ZipFile(f) as z:
-                        names = z.namelist()
-                        for member in dict.fromkeys(names):
-                            copies = names.count(member)
+                        for member, copies in Counter(z.namelist()).items():
                             row = {**base, "member": member, "copies": copies, "problem": None}
                             if "/" in member or "\\" in member:
                                 row["problem"] = "member name has a path"
@@ -69,6 +72,9 @@ def _archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                 with z.open(member) as m:
                                     row["bytes"], row["sha256"] = _digest(m)
                             out.append(row)
+                            if len(out) == _ROWS:
+                                yield pa.RecordBatch.from_pylist(out, schema=_MEMBER)
+                                out = []
                 except zipfile.BadZipFile as error:
                     out.append({**base, "problem": f"not a readable archive: {error}"})
             yield pa.RecordBatch.from_pylist(out, schema=_MEMBER)
