@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -80,11 +81,15 @@ def starts_with(payload: Column, text: str) -> Column:
     return F.startswith(payload, F.lit(bytearray(text.encode("latin-1"))))
 
 
+def starts_with_any(payload: Column, texts: Sequence[str]) -> Column:
+    """``starts_with`` for several texts. The payload is named once: its expression is not worked out again for each text."""
+    head = F.decode(F.substring(payload, 1, max(map(len, texts))), "ISO-8859-1")
+    return F.regexp_like(head, F.lit("^(?:" + "|".join(map(re.escape, texts)) + ")"))
+
+
 def observe_protocol(payload: Column, proto: Column, sport: Column, dport: Column) -> Column:
     """What the payload bytes show, independent of any label."""
-    http = starts_with(payload, "HTTP/")
-    for method in HTTP_METHODS:
-        http = http | starts_with(payload, method)
+    http = starts_with_any(payload, ("HTTP/", *HTTP_METHODS))
     first = u8(payload, 0)
     tls = (proto == "tcp") & (F.length(payload) >= 3) & first.between(20, 23) & (u8(payload, 1) == 3)
     dns = (proto == "udp") & ((sport == 53) | (dport == 53)) & (F.length(payload) >= 12)

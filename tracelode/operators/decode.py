@@ -7,7 +7,6 @@ names may point backwards into the message, need Python, and only UDP port 53 ro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -313,8 +312,7 @@ def http_messages(packets: DataFrame) -> DataFrame:
     another packet); it is null when there is no such header.
     """
     requests = packets.where(
-        (F.col("proto") == "tcp")
-        & reduce(lambda a, b: a | b, [net.starts_with(F.col("payload"), m) for m in net.HTTP_METHODS])
+        (F.col("proto") == "tcp") & net.starts_with_any(F.col("payload"), net.HTTP_METHODS)
     )
     parts = http_parts(F.col("payload"))
     named = requests.select(*locator(packets, "packet"), "ts_us", "src", "dst", "sport", "dport", *[v.alias(k) for k, v in parts.items()])
@@ -343,7 +341,7 @@ def payload_list(packets: DataFrame) -> DataFrame:
     """Every TCP payload that is no HTTP request, with its text: ``kind`` is ``response`` when it comes from an address and port that
     some request went to, else ``probe``."""
     tcp = packets.where((F.col("proto") == "tcp") & (F.col("payload_bytes") > 0))
-    asks = reduce(lambda a, b: a | b, [net.starts_with(F.col("payload"), m) for m in net.HTTP_METHODS])
+    asks = net.starts_with_any(F.col("payload"), net.HTTP_METHODS)
     servers = tcp.where(asks).select(F.col("dst").alias("src"), F.col("dport").alias("sport")).distinct()
     rest = tcp.where(~asks).join(servers.withColumn("__server", F.lit(True)), ["src", "sport"], "left")
     return rest.select(
