@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import decode, filters, instances
 from ..operators import joins as J
+from ..session import cut_lineage
 from ..sources.logs import parse_firewall
 from . import roles
 from .registry import question
@@ -66,7 +67,9 @@ HELD_LAST = HELD.replace("i.instance, i.first_us)", "i.instance, (i.first_us, i.
 
 
 def numbered(spark, sf, captures=1):
-    return instances.number(decode.decode(roles.frames(spark, sf, roles.reused(spark, sf), captures)), IDLE)
+    """Numbering counts its keys and orders its rows, so the packets are decoded once before it."""
+    packets = cut_lineage(decode.decode(roles.frames(spark, sf, roles.reused(spark, sf), captures)))
+    return instances.number(packets, IDLE)
 
 
 def conversations(spark, sf):
