@@ -7,6 +7,10 @@ of the overlap of the leaders, so most other pairs are accepted or left out unre
 come from an index of the sets' rarest shingles, whose lists are cut into blocks by size; a block pair is skipped
 when positions and sizes cannot reach the threshold or when all its sets are connected already. How many of their rarest
 shingles two sets share bounds their overlap, so most pairs end there.
+
+Families of sets that are alike without being linked share nearly all shingles, so the index would open them pair by pair. There each set
+is held as its difference from a common centre: sets whose differences have nothing in common link only where both link with
+the set nearest to the centre, and all others must share rare elements of their differences.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ ROUNDS = 3
 LOCAL, RUN = 2, 1 << 21
 #: How many frequent shingles the rarity order knows (8 bytes and a count each); it is no filter, only an order.
 FREQUENT = 1_000_000
+#: Alike sets are compared by their differences from a centre if they are in so many components; a choice of plan, not of results.
+FAMILY = 16
 _SALTS = [np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)]
 
 
@@ -155,6 +161,75 @@ def overlaps(texts: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> Data
     return kept(both.mapInArrow(lambda b: _overlaps(b, shingle), "a binary, b binary, same long"), "jaccard-overlaps")
 
 
+def _deltas(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that only the text or only its centre has, for texts with a third of both in common at least."""
+    for batch in batches:
+        rows, deltas, sizes = [], [], []
+        for (row, s), (_, c) in zip(_sets(batch.column(3), shingle), _sets(batch.column(4), shingle), strict=True):
+            delta = np.setxor1d(s, c, assume_unique=True)
+            if 2 * len(delta) <= len(s) + len(c):
+                rows.append(row)
+                deltas.append(delta.view(np.int64))
+                sizes.append(len(s))
+        first = np.cumsum([0, *map(len, deltas)])
+        values = np.concatenate([np.zeros(0, np.int64), *deltas])
+        kept_rows = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i).take(kept_rows) for i in range(3)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))],
+            ["text_id", "family", "root", "n", "delta"],
+        )
+
+
+def _families(near: DataFrame, roots: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame] | None:
+    """``(text_id, family)`` of the sets in families of FAMILY components or more, and links ``a, b`` that connect all linked sets inside each family.
+
+    With D the difference of a set and the centre C, two sets differ in |D| + |E| - 2 |D & E| shingles, whatever C is. So they link if and only if
+    2 (100 + percent) |D & E| reaches the sum of their s = (100 + percent) |D| - (100 - percent) n. Where that sum is not above 0, both
+    link with the set of least s; all other linked sets share elements, and have one among the rarest of each.
+    """
+    group = kept(components(near.select("a", "b"), FEW), "jaccard-near")
+    rooted = group.select("node", F.col("root").alias("group")).join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root"))
+    crowded = rooted.select("group", "root").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") >= FAMILY).select("group")
+    rooted = kept(rooted.join(crowded, "group"), "jaccard-crowded")
+    if rooted.isEmpty():
+        return None
+    # the centre: the leader with most sets around it, later without what most of its family lacks and with what most have
+    led = near.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("c")).join(rooted, "node")
+    hub = led.groupBy("group").agg(F.max(F.struct("c", "node")).alias("h")).select("group", F.col("h.node").alias("family"))
+    member = kept(rooted.join(hub, "group").select(F.col("node").alias("text_id"), "family", "root"), "jaccard-family")
+    few = kept(bodies.join(small(member.select("text_id")), "text_id", "left_semi").dropDuplicates(["text_id"]), "jaccard-family-texts")
+    both = member.join(few, "text_id").join(few.select(F.col("text_id").alias("family"), F.col("text").alias("centre")), "family")
+    both = both.select("text_id", "family", "root", "text", "centre")
+    deltas = kept(both.mapInArrow(lambda b: _deltas(b, shingle), "text_id binary, family binary, root binary, n long, delta array<long>"), "jaccard-deltas")
+    held = deltas.select("family", F.explode("delta").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("c"))
+    flips = held.join(deltas.groupBy("family").agg(F.count(F.lit(1)).alias("m")), "family").where("2 * c > m").groupBy("family").agg(F.collect_list("e").alias("flips"))
+    flip = F.coalesce("flips", F.array().cast("array<long>"))
+    tuned = deltas.join(flips, "family", "left").withColumn("delta", F.array_except(F.array_union("delta", flip), F.array_intersect(F.col("delta"), flip))).drop("flips")
+    tuned = kept(tuned.withColumn("s", (100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("n")), "jaccard-tuned")
+    least = tuned.groupBy("family").agg(F.min(F.struct("s", "text_id", "root")).alias("m"))
+    core = F.col("s") + F.col("m.s") <= 0
+    tuned = kept(tuned.join(least, "family").withColumn("core", core).withColumn("root", F.when(core, F.col("m.root")).otherwise(F.col("root"))), "jaccard-centred")
+    found = tuned.where("core AND text_id <> m.text_id").select(F.col("m.text_id").alias("a"), F.col("text_id").alias("b"))
+
+    # an index of the differences, rarest first; those of one set only come before all others and meet nothing
+    worth = 2 * (100 + percent)
+    held = tuned.select("family", "text_id", F.explode("delta").alias("e"))
+    shared = held.groupBy("family", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ordered = held.join(shared, ["family", "e"]).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("shared"))
+    at = tuned.join(ordered, "text_id").select(
+        "family", "text_id", "root", "s", F.col("m.s").alias("s0"), F.size("shared").alias("some"), F.posexplode("shared").alias("at", "x")
+    )
+    lists = at.select("family", F.col("x.e").alias("e"), "text_id", "root", "s", "s0", (F.col("some") - F.col("at")).cast("long").alias("left"))
+    lists = kept(lists.where(F.col("left") * worth >= F.col("s") + F.col("s0")).drop("s0"), "jaccard-family-lists")
+    side = lambda s: lists.select("family", "e", *[F.col(c).alias(f"{c}_{s}") for c in ("text_id", "root", "s", "left")])
+    met = side("x").join(side("y"), ["family", "e"]).where("text_id_x < text_id_y AND root_x <> root_y")
+    met = met.where(F.least("left_x", "left_y") * worth >= F.col("s_x") + F.col("s_y"))
+    pairs = kept(met.select(F.col("text_id_x").alias("a"), F.col("text_id_y").alias("b")).distinct(), "jaccard-family-pairs")
+    of = lambda s: tuned.select(F.col("text_id").alias(s), F.col("delta").alias(f"d{s}"), F.col("s").alias(f"s{s}"))
+    read = pairs.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("da", "db")).cast("long") * worth >= F.col("sa") + F.col("sb"))
+    return tuned.select("text_id", "family"), kept(found.unionByName(read.select("a", "b")), "jaccard-family-links")
+
+
 def links(same: Column, n: Column, m: Column, percent: int = PERCENT) -> Column:
     return F.lit(100) * same >= F.lit(percent) * (n + m - same)
 
@@ -216,7 +291,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
     bodies = texts.select("text_id", "text")
 
     # 1. every set against the leader of each of its three MinHash pairs, with other leaders each round
-    good, roots = None, None
+    alike, roots = None, None
     for turn in range(ROUNDS):
         stars = []
         for k in ("k1", "k2", "k3"):
@@ -230,8 +305,9 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
             star = star.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
         star = kept(star, "jaccard-stars")
         known = overlaps(bodies, star.select("a", "b"), shingle).join(star, ["a", "b"])
-        found = known.where(links(F.col("same"), F.col("na"), F.col("nb"), percent)).select("a", "na", "b", "nb", "same")
-        good = kept(found if good is None else good.unionByName(found), "jaccard-star-links")
+        found = known.where(links(F.col("same"), F.col("na"), F.col("nb"), min(percent, 50))).select("a", "na", "b", "nb", "same")
+        alike = kept(found if alike is None else alike.unionByName(found), "jaccard-star-links")
+        good = alike.where(links(F.col("same"), F.col("na"), F.col("nb"), percent))
         roots = kept(components(good.select("a", "b"), FEW), "jaccard-roots")
     # the leader of a set: the linked one with the largest overlap; a set without any leads itself
     lead = good.groupBy(F.col("b").alias("text_id")).agg(F.max(F.struct("same", F.col("a").alias("leader"), F.col("na").alias("n_leader"))).alias("l"))
@@ -240,6 +316,11 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
         F.coalesce("l.same", "n").alias("same_leader"), F.coalesce("root", "text_id").alias("root"),
     )
     state = kept(state, "jaccard-state")
+    inside = None if every else _families(alike, roots, bodies, shingle, percent)
+    if inside:
+        state = kept(state.join(inside[0], "text_id", "left"), "jaccard-parted")
+    else:
+        state = state.withColumn("family", F.lit(None).cast("binary"))
 
     # 2. index lists of the rarest shingles, without those of a single component
     counts = made.where("frequent IS NOT NULL").select(F.explode("frequent").alias("f")).groupBy("f.s").agg(F.sum("f.c").alias("c"))
@@ -253,22 +334,24 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
     frequent.destroy()
     postings = postings.where("NOT many").unionByName(postings.where("many").distinct()).drop("many")
     shared = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
-    # for all links every set is a component of its own
-    lists = postings.join(shared, "shingle").join(state.select("text_id", F.col("text_id" if every else "root").alias("root")), "text_id")
+    # for all links every set is a component of its own; the sets without a family are one part
+    named = state.select("text_id", F.col("text_id" if every else "root").alias("root"), F.coalesce("family", F.lit(b"")).alias("part"))
+    lists = postings.join(shared, "shingle").join(named, "text_id")
     lists = kept(lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))), "jaccard-lists")
-    block = lists.groupBy("shingle", "band").agg(
+    block = lists.groupBy("shingle", "band", "part").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("at").alias("at"), F.max("at").alias("upto"), F.min("n").alias("n0"), F.max("n").alias("n1")
     )
     as_ = lambda df, side, *cols: df.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in cols])
-    x, y = (as_(block, side, "band", "r0", "r1", "at", "upto", "n0", "n1") for side in "xy")
+    x, y = (as_(block, side, "band", "part", "r0", "r1", "at", "upto", "n0", "n1") for side in "xy")
     # common shingles before this one, and what follows it
     reach = F.least("upto_x", "upto_y") + F.least(F.col("n1_x") - F.col("at_x"), F.col("n1_y") - F.col("at_y"))
     skip = (reach * (100 + percent) < percent * (F.col("n0_x") + F.col("n0_y"))) | (
         (F.col("r0_x") == F.col("r1_x")) & (F.col("r0_y") == F.col("r1_y")) & (F.col("r0_x") == F.col("r0_y"))
     )
-    opened = x.join(y, "shingle").where("band_y BETWEEN band_x AND band_x + 1").where(~skip).select("shingle", "band_x", "band_y")
-    left, right = (as_(lists, side, "text_id", "n", "at", "root", "band") for side in "xy")
-    met = opened.join(left, ["shingle", "band_x"]).join(right, ["shingle", "band_y"])
+    skip = skip | ((F.col("part_x") == F.col("part_y")) & (F.length("part_x") > 0))  # a family's own links are known
+    opened = x.join(y, "shingle").where("band_y BETWEEN band_x AND band_x + 1").where(~skip).select("shingle", "band_x", "part_x", "band_y", "part_y")
+    left, right = (as_(lists, side, "text_id", "n", "at", "root", "band", "part") for side in "xy")
+    met = opened.join(left, ["shingle", "band_x", "part_x"]).join(right, ["shingle", "band_y", "part_y"])
     met = met.where("root_x <> root_y AND (band_x < band_y OR text_id_x < text_id_y)")
     met = met.where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
     most = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
@@ -295,7 +378,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, every: bool) -> tuple[D
     open_ = told.where(~sure & links(F.col("most"), F.col("n_a"), F.col("n_b"), percent))
     read = overlaps(bodies, open_.select("a", "b").distinct(), shingle).join(open_.select("a", "b", "n_a", "n_b"), ["a", "b"])
     found = told.where(sure).select("a", "b").unionByName(read.where(links(F.col("same"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
-    return signatures, found, roots
+    return signatures, found.unionByName(inside[1]) if inside else found, roots
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
