@@ -60,7 +60,7 @@ def value_counts(spark, sf):
     FROM pkt""",
 )
 def capture_summary(spark, sf):
-    return A.capture_summary(roles.frames(spark, sf), HOST)
+    return A.capture_summary(roles.frames(spark, sf, own=True), HOST)
 
 
 @question(

@@ -20,6 +20,11 @@ def packets(spark, sf):
     return decode.decode(roles.frames(spark, sf))
 
 
+def host_packets(spark, sf):
+    """Packets of frames that keep all hosts apart."""
+    return roles.named(decode.decode(roles.frames(spark, sf, own=True)))
+
+
 def firewall(spark, sf):
     return logs.parse_firewall(roles.firewall_text(spark, sf))
 
