@@ -7,7 +7,7 @@ from ..operators import decode, filters
 from ..session import cut_lineage
 from . import roles
 from .q_joins import IDS_JOIN, _ids_join
-from .q_records import firewall, packets
+from .q_records import firewall, host_packets, packets
 from .registry import question
 from .roles import TUPLE
 
@@ -26,7 +26,7 @@ CONV = """, conv AS (SELECT orig_h, orig_p, resp_h, resp_p, proto, min(ts_us) AS
 
 
 def conversations(spark, sf):
-    return A.conversations(packets(spark, sf))
+    return A.conversations(host_packets(spark, sf))
 
 
 HOST = "10.20.0.9"
