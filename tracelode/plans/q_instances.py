@@ -66,14 +66,14 @@ mine AS (SELECT r.*, instance FROM {records} r JOIN held USING (line) WHERE rec_
 HELD_LAST = HELD.replace("i.instance, i.first_us)", "i.instance, (i.first_us, i.instance))").replace("i.last_us, i.first_us)", "i.last_us, (i.first_us, i.instance))")
 
 
-def numbered(spark, sf, captures=1):
+def numbered(spark, sf, captures=1, own=True):
     """Numbering counts its keys and orders its rows, so the packets are decoded once before it."""
-    packets = cut_lineage(decode.decode(roles.frames(spark, sf, roles.reused(spark, sf), captures)))
-    return instances.number(packets, IDLE)
+    packets = decode.decode(roles.frames(spark, sf, roles.reused(spark, sf), captures, own))
+    return instances.number(cut_lineage(roles.named(packets) if own else packets), IDLE)
 
 
-def conversations(spark, sf):
-    return A.conversations(numbered(spark, sf))
+def conversations(spark, sf, own=True):
+    return A.conversations(numbered(spark, sf, own=own))
 
 
 @question("d4_instances", ONE + f"""SELECT {T5}, instance, first_us, last_us, first_packet, last_packet, out_payload_bytes, in_payload_bytes, out_ip_bytes, in_ip_bytes,
@@ -101,7 +101,7 @@ def orient_captures(spark, sf):
   CASE WHEN proto = 'udp' AND resp_p = 53 THEN 'dns' WHEN post THEN 'http_upload' ELSE 'other_tcp' END AS phase, out_payload_bytes
   FROM inst LEFT JOIN mine USING ({T5}, instance)""")
 def instance_table(spark, sf):
-    table = A.conversation_table(conversations(spark, sf), roles.reused(spark, sf))
+    table = A.conversation_table(conversations(spark, sf, own=False), roles.reused(spark, sf))
     return table.select(*TUPLE, "instance", "conn_line", "phase", "out_payload_bytes")
 
 
