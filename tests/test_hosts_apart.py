@@ -8,7 +8,10 @@ from tracelode.operators import decode
 from tracelode.plans import roles
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["d3_capture_summary", "d4_conversations", "d8_phase_metrics", "d4_instances", "b4_orient_captures", "b13_instance_labels"]
+NAMES = [
+    "d3_capture_summary", "d4_conversations", "d8_phase_metrics", "d4_instances", "b4_orient_captures",
+    "b13_instance_labels", "d4_instances_captures",
+]
 
 
 @pytest.fixture(scope="module")
