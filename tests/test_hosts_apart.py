@@ -10,7 +10,7 @@ from tracelode.plans import roles
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "d3_capture_summary", "d4_conversations", "d8_phase_metrics", "d4_instances", "b4_orient_captures",
-    "b13_instance_labels", "d4_instances_captures", "c8_reused_tuples",
+    "b13_instance_labels", "d4_instances_captures", "c8_reused_tuples", "d16_flag_patterns",
 ]
 
 

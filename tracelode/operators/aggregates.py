@@ -332,10 +332,12 @@ def flag_pattern_runs(packets: DataFrame, chunk: int = LINES) -> DataFrame:
     Columns ``pattern`` (128 bits that name it), ``packets``, ``conversations`` that show it, and of the run ``position`` (from 1),
     ``flags`` and ``n``. Patterns are compared by sums of hashes of (position, flags, length) over a conversation's runs, which
     combine before the shuffle; only one conversation of each pattern hands on its runs, and no row grows with a conversation.
+    Each connection of packets that ``instances.number`` has numbered is a conversation of its own.
     """
     end_a, end_b, _ = _pair(packets)
-    pair = ["__a", "__b"]
-    rows = packets.where(F.col("proto") == "tcp").select(end_a.alias("__a"), end_b.alias("__b"), "packet", "flags")
+    instance = ["instance"] if "instance" in packets.columns else []
+    pair = ["__a", "__b", *instance]
+    rows = packets.where(F.col("proto") == "tcp").select(end_a.alias("__a"), end_b.alias("__b"), *instance, "packet", "flags")
     hot = ordered.hot_keys(rows, pair)
     placed = ordered.running_totals(rows, pair, "packet", {"position": F.lit(1).cast("bigint")}, (), chunk, hot=hot)
     # without hot conversations there are no hot (conversation, flags) either

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import decode, filters
+from ..operators import decode, filters, instances
 from ..session import cut_lineage
 from . import roles
 from .q_joins import IDS_JOIN, _ids_join
@@ -202,7 +202,10 @@ def lines_per_order(spark, sf):
 
 @question("d16_flag_patterns", CP + "SELECT '[2, 18]' AS pattern, CAST(2 AS BIGINT) AS packets, count(*) AS conversations FROM pkt WHERE proto = 'tcp' AND i = 0")
 def flag_patterns(spark, sf):
-    return A.flag_patterns(packets(spark, sf))
+    """A tuple that comes back is another connection, with flags of its own."""
+    # Numbering counts its keys and orders its rows, so the packets are decoded once before it.
+    tcp = host_packets(spark, sf).where("proto = 'tcp'").drop("payload", "ack", "ip_bytes", "payload_bytes")
+    return A.flag_patterns(instances.number(cut_lineage(tcp)))
 
 
 _KINDS = ("signup", "click", "view", "purchase", "error")
