@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "d3_capture_summary", "d4_conversations", "d8_phase_metrics", "d4_instances", "b4_orient_captures",
     "b13_instance_labels", "d4_instances_captures", "c8_reused_tuples", "d16_flag_patterns",
+    "b13_label_conflicts",
 ]
 
 
@@ -40,3 +41,14 @@ def test_hosts_keep_their_names(spark, colliding):
     hosts = roles.conn(spark, colliding[0]).select("orig_h").distinct()
     assert packets.where("dport < 1024").select("src").distinct().count() == hosts.count()
     assert roles.named(packets).where("dport < 1024").select("src").distinct().exceptAll(hosts).count() == 0
+
+
+def test_reconcile_counters_and_start(spark, colliding):
+    """The SQL of c8_reconcile states the six counters; the start of a conversation is a row of its own where a record of its tuple begins at another time."""
+    folder, db = colliding
+    rows = [tuple(r) for r in contract.queries()["c8_reconcile"](spark, folder).select("orig_h", "orig_p", "resp_h", "line", "field", "pcap", "log").collect()]
+    counters = db.execute(f"SELECT orig_h, orig_p, resp_h, line, field, pcap, log FROM ({contract.oracle_sql()['c8_reconcile']})").fetchall()
+    assert sorted(map(repr, (r for r in rows if r[4] != "ts"))) == sorted(map(repr, counters))
+    starts = db.execute(f"""{roles.CONN} SELECT orig_h, orig_p, resp_h, line, 'ts' AS field, first_us, ts_us
+      FROM (SELECT *, min(ts_us) OVER (PARTITION BY orig_h, orig_p, resp_h, resp_p, proto) AS first_us FROM conn) WHERE ts_us > first_us + 1""").fetchall()
+    assert starts and sorted(map(repr, (r for r in rows if r[4] == "ts"))) == sorted(map(repr, starts))

@@ -124,7 +124,7 @@ def conn_with_alert(spark, sf):
 def reconcile(spark, sf):
     from ..operators import aggregates as A
 
-    conv = A.conversations(decode.decode(roles.frames(spark, sf)))
+    conv = A.conversations(roles.named(decode.decode(roles.frames(spark, sf, own=True))))
     named = conv.select(
         *TUPLE, "first_us", F.col("out_payload_bytes").alias("orig_bytes"), F.col("in_payload_bytes").alias("resp_bytes"),
         F.col("out_packets").alias("orig_pkts"), F.col("in_packets").alias("resp_pkts"),
@@ -383,5 +383,5 @@ question(
 def label_conflicts(spark, sf):
     from ..operators import aggregates as A
 
-    conv = A.conversations(decode.decode(roles.frames(spark, sf)))
+    conv = A.conversations(roles.named(decode.decode(roles.frames(spark, sf, own=True))))
     return A.label_conflicts(_fw(spark, sf), conv).select("line", "label", "observed_protocol")
