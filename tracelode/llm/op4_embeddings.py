@@ -22,16 +22,28 @@ PIVOTS = 64
 BLOCK_ROWS = 4096
 LEAF = 24
 SLACK = 1e-7
+#: Centres chosen at once; rows up to which two runs are compared as they lie; what a pair of vectors by itself and a
+#: call for a pair of nodes cost, in pairs of vectors compared as runs (an order of work only, no link is lost).
+STEP, FEW, SCATTERED, CALL = 256, 256, 32, 2048
 
 
 class CoverTree:
-    """Balls over unit vectors: each node has a centre, its covering radius and a run of ``order``; children halve the radius."""
+    """Balls over unit vectors: each node has a centre, its covering radius and a run of ``order``; children halve the radius.
 
-    def __init__(self, x: np.ndarray) -> None:
+    The first net is of radius ``top``: wider balls of vectors with many components lie within reach of all others. Once built,
+    ``x`` is in the tree's order, so the members of a node are a slice of it.
+    """
+
+    def __init__(self, x: np.ndarray, top: float = 1.0) -> None:
         self.x, self.order = x, np.arange(len(x))
         self.centre, self.radius, self.begin, self.end, self.children = [], [], [], [], []
         if len(x):
-            self._grow(0, len(x), 0, 2.0)
+            self._grow(top)
+        place = np.empty(len(x), np.int64)
+        place[self.order] = np.arange(len(x))
+        self.x, self.c, self.r = x[self.order], place[np.array(self.centre, np.int64)], np.array(self.radius)
+        self.lo, self.hi = np.array(self.begin, np.int64), np.array(self.end, np.int64)
+        self.size = self.hi - self.lo
 
     def _node(self, begin: int, end: int, centre: int, radius: float) -> int:
         self.centre.append(centre)
@@ -41,125 +53,180 @@ class CoverTree:
         self.children.append(None)
         return len(self.centre) - 1
 
-    def _grow(self, begin: int, end: int, centre: int, level: float) -> int:
-        """The node of the members ``order[begin:end]``, all within ``level`` of ``centre``; returns its number."""
-        stack, root = [(begin, end, centre, level, None)], None
+    def _net(self, members: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each member's centre at ``level`` by number, its distance from it, and the centres: each in turn takes what is left within ``level``."""
+        number, far, centres = np.zeros(len(members), np.int64), np.zeros(len(members)), []
+        left = np.arange(len(members))
+        while len(left):
+            head = self.x[members[left[:STEP]]]
+            near, free, chosen = distance(head, head) <= level, np.ones(len(head), bool), []
+            for i in range(len(head)):
+                if free[i]:
+                    chosen.append(i)
+                    free &= ~near[i]
+            apart = distance(self.x[members[left]], head[chosen])
+            apart[chosen, range(len(chosen))] = -1.0  # a centre is its own
+            first = (apart <= level).argmax(1)
+            first[chosen] = range(len(chosen))
+            apart = apart[np.arange(len(left)), first]
+            inside = apart <= level
+            number[left[inside]], far[left[inside]] = first[inside] + len(centres), np.maximum(apart[inside], 0.0)
+            centres.extend(members[left[chosen]])
+            left = left[~inside]
+        return number, far, np.array(centres, np.int64)
+
+    def _grow(self, top: float) -> None:
+        """Open nodes from the root on until they are small or narrow."""
+        whole = self.order
+        stack = [(self._node(0, len(whole), 0, float(distance(self.x[:1], self.x).max())), 2.0 * top)]
         while stack:
-            begin, end, centre, level, parent = stack.pop()
-            members = self.order[begin:end]
-            far = distance(self.x[[centre]], self.x[members])[0]
-            node = self._node(begin, end, centre, float(far.max()))
-            if parent is None:
-                root = node
-            else:
-                self.children[parent].append(node)
+            node, level = stack.pop()
+            begin, end = self.begin[node], self.end[node]
             if end - begin <= LEAF or self.radius[node] <= 1e-6:
                 continue
-            self.children[node] = []
+            level = min(level, top)
             while level >= self.radius[node]:
                 level /= 2
-            # a net of the members at the next level: each centre takes what is left within its radius
-            left, arranged, runs = members, [], []
-            while len(left):
-                near = distance(self.x[left[:1]], self.x[left])[0] <= level
-                near[0] = True
-                runs.append((left[0], len(arranged), len(arranged) + int(near.sum())))
-                arranged.extend(left[near].tolist())
-                left = left[~near]
-            self.order[begin:end] = arranged
-            stack += [(begin + lo, begin + hi, c, level, node) for c, lo, hi in runs]
-        return root
-
-    def freeze(self) -> CoverTree:
-        self.c, self.r = np.array(self.centre, np.int64), np.array(self.radius)
-        self.kids = [np.array(k if k is not None else [], np.int64) for k in self.children]
-        return self
-
-    def members(self, node: int) -> np.ndarray:
-        return self.order[self.begin[node] : self.end[node]]
+            members = self.order[begin:end].copy()
+            number, far, centres = self._net(members, level)
+            by = np.argsort(number, kind="stable")
+            self.order[begin:end] = members[by]
+            ends = np.cumsum(np.bincount(number, minlength=len(centres)))
+            widest = np.maximum.reduceat(far[by], np.concatenate([[0], ends[:-1]]))
+            kids = [self._node(begin + lo, begin + hi, c, r) for lo, hi, c, r in zip([0, *ends[:-1].tolist()], ends.tolist(), centres.tolist(), widest.tolist(), strict=True)]
+            self.children[node] = np.array(kids, np.int64)
+            stack += [(k, level) for k in kids]
+
+    def opened(self, node: int) -> np.ndarray:
+        """The children of a node, which follow each other in its run; a leaf itself."""
+        kids = self.children[node]
+        return np.array([node]) if kids is None else kids
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
+    d = a @ b.T
+    d *= -2.0
+    d += 2.0
+    return np.sqrt(np.maximum(d, 0.0, out=d), out=d)
 
 
 class Links:
-    """Links between the rows of two blocks: weights linked to each row, and edges that connect what is linked."""
-
-    def __init__(self, rows: int, weight: np.ndarray) -> None:
-        self.count, self.weight = np.zeros(rows, np.int64), weight
-        self.parent = np.arange(rows)
-        self.edges: list[tuple[int, int]] = []
-
-    def _root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self._root(i), self._root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.edges.append((i, j))
+    """Links between rows: weights linked to each row, and the smallest row that each is connected with."""
+
+    def __init__(self, weight: np.ndarray) -> None:
+        self.count, self.weight, self.root = np.zeros(len(weight), np.int64), weight, np.arange(len(weight))
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """The rows ``i`` and ``j``, one by one, are connected."""
+        while len(i):
+            x, y = self.root[i], self.root[j]
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+    def own(self, a: np.ndarray) -> None:
+        """All rows of ``a`` link with one another."""
+        self.count[a] += self.weight[a].sum() - self.weight[a]
+        self.join(a, np.full(len(a), a[0]))
 
     def every(self, a: np.ndarray, b: np.ndarray) -> None:
         """All rows of ``a`` link with all of ``b`` (disjoint)."""
         self.count[a] += self.weight[b].sum()
         self.count[b] += self.weight[a].sum()
-        for i in b:
-            self.join(a[0], i)
-        for i in a[1:]:
-            self.join(i, b[0])
+        both = np.concatenate([a, b])
+        self.join(both, np.full(len(both), a[0]))
 
     def some(self, a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> None:
-        self.count[a] += hit @ self.weight[b]
-        self.count[b] += hit.T @ self.weight[a]
-        for i, j in zip(*np.nonzero(hit), strict=True):
-            if self.parent[a[i]] != self.parent[b[j]]:
-                self.join(a[i], b[j])
+        """Rows of ``a`` (no row twice) link with those of ``b`` (no row twice) where ``hit`` says."""
+        if hit.any():
+            drawn = hit.astype(np.float64)
+            self.count[a] += np.rint(drawn @ self.weight[b]).astype(np.int64)
+            self.count[b] += np.rint(drawn.T @ self.weight[a]).astype(np.int64)
+            i, j = np.nonzero(hit & (self.root[a][:, None] != self.root[b][None, :]))
+            self.join(a[i], b[j])
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """The rows ``i`` and ``j`` link one by one (no pair twice)."""
+        rows = len(self.count)
+        for x, y in ((i, j), (j, i)):
+            self.count += np.rint(np.bincount(x, self.weight[y], rows)).astype(np.int64)
+        self.join(i, j)
 
 
 def traverse(s: CoverTree, t: CoverTree, at: int, links: Links, raw: np.ndarray, norm: np.ndarray, cosine: float) -> None:
-    """Add all links between the trees ``s`` and ``t``, or within one when they are the same; ``at`` is t's first row."""
+    """Add all links between the trees ``s`` and ``t``, or within one when they are the same; ``at`` is t's first row.
+
+    Rows are in the order of the trees. Pairs of nodes that the bounds leave open are opened further, down to FEW pairs of vectors; where
+    that would be more than a share of all pairs of two runs, the runs are compared as they lie.
+    """
     reach, same = float(np.sqrt(2.0 - 2.0 * cosine)), s is t
 
     def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (raw[a] @ raw[b].T) / np.outer(norm[a], norm[b]) >= cosine
 
+    def dense(x: np.ndarray, y: np.ndarray, later: bool) -> None:
+        """The members of the nodes ``x`` with those of ``y``, each nodes that follow each other; or only with those of ``later`` nodes."""
+        a, b = np.arange(s.lo[x[0]], s.hi[x[-1]]), np.arange(t.lo[y[0]], t.hi[y[-1]])
+        of_a, of_b = np.repeat(x, s.size[x]), np.repeat(y, t.size[y])
+        for lo in range(0, len(a), 1024):
+            part = slice(lo, lo + 1024)
+            hit = exact(a[part], b + at)
+            if later:
+                hit &= of_a[part][:, None] < of_b[None, :]
+            links.some(a[part], b + at, hit)
+
+    def singly(x: np.ndarray, y: np.ndarray) -> None:
+        """The members of each node of ``x`` with those of the node of ``y`` beside it."""
+        n = s.size[x] * t.size[y]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i = np.repeat(s.lo[x], n) + nth // np.repeat(t.size[y], n)
+        j = np.repeat(t.lo[y], n) + nth % np.repeat(t.size[y], n) + at
+        for lo in range(0, len(i), 1 << 16):
+            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            hit = np.einsum("ij,ij->i", raw[a], raw[b]) / (norm[a] * norm[b]) >= cosine
+            links.pairs(a[hit], b[hit])
+
     stack = [(0, 0)]
     while stack:
         p, q = stack.pop()
+        a, b = np.arange(s.lo[p], s.hi[p]), np.arange(t.lo[q], t.hi[q]) + at
         if same and p == q:
-            own = s.members(p)
-            if not len(s.kids[p]):
-                hit = exact(own, own)
-                np.fill_diagonal(hit, False)
-                links.some(own, own, np.triu(hit))
+            if 2 * s.r[p] < reach - SLACK:
+                links.own(a)
                 continue
-            kids = s.kids[p]
-            stack += [(k, k) for k in kids]
-            a, b = kids, kids
-        else:
-            # open the wider node; a leaf stays as it is
-            wide = len(s.kids[p]) and (not len(t.kids[q]) or s.r[p] >= t.r[q])
-            if not wide and not len(t.kids[q]):
-                links.some(s.members(p), t.members(q) + at, exact(s.members(p), t.members(q) + at))
+            if s.children[p] is None or len(a) <= FEW:
+                links.some(a, a, np.triu(exact(a, a), 1))
                 continue
-            a, b = (s.kids[p], np.array([q])) if wide else (np.array([p]), t.kids[q])
-        for lo in range(0, len(a), 1024):
-            part = a[lo : lo + 1024]
-            apart = distance(s.x[s.c[part]], t.x[t.c[b]])
-            both = s.r[part][:, None] + t.r[b][None, :]
-            open_ = apart <= reach + both + SLACK
-            if same and a is b:
-                open_ &= part[:, None] < b[None, :]
-            for i, j in zip(*np.nonzero(open_), strict=True):
-                x, y = int(part[i]), int(b[j])
-                if apart[i, j] + both[i, j] < reach - SLACK:
-                    links.every(s.members(x), t.members(y) + at)
+            own = s.children[p]
+            stack += [(k, k) for k in own[s.size[own] > 1].tolist()]
+        elif (s.children[p] is None and t.children[q] is None) or len(a) * len(b) <= FEW * FEW:
+            links.some(a, b, exact(a, b))
+            continue
+        xs, ys, later = s.opened(p), t.opened(q), same and p == q
+        for lo in range(0, len(xs), 1024):
+            x = xs[lo : lo + 1024]
+            y = ys[lo:] if later else ys
+            apart = distance(s.x[s.c[x]], t.x[t.c[y]])
+            both = s.r[x][:, None] + t.r[y][None, :]
+            open_ = apart <= both + (reach + SLACK)
+            if later:
+                open_ &= x[:, None] < y[None, :]
+            i, j = np.nonzero(open_)
+            whole = apart[i, j] + both[i, j] < reach - SLACK
+            work = s.size[x[i]] * t.size[y[j]]
+            little = work <= SCATTERED
+            if np.where(little, work * SCATTERED, CALL + work * ~whole).sum() > s.size[x].sum() * t.size[y].sum():
+                dense(x, y, later)
+                continue
+            u, v = x[i], y[j]
+            singly(u[little], v[little])
+            for u, v, all_ in zip(u[~little].tolist(), v[~little].tolist(), whole[~little].tolist(), strict=True):
+                if all_:
+                    links.every(np.arange(s.lo[u], s.hi[u]), np.arange(t.lo[v], t.hi[v]) + at)
                 else:
-                    stack.append((x, y))
+                    stack.append((u, v))
 
 
 def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,18 +236,21 @@ def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pair(cosine: float):
+    reach = float(np.sqrt(2.0 - 2.0 * cosine))
+    top = 2.0 ** np.floor(np.log2(max(reach, 1e-6)))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "cid"])
         raw, norm, unit = _unit(pdf["embedding"])
-        cid, first = pdf["cid"].to_numpy(), int((pdf["side"] == 0).sum())
-        links = Links(len(pdf), pdf["m"].to_numpy(np.int64))
-        s = CoverTree(unit[:first]).freeze()
-        t = s if first == len(pdf) else CoverTree(unit[first:]).freeze()
-        traverse(s, t, 0 if t is s else first, links, raw, norm, cosine)
-        hit = np.flatnonzero(links.count)
-        a = np.concatenate([cid[hit], cid[[i for i, _ in links.edges]]]) if len(hit) else cid[:0]
-        b = np.concatenate([np.full(len(hit), None), cid[[j for _, j in links.edges]]]) if len(hit) else cid[:0]
-        n = np.concatenate([links.count[hit], np.zeros(len(links.edges), np.int64)]) if len(hit) else links.count[:0]
+        first = int((pdf["side"] == 0).sum())
+        s = CoverTree(unit[:first], top)
+        t = s if first == len(pdf) else CoverTree(unit[first:], top)
+        order = s.order if t is s else np.concatenate([s.order, t.order + first])
+        cid, links = pdf["cid"].to_numpy()[order], Links(pdf["m"].to_numpy(np.int64)[order])
+        traverse(s, t, 0 if t is s else first, links, raw[order], norm[order], cosine)
+        hit, low = np.flatnonzero(links.count), np.flatnonzero(links.root != np.arange(len(cid)))
+        a, b = np.concatenate([cid[hit], cid[low]]), np.concatenate([np.full(len(hit), None), cid[links.root[low]]])
+        n = np.concatenate([links.count[hit], np.zeros(len(low), np.int64)])
         return pd.DataFrame({"a": a, "b": b, "n": n})
 
     return run
